@@ -2,6 +2,58 @@
 
 from __future__ import annotations
 
+_SUFFIX = "'ac.uk','co.in','co.jp','co.nz','co.uk','co.za','com.au','com.br','com.mx','org.uk'"
+
+
+def _strength(level: str) -> str:
+    return f"""(SELECT 1.0 / CASE WHEN s IS NULL OR b - a <= 1e-9 THEN 0.1
+        ELSE least(greatest((s - a) / (b - a), 0.001), 0.5) END - 1.0
+        FROM (SELECT sum(n * (k / n::DOUBLE - p) * (k / n::DOUBLE - p)) s, sum(p * (1 - p)) a, sum(n * p * (1 - p)) b
+              FROM {level} WHERE n > 0))"""
+
+
+OP1 = f"""
+WITH u AS (
+  SELECT page_id,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+h0 AS (
+  SELECT host, count(quality) n, coalesce(sum(quality), 0) k
+  FROM p LEFT JOIN labels ON page_id = doc_id GROUP BY host),
+h AS (
+  SELECT *, regexp_extract(host, '[^.]*$') AS one, regexp_extract(host, '(?:[^.]*\\.)?[^.]*$') AS two,
+    regexp_extract(host, '(?:[^.]*\\.)?(?:[^.]*\\.)?[^.]*$') AS three FROM h0),
+hosts AS (
+  SELECT host, n, k, CASE WHEN two IN ({_SUFFIX}) THEN three ELSE two END AS domain,
+    CASE WHEN two IN ({_SUFFIX}) THEN two ELSE one END AS suffix FROM h),
+d0 AS (SELECT domain, suffix, sum(n) n, sum(k) k FROM hosts GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) n, sum(k) k, (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM hosts) p FROM d0 GROUP BY suffix),
+s1 AS (SELECT *, {_strength('s0')} AS st FROM s0),
+s2 AS (SELECT suffix, (k + st * p) / (n + st) m FROM s1),
+d1 AS (SELECT domain, n, k, m AS p FROM d0 JOIN s2 USING (suffix)),
+d2 AS (SELECT *, {_strength('d1')} AS st FROM d1),
+d3 AS (SELECT domain, (k + st * p) / (n + st) m FROM d2),
+h1 AS (SELECT host, n, k, m AS p FROM hosts JOIN d3 USING (domain)),
+h2 AS (SELECT *, {_strength('h1')} AS st FROM h1),
+h3 AS (SELECT host, n, k, st, (k + st * p) / (n + st) m FROM h2),
+rules(action, rule, rhost, rpath) AS (VALUES ('allow','com/','com','/'), ('block','example.com/en/','example.com','/en/'),
+  ('allow','www.example.com/en/','www.example.com','/en/'), ('block','net/es/','net','/es/'), ('block','net/fr/','net','/fr/')),
+best AS (
+  SELECT page_id, host, path, arg_max(rule, length(rule)) rule, arg_max(action, length(rule)) action
+  FROM (SELECT DISTINCT page_id, host, path FROM p)
+  JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, best.rule,
+  coalesce(best.action, CASE WHEN least(1.0, m + 1.645 * sqrt(m * (1 - m) / (n + st + 1))) < 0.7 THEN 'block' ELSE 'allow' END) AS verdict,
+  n::BIGINT AS host_outcomes, k::BIGINT AS host_good, round(m, 6) AS host_mean
+FROM p JOIN h3 USING (host) LEFT JOIN best ON best.page_id = p.page_id AND best.host = p.host AND best.path = p.path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1}
