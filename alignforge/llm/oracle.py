@@ -55,5 +55,18 @@ FROM p JOIN h3 USING (host) LEFT JOIN best ON best.page_id = p.page_id AND best.
 """
 
 
+OP2 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT score
+  FROM e q JOIN e d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1}
+    return {"op1_url_filter": OP1, "op2_top_k": OP2}

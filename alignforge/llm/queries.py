@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, sentencepiece_viterbi, toxicity, url_filter
+from . import cover_tree, decontaminate, langid, minhash, sentencepiece_viterbi, toxicity, url_filter
 from .common import fold, table
 
 
@@ -26,6 +26,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), labels, RULES)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 20; candidates: all other rows."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), cover_tree.integer_vector(F.col("embedding"), 64).alias("v")
+    )
+    return cover_tree.top_k(rows, rows.where(F.col("id") % 20 == 0), 20)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
