@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, langid, minhash, sentencepiece_viterbi, toxicity, url_filter
+from . import chat_format, cover_tree, decontaminate, langid, minhash, sentencepiece_viterbi, toxicity, url_filter
 from .common import fold, table
 
 
@@ -34,6 +34,34 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(rows, rows.where(F.col("id") % 20 == 0), 20)
 
 
+# How transcripts of the query write their speakers, one style a conversation.
+STYLES = [
+    {"user": "User: ", "assistant": "Assistant: ", "system": "System: "},
+    {"user": "Human: ", "assistant": "AI: ", "system": "Instructions: "},
+    {"user": "### Question:\n", "assistant": "### Answer:\n", "system": "### Context:\n"},
+    {"user": "<|user|> ", "assistant": "<|assistant|> ", "system": "<|system|> "},
+]
+
+
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """conversations as raw transcript pieces: speakers written into the text, one in five left out."""
+    style = F.pmod(F.xxhash64("conv_id", F.lit(1)), F.lit(len(STYLES)))
+    mark = F.lit("")
+    for k, words in enumerate(STYLES):
+        for role, word in words.items():
+            mark = F.when((style == k) & (F.col("role") == role), F.lit(word)).otherwise(mark)
+    lost = F.pmod(F.xxhash64("conv_id", "turn", F.lit(2)), F.lit(5)) == 0
+    return conversations.withColumn("text", F.when(lost, F.col("text")).otherwise(F.concat(mark, F.col("text"))))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are written as raw transcripts, then parsed without their role column."""
+    raw = raw_transcripts(table(spark, sf_dir, "conversations"))
+    model = chat_format.fit(raw.where(fold(F.col("conv_id"), 5) != 0))
+    got = chat_format.parse(raw.drop("role"), model)
+    return got.select("conv_id", F.col("position").alias("turn"), "line", "role", "n_lines", F.crc32("rendered").alias("rendered_crc32"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
