@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cover_tree, decontaminate, langid, minhash, sentencepiece_viterbi, toxicity, url_filter
-from .common import fold, table
+from . import chat_format, cover_tree, decontaminate, langid, minhash, sentencepiece_viterbi, token_binary, toxicity, url_filter
+from .common import fold, saved, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,6 +77,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = saved(token_binary.shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
+    return token_binary.documents(written).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

@@ -18,7 +18,6 @@ it is; repeated rows give equal rows; the blank mark itself, in a text, decodes
 from __future__ import annotations
 
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, byte_column, mix, small_batches, span_hashes
+from .cutcache import CutCache
 from .hashtable import SortedHash
 
 MARK = "▁"
 #: cuts of up to this many symbols are vectorised, longer ones streamed
 SHORT = 48
-#: cached cuts of a task; the cache starts anew beyond
-CACHE = 400_000
 _B = U64(0x9E3779B97F4A7C15)
 _BP = np.cumprod(np.concatenate([[U64(1)], np.full(63, _B)]), dtype=U64)
 NONE = -1e18
@@ -263,12 +261,7 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place: dict[int, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.offs = np.zeros(1, np.int64)
+        self.cache = CutCache()
 
     def _boundaries(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """First byte of every cut: in front of blanks, and around lines where no piece spans them."""
@@ -285,37 +278,29 @@ class Encoder:
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, row offsets) of an Arrow column or list of texts."""
-        if len(self.place) > CACHE:
-            self._reset()
         col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         # a blank goes in front of each text that isn't empty
         col = pc.if_else(pc.equal(pc.binary_length(pc.fill_null(col, "")), 0), "", pc.binary_join_element_wise(" ", pc.fill_null(col, ""), ""))
         raw, offs = byte_column(col)
         starts = self._boundaries(raw, offs)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-        uniq, first, inv = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        place = self.place
-        known = np.fromiter(map(place.get, uniq.tolist(), repeat(-1)), np.int64, len(uniq))
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            data = raw.tobytes()
-            new = new[np.argsort((ends - starts)[first[new]], kind="stable")]
-            cuts = [data[starts[k] : ends[k]].decode("utf-8", "surrogatepass").replace(" ", MARK) for k in first[new]]
-            short = [k for k, c in enumerate(cuts) if len(c) <= SHORT]
-            long = [k for k, c in enumerate(cuts) if len(c) > SHORT]
-            flat, at = encode_cuts(self.v, [cuts[k] for k in short]) if short else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-            more = [np.array(stream_encode(self.v, cuts[k]), np.int32) for k in long]
-            n = np.concatenate([np.diff(at), np.array([len(m) for m in more], np.int64)])
-            base = len(self.offs) - 1
-            known[new[np.array(short + long, np.int64)]] = base + np.arange(len(cuts))
-            place.update(zip(uniq[new].tolist(), known[new].tolist()))
-            self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(n)])
-            self.flat = np.concatenate([self.flat, flat, *more])
-        at = known[inv]
-        n = self.offs[at + 1] - self.offs[at]
-        ends_of = np.concatenate([[0], np.cumsum(n)])
-        src = np.repeat(self.offs[at] - ends_of[:-1], n) + np.arange(int(ends_of[-1]))
-        return self.flat[src], ends_of[np.searchsorted(starts, offs)]
+        flat, at = self.cache.encode(raw, starts, ends, span_hashes(raw, starts, ends), self._new)
+        return flat, at[np.searchsorted(starts, offs)]
+
+    def _new(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cuts not met before, in their order (they come sorted by byte length)."""
+        texts = [c.decode("utf-8", "surrogatepass").replace(" ", MARK) for c in cuts]
+        short = np.array([k for k, c in enumerate(texts) if len(c) <= SHORT], np.int64)
+        flat, at = encode_cuts(self.v, [texts[k] for k in short])
+        if len(short) == len(texts):
+            return flat, np.diff(at)
+        parts: list = [None] * len(texts)
+        for k, a, b in zip(short, at[:-1], at[1:]):
+            parts[k] = flat[a:b]
+        for k, c in enumerate(texts):
+            if parts[k] is None:
+                parts[k] = np.array(stream_encode(self.v, c), np.int32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def decode_ids(v: Vocabulary, flat: np.ndarray, rows: np.ndarray) -> list[bytes]:
@@ -329,6 +314,7 @@ def decode_ids(v: Vocabulary, flat: np.ndarray, rows: np.ndarray) -> list[bytes]
 
 
 _loaded: dict[str, Vocabulary] = {}
+_encoders: dict[str, Encoder] = {}  # a Python worker keeps its cache from task to task
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -337,12 +323,18 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(vocabulary(path))
+    return _encoders[path]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, n_ids, ids_crc32 of the little-endian int32 ids, text_crc32)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        enc = Encoder(vocabulary(model_path))
+        enc = encoder(model_path)
         for b in batches:
             flat, rows = enc.encode(b.column(1))
             raw, at = byte_column(b.column(1))
