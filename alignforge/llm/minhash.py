@@ -1,7 +1,7 @@
 """b-bit MinHash near-duplicate detection.
 
-128 minima per document give 32 band keys of four minima (candidate generation) and a
-packed 4-bit signature per minimum. Candidates are estimated by bit counts on the packed
+256 minima per document: the first 128 give 32 band keys of four minima (candidate
+generation), and all give a packed 4-bit signature each. Candidates are estimated by bit counts on the packed
 signatures, corrected for chance collisions of the retained bits (the match rate of two
 unrelated documents is 2**-b), and links are confirmed on the full shingle sets.
 
@@ -10,7 +10,9 @@ Work is kept linear where groups are large:
 * each class is first confirmed against the class it shares most buckets with, always
   the least one of a bucket (one edge per class), and components are formed;
 * only buckets that still hold several components are compared pairwise, in blocks of
-  bounded size, by bit counts; a block emits just the pairs that pass the estimate.
+  bounded size, by bit counts. At first each class puts up its likeliest few partners of
+  other components, then more, at last all whose estimate passes: a family of copies grows
+  together on the way, so the last round finds little left to confirm.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and keeps
 itself; fewer words than a shingle make one shingle of the whole sequence; repeated rows
@@ -21,6 +23,8 @@ carried untouched by :func:`keep_one`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,11 +34,15 @@ from pyspark.sql import functions as F
 from .common import U64, discard, mix, saved, shingle_hashes, small_batches, token_hashes
 from .components import components
 
-HASHES, ROWS, BITS = 128, 4, 4
-BANDS = HASHES // ROWS
+HASHES, BANDED, ROWS, BITS = 256, 128, 4, 4
+BANDS = BANDED // ROWS
 #: a pair is dropped before confirmation only if its corrected estimate is this far
-#: (five standard errors of 128 4-bit minima at 0.75) under the similarity asked for
-SLACK = 0.2
+#: (4.5 standard errors of 256 4-bit minima at 0.75) under the similarity asked for
+SLACK = 0.13
+#: partners a class puts up in each round; None: all
+ROUNDS = (2, 8, 32, None)
+#: edges up to which the ids to look up are sent to all tasks (some 60 MB); beyond, texts are shuffled
+BROADCAST_EDGES = 300_000
 #: classes compared at once in a bucket; larger buckets are split into block pairs
 BLOCK = 512
 _A = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
@@ -90,7 +98,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             m = minima(u, compact) if len(some) else np.zeros((0, HASHES), np.uint32)
             band = np.zeros((len(some), BANDS), U64)
             for r in range(ROWS):
-                band = mix(band * U64(0x100000001B3) + m[:, r::ROWS])
+                band = mix(band * U64(0x100000001B3) + m[:, r:BANDED:ROWS])
             band = mix(band + np.arange(BANDS, dtype=U64)[None, :] * U64(0x9E3779B97F4A7C15))
             nib = (mix(m.astype(U64)) & U64(15)).astype(np.uint8)
             packed = (nib[:, 0::2] << 4) | nib[:, 1::2]
@@ -132,10 +140,13 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, share: int) -> DataF
     hub's edges spread; each unit holds the hub's text once and its members' texts.
     """
     spark = edges.sparkSession
-    dealt = edges.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("salt"))
+    degree = edges.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("long").alias("salts"))
+    dealt = edges.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     want = dealt.select(F.col("b").alias("id"), "a", "salt", F.lit(False).alias("hub")).union(
         dealt.select(F.col("a").alias("id"), "a", "salt", F.lit(True).alias("hub")).distinct()
     )
+    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+        want = F.broadcast(want)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = (
         texts.join(want, "id")
@@ -166,8 +177,9 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, share: int) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of one bucket with different labels whose estimate passes.
+def _cross_pairs(members: DataFrame, share: int, top: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket with different labels whose estimate passes; of each class the
+    ``top`` likeliest in a block (None: all).
 
     ``members``: (key, c, lab, n_shingles, packed, size). A bucket of ``size`` members is cut
     into blocks of about BLOCK by a hash of the class; every pair of blocks is one unit.
@@ -196,15 +208,19 @@ def _cross_pairs(members: DataFrame, share: int) -> DataFrame:
             cols = np.flatnonzero(mine == j)
             if not len(rows) or not len(cols):
                 continue
-            for at in range(0, len(rows), 256):
-                r = rows[at : at + 256]
-                ok = similarity_estimate(sig[r], sig[cols]) >= floor
-                ok &= lab[r][:, None] != lab[cols][None, :]
-                lo, hi = np.minimum(n[r][:, None], n[cols][None, :]), np.maximum(n[r][:, None], n[cols][None, :])
-                ok &= 100 * lo >= share * hi
-                x, y = np.nonzero(ok)
-                p, q = c[r[x]], c[cols[y]]
-                outs.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}))
+            for x_of, y_of in ((rows, cols), (cols, rows)) if top and i != j else ((rows, cols),):
+                for at in range(0, len(x_of), 256):
+                    r = x_of[at : at + 256]
+                    est = similarity_estimate(sig[r], sig[y_of])
+                    lo, hi = np.minimum(n[r][:, None], n[y_of][None, :]), np.maximum(n[r][:, None], n[y_of][None, :])
+                    ok = (est >= floor) & (lab[r][:, None] != lab[y_of][None, :]) & (100 * lo >= share * hi)
+                    if top and len(y_of) > top:
+                        est[~ok] = -1
+                        ok &= est >= np.partition(est, -top, axis=1)[:, -top][:, None]
+                        ok &= np.cumsum(ok, axis=1) <= 2 * top  # of many equal ones, a few will do in this round
+                    x, y = np.nonzero(ok)
+                    p, q = c[r[x]], c[y_of[y]]
+                    outs.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}))
         return pd.concat(outs).drop_duplicates() if outs else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
     return m.groupBy("unit").applyInPandas(pairs, "a long, b long").distinct()
@@ -239,22 +255,30 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     firsts = saved(first)
     linked = saved(confirm(firsts, texts, width, share))
-    label1 = components(linked)
-    # buckets that still hold several components
-    now = members.join(label1.withColumnRenamed("node", "c"), "c", "left").select(
-        "key", "c", "size", F.coalesce("label", "c").alias("lab")
-    )
-    now = saved(now)
-    mixed = now.groupBy("key").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1").select("key")
-    open_members = now.join(mixed, "key").join(reps.select("c", "n_shingles", "packed"), "c")
-    again = saved(
-        _cross_pairs(open_members.select("key", "c", "lab", "n_shingles", "packed", "size"), share).join(
-            firsts, ["a", "b"], "left_anti"
+    links, tried = [linked], [firsts]
+    lab = components(linked)
+    for top in ROUNDS:
+        # buckets that still hold several components
+        now = members.join(lab.withColumnRenamed("node", "c"), "c", "left").select(
+            "key", "c", "size", F.coalesce("label", "c").alias("lab")
         )
-    )
-    linked2 = confirm(again, texts, width, share)
-    lab = components(linked.union(linked2))
-    discard(members, now, firsts, again)
+        mixed = now.groupBy("key").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1").select("key")
+        rest = saved(now.join(mixed, "key").join(reps.select("c", "n_shingles", "packed"), "c").select(
+            "key", "c", "lab", "n_shingles", "packed", "size"
+        ))
+        if not rest.limit(1).count():
+            break
+        pairs = _cross_pairs(rest, share, top)
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = saved(pairs)
+        discard(rest)
+        if not pairs.limit(1).count():
+            continue
+        tried.append(pairs)
+        links.append(saved(confirm(pairs, texts, width, share)))
+        lab = components(reduce(DataFrame.union, links))
+    discard(members, *tried, *links)
     out = sig.join(classes, ["s1", "s2"], "left").join(
         lab.select(F.col("node").alias("c"), "label"), "c", "left"
     )
