@@ -10,9 +10,10 @@ Work is kept linear where groups are large:
 * each class is first confirmed against the class it shares most buckets with, always
   the least one of a bucket (one edge per class), and components are formed;
 * only buckets that still hold several components are compared pairwise, in blocks of
-  bounded size, by bit counts. At first each class puts up its likeliest few partners of
-  other components, then more, at last all whose estimate passes: a family of copies grows
-  together on the way, so the last round finds little left to confirm.
+  bounded size (a unit: two blocks of one bucket), by bit counts; a pair of classes that
+  meets in several buckets is left to the first. The texts of a unit's candidates come to
+  it once each, and their full sets are intersected there, so candidate pairs are never
+  rows of a table.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and keeps
 itself; fewer words than a shingle make one shingle of the whole sequence; repeated rows
@@ -23,8 +24,6 @@ carried untouched by :func:`keep_one`.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,8 +38,6 @@ BANDS = BANDED // ROWS
 #: a pair is dropped before confirmation only if its corrected estimate is this far
 #: (4.5 standard errors of 256 4-bit minima at 0.75) under the similarity asked for
 SLACK = 0.13
-#: partners a class puts up in each round; None: all
-ROUNDS = (2, 8, 32, None)
 #: edges up to which the ids to look up are sent to all tasks (some 60 MB); beyond, texts are shuffled
 BROADCAST_EDGES = 300_000
 #: classes compared at once in a bucket; larger buckets are split into block pairs
@@ -177,53 +174,114 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, share: int) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, share: int, top: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket with different labels whose estimate passes; of each class the
-    ``top`` likeliest in a block (None: all).
+UNIT_SCHEMA = "unit long, x array<long>, y array<long>"
+
+
+def _candidates(members: DataFrame, share: int) -> DataFrame:
+    """Per unit, the pairs x[k], y[k] of different labels whose estimate passes.
 
-    ``members``: (key, c, lab, n_shingles, packed, size). A bucket of ``size`` members is cut
-    into blocks of about BLOCK by a hash of the class; every pair of blocks is one unit.
+    ``members``: (key, c, lab, n_shingles, packed, bands, size). A bucket of ``size`` members
+    is cut into blocks of about BLOCK by a hash of the class; every two blocks are a unit.
     """
-    spark = members.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.withColumn("nb", blocks).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("nb") - 1)
-    m = m.withColumn("other", F.explode(other))
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    m = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+    m = m.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     m = m.select(
-        "key",
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
-        "mine", "c", "lab", "n_shingles", "packed",
-    )
-    m = m.withColumn("unit", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts * 16)).cast("int"))
+        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        "mine", "c", "lab", "n_shingles", "packed", "bands",
+    ).withColumn("unit", F.xxhash64("key", "i", "j"))
+    m = m.withColumn("deal", F.pmod("unit", F.lit(parts * 8)).cast("int"))
     floor = share / 100 - SLACK
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        outs = []
-        for (_, i, j), g in pdf.groupby(["key", "i", "j"], sort=False):
+        units = []
+        for (key, i, j, unit), g in pdf.groupby(["key", "i", "j", "unit"], sort=False):
             sig = np.frombuffer(b"".join(g["packed"]), U64).reshape(len(g), -1)
+            bands = np.stack(g["bands"].to_numpy())
+            here = (bands == key).argmax(1)  # the band of this bucket
             c, lab, n, mine = (g[k].to_numpy() for k in ("c", "lab", "n_shingles", "mine"))
-            rows = np.flatnonzero(mine == i)
-            cols = np.flatnonzero(mine == j)
-            if not len(rows) or not len(cols):
-                continue
-            for x_of, y_of in ((rows, cols), (cols, rows)) if top and i != j else ((rows, cols),):
-                for at in range(0, len(x_of), 256):
-                    r = x_of[at : at + 256]
-                    est = similarity_estimate(sig[r], sig[y_of])
-                    lo, hi = np.minimum(n[r][:, None], n[y_of][None, :]), np.maximum(n[r][:, None], n[y_of][None, :])
-                    ok = (est >= floor) & (lab[r][:, None] != lab[y_of][None, :]) & (100 * lo >= share * hi)
-                    if top and len(y_of) > top:
-                        est[~ok] = -1
-                        ok &= est >= np.partition(est, -top, axis=1)[:, -top][:, None]
-                        ok &= np.cumsum(ok, axis=1) <= 2 * top  # of many equal ones, a few will do in this round
-                    x, y = np.nonzero(ok)
-                    p, q = c[r[x]], c[y_of[y]]
-                    outs.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)}))
-        return pd.concat(outs).drop_duplicates() if outs else pd.DataFrame({"a": [], "b": []}).astype("int64")
-
-    return m.groupBy("unit").applyInPandas(pairs, "a long, b long").distinct()
+            rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            left, right = [], []
+            for at in range(0, len(rows), 256):
+                r = rows[at : at + 256]
+                ok = similarity_estimate(sig[r], sig[cols]) >= floor
+                ok &= lab[r][:, None] != lab[cols][None, :]
+                lo, hi = np.minimum(n[r][:, None], n[cols][None, :]), np.maximum(n[r][:, None], n[cols][None, :])
+                ok &= 100 * lo >= share * hi
+                if i == j:
+                    ok &= c[r][:, None] < c[cols][None, :]
+                x, y = np.nonzero(ok)
+                p, q = r[x], cols[y]
+                first = (bands[p] == bands[q]).argmax(1) == here[p]  # the pair's first common bucket
+                left.append(c[p[first]])
+                right.append(c[q[first]])
+            left, right = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+            if len(left):
+                units.append((unit, left, right))
+        return pd.DataFrame(units, columns=["unit", "x", "y"])
+
+    return m.groupBy("deal").applyInPandas(pairs, UNIT_SCHEMA)
+
+
+def _linked_in(x: np.ndarray, y: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+    """Links among the pairs of a unit that join its members (a spanning forest of them)."""
+    where = {int(k): n for n, k in enumerate(ids)}
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    size = np.array([len(s) for s in sets])
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    a, b = np.array([where[int(k)] for k in x]), np.array([where[int(k)] for k in y])
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
+    for s, e in zip(cut[:-1], cut[1:]):
+        p, qs = int(a[s]), b[s:e]
+        # how many of p's shingles each member has
+        lo, hi = np.searchsorted(flat, sets[p]), np.searchsorted(flat, sets[p], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        inter = np.bincount(owner[at], minlength=len(sets))[qs]
+        for q in qs[100 * inter >= share * (size[p] + size[qs] - inter)]:
+            u, v = find(p), find(int(q))
+            if u != v:
+                root[u] = v
+                out.append((int(ids[p]), int(ids[q])))
+    return out
+
+
+def _confirm_units(units: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """Links (a, b) of all units, on the full sets of their candidates."""
+    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    deal = F.pmod("unit", F.lit(parts * 8)).cast("int")
+    want = units.select(F.col("unit").alias("u"), F.explode(F.array_distinct(F.concat("x", "y"))).alias("id"))
+    if want.limit(2 * BROADCAST_EDGES + 1).count() <= 2 * BROADCAST_EDGES:
+        want = F.broadcast(want)
+    held = texts.join(want, "id").select(F.pmod("u", F.lit(parts * 8)).cast("int").alias("deal2"), "u", "id", "text")
+
+    def check(pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        by_unit = dict(list(docs.groupby("u", sort=False)))
+        for unit, x, y in zip(pairs["unit"], pairs["x"], pairs["y"]):
+            d = by_unit[unit].drop_duplicates("id")
+            u, offs = sets_of(pa.array(d["text"], pa.string()), width)
+            out += _linked_in(x, y, d["id"].to_numpy(), [u[s:e] for s, e in zip(offs[:-1], offs[1:])], share)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return (
+        units.select(deal.alias("deal"), "unit", "x", "y").groupBy("deal")
+        .cogroup(held.groupBy("deal2")).applyInPandas(check, "a long, b long")
+    )
 
 
 def near_duplicates(
@@ -255,30 +313,18 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     firsts = saved(first)
     linked = saved(confirm(firsts, texts, width, share))
-    links, tried = [linked], [firsts]
     lab = components(linked)
-    for top in ROUNDS:
-        # buckets that still hold several components
-        now = members.join(lab.withColumnRenamed("node", "c"), "c", "left").select(
-            "key", "c", "size", F.coalesce("label", "c").alias("lab")
-        )
-        mixed = now.groupBy("key").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1").select("key")
-        rest = saved(now.join(mixed, "key").join(reps.select("c", "n_shingles", "packed"), "c").select(
-            "key", "c", "lab", "n_shingles", "packed", "size"
-        ))
-        if not rest.limit(1).count():
-            break
-        pairs = _cross_pairs(rest, share, top)
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        discard(rest)
-        if not pairs.limit(1).count():
-            continue
-        tried.append(pairs)
-        links.append(saved(confirm(pairs, texts, width, share)))
-        lab = components(reduce(DataFrame.union, links))
-    discard(members, *tried, *links)
+    # buckets that still hold several components
+    now = members.join(lab.withColumnRenamed("node", "c"), "c", "left").select(
+        "key", "c", "size", F.coalesce("label", "c").alias("lab")
+    )
+    mixed = now.groupBy("key").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1")).where("l0 <> l1").select("key")
+    rest = now.join(mixed, "key").join(reps.select("c", "n_shingles", "packed", "bands"), "c").select(
+        "key", "c", "lab", "n_shingles", "packed", "bands", "size"
+    )
+    units = saved(_candidates(rest, share))
+    lab = components(linked.union(_confirm_units(units, texts, width, share)))
+    discard(members, firsts, linked, units)
     out = sig.join(classes, ["s1", "s2"], "left").join(
         lab.select(F.col("node").alias("c"), "label"), "c", "left"
     )
