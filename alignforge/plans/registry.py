@@ -1,6 +1,476 @@
-"""Registered queries of the alignment engine and their SQL."""
+"""Registered queries of the alignment engine and their DuckDB SQL.
+
+Sequences come from whole text columns: part names (short, so SQL can align them too) and
+documents (long; SQL cannot, and tests hold the kernel against a brute-force version).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alignforge.functions import cigar as cg
+from alignforge.functions.alphabets import AA_LETTERS, NA_LETTERS, Alphabet, right_trim, strip_whitespace, translate_bases
+from alignforge.functions.scoring import Scoring, simple_similarity
+from alignforge.operators import align as al
+from alignforge.operators import metrics as mt
+from alignforge.operators import packing as pk
+from alignforge.operators import pairing as pr
+from alignforge.sources import sequences as src
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ SQL pieces
+def sql_matrix(s: Scoring) -> str:
+    """The matrix as a flat DuckDB list, row by row."""
+    return "[" + ",".join(str(int(v)) for v in s.matrix.ravel()) + "]"
+
+
+def sql_code(char: str, s: Scoring) -> str:
+    """1-based place of a character; unknown ones at the scoring's stand-in."""
+    rest = s.letters.index(s.unknown) + 1
+    return f"(CASE WHEN instr('{s.letters}', upper({char})) > 0 THEN instr('{s.letters}', upper({char})) ELSE {rest} END)"
+
+
+def sql_align(pairs: str, s: Scoring, begin: bool = True, keys: str = "pair_id") -> str:
+    """Local alignment in SQL over ``pairs`` (keys, a, b): a recursive query runs over the rows of B."""
+    n, gi, ge = len(s.letters), s.gap_init, s.gap_extend
+    mat = sql_matrix(s)
+    codes = lambda c: f"list_transform(string_split({c}, ''), lambda c: {sql_code('c', s)})"
+
+    def dp(name: str, source: str) -> str:
+        return f"""
+{name}_in AS (SELECT {keys}, {codes('a')} a, {codes('b')} b FROM {source} WHERE length(a) > 0 AND length(b) > 0),
+{name}_dp AS (
+  SELECT {keys}, a, b, 0 i, list_transform(a, lambda x: 0) H, list_transform(a, lambda x: 0) E, 0 best, 0 ae, 0 be FROM {name}_in
+  UNION ALL
+  SELECT {keys}, a, b, i, H, E, greatest(best, mx),
+    CASE WHEN mx > best THEN list_position(H, mx) - 1 ELSE ae END, CASE WHEN mx > best THEN i - 1 ELSE be END
+  FROM (SELECT *, list_max(H) mx FROM (
+    SELECT {keys}, a, b, i, best, ae, be, E,
+      list_transform(T, lambda x, j: greatest(x, {gi} + {ge} * j + list_max(list_prepend(0,
+        list_transform(range(1, j), lambda k: T[k] - ({ge}) * k))))) H
+    FROM (SELECT *, list_transform(E, lambda e, j: greatest(0, e,
+        (CASE WHEN j = 1 THEN 0 ELSE H0[j - 1] END) + {mat}[(a[j] - 1) * {n} + b[i]])) T
+      FROM (SELECT {keys}, a, b, i + 1 i, best, ae, be, H H0,
+          list_transform(E, lambda e, j: greatest(H[j] + {gi} + {ge}, e + {ge})) E
+        FROM {name}_dp WHERE i < len(b)))))),
+{name} AS (SELECT {keys}, best score, ae, be FROM {name}_dp WHERE i = len(b))"""
+
+    out = "WITH RECURSIVE " + pairs + "," + dp("fw", "pairs")
+    ends = "coalesce(fw.score, 0)::INTEGER score, coalesce(fw.ae, 0)::INTEGER a_end, coalesce(fw.be, 0)::INTEGER b_end"
+    if not begin:
+        return out + f" SELECT {keys}, {ends} FROM pairs LEFT JOIN fw USING ({keys})"
+    back = f"""back_pairs AS (SELECT {keys}, reverse(substr(a, 1, ae + 1)) a, reverse(substr(b, 1, be + 1)) b
+      FROM pairs JOIN fw USING ({keys}) WHERE fw.score > 0)"""
+    return (
+        out + "," + back + "," + dp("bw", "back_pairs")
+        + f""" SELECT {keys}, {ends}, coalesce(fw.ae - bw.ae, 0)::INTEGER a_begin, coalesce(fw.be - bw.be, 0)::INTEGER b_begin
+    FROM pairs LEFT JOIN fw USING ({keys}) LEFT JOIN bw USING ({keys})"""
+    )
+
+
+# each part's name with the next part's, the two sides of a positional zip
+PART_PAIRS = """pairs AS (SELECT x.p_partkey pair_id, x.p_name a, y.p_name b
+  FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"""
+NAME_PAIRS = """pairs AS (SELECT n_nationkey * 1000 + r_regionkey pair_id, n_name a, r_name b FROM nation, region)"""
+
+
+def part_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"))
+    shifted = p.select((F.col("pair_id") - 1).alias("pair_id"), F.col("a").alias("b"))
+    both = shifted.select("pair_id").join(p.select("pair_id"), "pair_id")
+    return p.join(both, "pair_id", "left_semi"), shifted.join(both, "pair_id", "left_semi")
+
+
+def part_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pr.zip_pairs(*part_sides(spark, d), check=False)
+
+
+def document_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents with the next one, nucleotide letters of the text only."""
+    doc = read(spark, d, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("s"))
+    a = doc.select(F.col("doc_id").alias("pair_id"), F.col("s").alias("a"))
+    return a.join(doc.select((F.col("doc_id") - 1).alias("pair_id"), F.col("s").alias("b")), "pair_id")
+
+
+NA = Scoring.named("na")
+NA_OPEN3 = Scoring.open_extend("na", 3, 1)
+AA50 = Scoring.open_extend("blosum50", 3, 1)
+AA62 = Scoring.open_extend("blosum62", 3, 1)
+
+
+# ------------------------------------------------------------------ alignment
+@query(sql_align(PART_PAIRS, NA))
+def align_zip_begin(spark, d):
+    return al.align(part_pairs(spark, d), NA)
+
+
+@query(sql_align(PART_PAIRS, NA, begin=False))
+def align_forward_only(spark, d):
+    return al.align(part_pairs(spark, d), NA, outputs=("score", "end"))
+
+
+@query(sql_align(PART_PAIRS, NA_OPEN3))
+def align_gap_open3(spark, d):
+    return al.align(part_pairs(spark, d), NA_OPEN3)
+
+
+@query(sql_align(PART_PAIRS, AA50))
+def align_aa_blosum50(spark, d):
+    return al.align(part_pairs(spark, d), AA50)
+
+
+@query(sql_align(PART_PAIRS, AA62))
+def align_aa_blosum62(spark, d):
+    return al.align(part_pairs(spark, d), AA62)
+
+
+@query()
+def align_documents(spark, d):
+    """Neighbouring documents, whole; dealt by cost."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return al.align(al.cost_balanced(document_pairs(spark, d), n), NA, outputs=("score", "end"))
+
+
+@query(sql_align("""pairs AS (SELECT x.p_partkey pair_id, x.p_name a, y.p_name b FROM part x JOIN part y ON y.p_partkey = x.p_partkey // 2)""", AA62))
+def align_pair_list(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq"))
+    cmp = p.select(F.col("seq_id").alias("pair_id"), F.col("seq_id").alias("a_id"), F.floor(F.col("seq_id") / 2).cast("long").alias("b_id"))
+    return al.align(pr.pair_list(p, cmp).drop("a_id", "b_id"), AA62)
+
+
+@query(sql_align("""pairs AS (SELECT x.s_suppkey * 1000000 + y.s_suppkey pair_id, x.s_name a, y.s_name b FROM supplier x
+  JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey > y.s_suppkey)""", AA62, begin=False))
+def align_all_vs_all(spark, d):
+    s = read(spark, d, "supplier")
+    pairs = pr.within_blocks(s, F.col("s_nationkey"), "s_suppkey", "s_name")
+    return al.align(pairs.select((F.col("a_id") * 1000000 + F.col("b_id")).alias("pair_id"), "a", "b"), AA62, outputs=("score", "end"))
+
+
+@query(sql_align("pairs AS (SELECT p_partkey pair_id, p_name a, 'small hot widget gear' b FROM part)", AA62, begin=False))
+def align_one_vs_many(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), "p_name")
+    return al.align(pr.one_against_many("small hot widget gear", p, "p_name"), AA62, outputs=("score", "end"))
+
+
+@query(sql_align(NAME_PAIRS, AA50))
+def align_product(spark, d):
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    pairs = pr.product(n, r).select((F.col("n_nationkey") * 1000 + F.col("r_regionkey")).alias("pair_id"), F.col("n_name").alias("a"), F.col("r_name").alias("b"))
+    return al.align(pairs, AA50)
+
+
+@query()
+def second_best(spark, d):
+    return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "second"))
+
+
+@query()
+def cigar(spark, d):
+    return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"))
+
+
+@query()
+def filtered_cigar(spark, d):
+    return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"), min_score=20, max_distance=12)
+
+
+# ------------------------------------------------------------------ encoding
+def listed(codes):
+    """An array as text, so both engines show it alike."""
+    return F.array_join(codes.cast("array<string>"), ",")
+
+
+def _sql_encode(letters: str, col: str) -> str:
+    return f"array_to_string(list_transform(string_split({col}, ''), lambda c: CASE WHEN instr('{letters}', upper(c)) > 0 THEN instr('{letters}', upper(c)) - 1 ELSE {len(letters)} END), ',')"
+
+
+@query(f"SELECT p_partkey, {_sql_encode(NA_LETTERS, 'p_name')} codes FROM part")
+def encode_na(spark, d):
+    return read(spark, d, "part").select("p_partkey", listed(Alphabet("na").encode_column(F.col("p_name"))).alias("codes"))
+
+
+@query(f"SELECT p_partkey, {_sql_encode(AA_LETTERS, 'p_name')} codes FROM part")
+def encode_aa(spark, d):
+    return read(spark, d, "part").select("p_partkey", listed(Alphabet("aa").encode_column(F.col("p_name"))).alias("codes"))
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''),
+  lambda c: CASE WHEN instr('{AA_LETTERS}', upper(c)) > 0 THEN upper(c) ELSE '?' END), '') letters FROM part""")
+def decode_aa(spark, d):
+    a = Alphabet("aa")
+    codes = a.encode_column(F.col("p_name"))
+    return read(spark, d, "part").select("p_partkey", F.translate(a.decode_column(codes), "\0", "?").alias("letters"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(upper(p_name), ''),
+  lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 WHEN 'U' THEN 0 ELSE 4 END), ',') codes FROM part""")
+def base_translate(spark, d):
+    return read(spark, d, "part").select("p_partkey", listed(translate_bases(F.col("p_name"))).alias("codes"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\s', '', 'g') stripped, regexp_replace(text, '\s+$', '') trimmed FROM documents")
+def strip_ws(spark, d):
+    return read(spark, d, "documents").select("doc_id", strip_whitespace(F.col("text")).alias("stripped"), right_trim(F.col("text")).alias("trimmed"))
+
+
+def _sql_matrix_rows(s: Scoring) -> str:
+    rows = ",".join(f"('{x}','{y}',{int(s.matrix[i, j])})" for i, x in enumerate(s.letters) for j, y in enumerate(s.letters))
+    return f"SELECT x, y, score::INTEGER score FROM (VALUES {rows}) t(x, y, score)"
+
+
+@query(_sql_matrix_rows(Scoring.named("na", match=2, mismatch=-3, ambiguity=-2)))
+def matrix_na_scaled(spark, d):
+    return Scoring.named("na", match=2, mismatch=-3, ambiguity=-2).frame(spark)
+
+
+@query(_sql_matrix_rows(AA50))
+def matrix_blosum50(spark, d):
+    return AA50.frame(spark)
+
+
+@query(_sql_matrix_rows(AA62))
+def matrix_blosum62(spark, d):
+    return AA62.frame(spark)
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''),
+  lambda c: array_to_string(list_slice({sql_matrix(AA62)}, ({sql_code('c', AA62)} - 1) * {len(AA_LETTERS)} + 1, {sql_code('c', AA62)} * {len(AA_LETTERS)}), ',')), ';') profile FROM part""")
+def query_profile(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.array_join(F.transform(AA62.profile_column(F.col("p_name")), listed), ";").alias("profile"))
+
+
+@query("SELECT p_partkey, CASE WHEN substr(p_name, 1, 1) = substr(p_type, 1, 1) THEN 1 ELSE -1 END similarity FROM part")
+def simple_char_similarity(spark, d):
+    return read(spark, d, "part").select("p_partkey", simple_similarity(F.substring("p_name", 1, 1), F.substring("p_type", 1, 1)).alias("similarity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_suppkey % 60000) | ((l_partkey % 30000) << 16) packed, l_suppkey % 60000 AS begin_pos, l_partkey % 30000 AS end_pos FROM lineitem")
+def pack_unpack_range(spark, d):
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", al.pack_range(F.col("l_suppkey") % 60000, F.col("l_partkey") % 30000).alias("packed"))
+    return x.withColumn("r", al.unpack_range(F.col("packed"))).select("l_orderkey", "l_linenumber", "packed", F.col("r.begin").alias("begin_pos"), F.col("r.end").alias("end_pos"))
+
+
+_SQL_OP = "(CASE l_linenumber % 9 WHEN 0 THEN 'M' WHEN 1 THEN 'I' WHEN 2 THEN 'D' WHEN 3 THEN 'N' WHEN 4 THEN 'S' WHEN 5 THEN 'H' WHEN 6 THEN 'P' WHEN 7 THEN '=' ELSE 'X' END)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, (l_partkey << 4) | (l_linenumber % 9) packed, {_SQL_OP} op, l_partkey len FROM lineitem")
+def cigar_codec(spark, d):
+    op = F.substring(F.lit(cg.OPS), (F.col("l_linenumber") % 9).cast("int") + F.lit(1), F.lit(1))
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cg.pack(F.col("l_partkey"), op).alias("packed"))
+    return x.select("*", cg.op_of(F.col("packed")).alias("op"), cg.length_of(F.col("packed")).alias("len"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, concat(l_linenumber, 'S', l_partkey, '=', l_suppkey, 'X', l_linenumber, 'I', l_partkey, 'M', l_suppkey, 'D') cigar FROM lineitem)
+SELECT l_orderkey, l_linenumber, cigar, list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[XID]', 1), lambda v: v::BIGINT))::BIGINT mismatches FROM c""")
+def cigar_mismatches(spark, d):
+    c = F.concat(*[F.concat(F.col(n).cast("string"), F.lit(o)) for n, o in (("l_linenumber", "S"), ("l_partkey", "="), ("l_suppkey", "X"), ("l_linenumber", "I"), ("l_partkey", "M"), ("l_suppkey", "D"))])
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.alias("cigar")).withColumn("mismatches", cg.mismatches(F.col("cigar")))
+
+
+# ------------------------------------------------------------------ packing
+def sized(spark, d) -> DataFrame:
+    """Part pairs with sizes, grouped by brand: the unit that is packed."""
+    p = read(spark, d, "part")
+    return p.select("p_brand", F.col("p_partkey").alias("pair_id"), F.length("p_name").alias("size_a"), F.length("p_type").alias("size_b"), F.col("p_name").alias("a_id"), F.col("p_type").alias("b_id"))
+
+
+SIZED = "sized AS (SELECT p_brand, p_partkey pair_id, length(p_name) size_a, length(p_type) size_b, p_name a_id, p_type b_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) rn FROM part)"
+_CAPACITY, _CMPS, _BUCKETS = 100, 5, 2000
+
+
+@query(f"""WITH RECURSIVE {SIZED}, f AS (
+  SELECT p_brand, pair_id, size_a, size_b, rn, 0 batch_id, 1 n, size_a + size_b total FROM sized WHERE rn = 1
+  UNION ALL
+  SELECT s.p_brand, s.pair_id, s.size_a, s.size_b, s.rn,
+    CASE WHEN n + 1 < 8 AND total + s.size_a + s.size_b < 120 THEN batch_id ELSE batch_id + 1 END,
+    CASE WHEN n + 1 < 8 AND total + s.size_a + s.size_b < 120 THEN n + 1 ELSE 1 END,
+    CASE WHEN n + 1 < 8 AND total + s.size_a + s.size_b < 120 THEN total ELSE 0 END + s.size_a + s.size_b
+  FROM f JOIN sized s ON s.p_brand = f.p_brand AND s.rn = f.rn + 1)
+SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, batch_id FROM f""")
+def batches(spark, d):
+    return pk.assign_batches(sized(spark, d), 8, 120, "p_brand")
+
+
+@query(f"""WITH RECURSIVE {SIZED}, f AS (
+  SELECT p_brand, pair_id, size_a, size_b, rn, 0 bucket, 0 slot, size_a + size_b total FROM sized WHERE rn = 1
+  UNION ALL
+  SELECT s.p_brand, s.pair_id, s.size_a, s.size_b, s.rn,
+    CASE WHEN slot + 1 < {_CMPS} AND total + s.size_a + s.size_b <= {_CAPACITY} THEN bucket ELSE bucket + 1 END,
+    CASE WHEN slot + 1 < {_CMPS} AND total + s.size_a + s.size_b <= {_CAPACITY} THEN slot + 1 ELSE 0 END,
+    CASE WHEN slot + 1 < {_CMPS} AND total + s.size_a + s.size_b <= {_CAPACITY} THEN total ELSE 0 END + s.size_a + s.size_b
+  FROM f JOIN sized s ON s.p_brand = f.p_brand AND s.rn = f.rn + 1)
+SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, bucket, slot FROM f""")
+def bucket_fill_first(spark, d):
+    return pk.assign_buckets(sized(spark, d), "fill_first", _BUCKETS, _CMPS, _CAPACITY, "p_brand")
+
+
+@query(f"""WITH {SIZED} SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b,
+  ((rn - 1) % 2000)::INTEGER bucket, ((rn - 1) // 2000)::INTEGER slot FROM sized""")
+def bucket_round_robin(spark, d):
+    return pk.assign_buckets(sized(spark, d), "round_robin", _BUCKETS, 100, 10**6, "p_brand")
+
+
+@query()
+def bucket_greedy(spark, d):
+    return pk.assign_buckets(sized(spark, d), "greedy", _BUCKETS, _CMPS, _CAPACITY, "p_brand")
+
+
+@query()
+def bucket_dedup(spark, d):
+    return pk.assign_buckets(sized(spark, d), "fill_first", _BUCKETS, 50, _CAPACITY, "p_brand", dedup=True)
+
+
+@query(f"""WITH {SIZED}, o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY size_a * size_b DESC, pair_id) - 1 r FROM sized)
+SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, (CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END)::INTEGER bucket FROM o""")
+def bucket_snake(spark, d):
+    return pk.snake(sized(spark, d).drop("a_id", "b_id"), 8, "p_brand")
+
+
+_SQL_RR = f"rr AS (SELECT *, (rn - 1) % 40 bucket, (rn - 1) // 40 slot FROM sized)"
+
+
+def _rr(spark, d):
+    return pk.assign_buckets(sized(spark, d), "round_robin", 40, 10**5, 10**7, "p_brand")
+
+
+@query(f"""WITH {SIZED}, {_SQL_RR}, l AS (SELECT p_brand, bucket, slot % 6 lane, sum(size_a * size_b) load, count(*) n, sum(size_a + size_b) bytes, max(size_a * size_b) top FROM rr GROUP BY ALL)
+SELECT p_brand, bucket::INTEGER bucket, sum(n)::BIGINT cmps, sum(bytes)::BIGINT bytes, sum(load)::BIGINT sum_load, (CASE WHEN count(*) < 6 THEN 0 ELSE min(load) END)::BIGINT min_load,
+  max(load)::BIGINT max_load, max(top)::BIGINT top_pair FROM l GROUP BY ALL""")
+def bucket_stats(spark, d):
+    return pk.bucket_stats(_rr(spark, d), ["p_brand", "bucket"])
+
+
+@query(f"WITH {SIZED}, {_SQL_RR} SELECT cmps, count(*) buckets FROM (SELECT p_brand, bucket, count(*) cmps FROM rr GROUP BY ALL) GROUP BY cmps")
+def bucket_histogram(spark, d):
+    return pk.occupancy(_rr(spark, d), ["p_brand", "bucket"])
+
+
+@query("SELECT p_partkey, (ceil(p_size / 50.0::DOUBLE * 4) - 1)::INTEGER size_class FROM part")
+def size_class(spark, d):
+    return read(spark, d, "part").select("p_partkey", pk.size_class(F.col("p_size"), 50, 4).alias("size_class"))
+
+
+@query("SELECT o_orderkey, o_orderkey // 7 batch, o_orderkey % 7 slot FROM orders")
+def slot_unpack(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", pk.unpack_slot(F.col("o_orderkey"), 7).alias("s")).select("o_orderkey", "s.*")
+
+
+@query(f"""WITH {SIZED}, {_SQL_RR} SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, bucket::INTEGER bucket, slot::INTEGER slot,
+  coalesce(sum(size_a + size_b) OVER w, 0)::BIGINT off_a, (coalesce(sum(size_a + size_b) OVER w, 0) + size_a)::BIGINT off_b, (bucket * 500 + slot)::INTEGER result_place
+FROM rr WINDOW w AS (PARTITION BY p_brand, bucket ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def arena_offsets(spark, d):
+    return pk.arena_offsets(_rr(spark, d), ["p_brand", "bucket"], 500)
+
+
+@query("SELECT o_orderkey % 6 worker, count(*) cmps, sum(o_orderkey)::BIGINT id_sum FROM orders GROUP BY 1")
+def stride_workers(spark, d):
+    return read(spark, d, "orders").groupBy(pk.stripe(F.col("o_orderkey"), 6).alias("worker")).agg(F.count("*").alias("cmps"), F.sum("o_orderkey").alias("id_sum"))
+
+
+@query("SELECT p_partkey, copy::INTEGER copy FROM part, range(3) t(copy)")
+def duplicate_dataset(spark, d):
+    return pr.duplicated(read(spark, d, "part").select("p_partkey"), 3)
+
+
+# ------------------------------------------------------------------ measures and logs
+@query("SELECT sum(length(p_name) * length(p_type))::BIGINT cells, sum(length(p_name) + length(p_type))::BIGINT bytes FROM part")
+def cells_total(spark, d):
+    return read(spark, d, "part").agg(mt.cells("p_name", "p_type").alias("cells"), mt.data_bytes("p_name", "p_type").alias("bytes"))
+
+
+@query("SELECT p_brand, sum(length(p_name) * length(p_type)) / 2.0::DOUBLE / 1e9 gcups FROM part GROUP BY 1")
+def gcups_fixed_time(spark, d):
+    return read(spark, d, "part").groupBy("p_brand").agg(mt.gcups(mt.cells("p_name", "p_type"), F.lit(2.0)).alias("gcups"))
+
+
+@query(f"SELECT max(score) max_score, count(*) cmps FROM ({sql_align(PART_PAIRS, AA62, begin=False)})")
+def score_summary(spark, d):
+    return al.align(part_pairs(spark, d), AA62, outputs=("score",)).agg(F.max("score").alias("max_score"), F.count("*").alias("cmps"))
+
+
+@query(f"SELECT pair_id, score FROM ({sql_align(PART_PAIRS, AA62, begin=False)}) ORDER BY score DESC, pair_id LIMIT 10")
+def top_pairs(spark, d):
+    return al.align(part_pairs(spark, d), AA62, outputs=("score",)).orderBy(F.desc("score"), "pair_id").limit(10)
+
+
+def run_logs(spark, d) -> DataFrame:
+    """Events as run logs: one run a user, a batch record an event, with setup and final lines."""
+    e = read(spark, d, "events")
+    run = F.concat(F.lit("run"), F.col("user_id").cast("string"), F.lit(".log"))
+    batch = e.select(run.alias("file"), mt.log_line(mt.TAG_RUN, F.lit("batch_perf").alias("tag"), F.col("value").alias("time_inner"), F.get_json_object("props", "$.k").cast("long").alias("cell_count")).alias("value"))
+    users = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    setup = users.select(run.alias("file"), mt.log_line(mt.TAG_RUN, F.lit("run_comparison_setup").alias("tag"), (F.col("user_id") % 8).alias("devices")).alias("value"))
+    final = users.where("user_id % 3 <> 0").select(run.alias("file"), mt.log_line(mt.TAG_RUN, F.lit("final_log").alias("tag"), F.col("n").alias("batches_processed")).alias("value"))
+    noise = users.select(run.alias("file"), F.lit("INFO nothing to see").alias("value"))
+    return batch.union(setup).union(final).union(noise)
+
+
+_LOG = "tag string, time_inner double, cell_count long, devices long, batches_processed long"
+_STATS = ", ".join(
+    f"{f} {m}_{n}" for m in ("time_inner", "cell_count")
+    for n, f in (("median", f"median({m}::DOUBLE)"), ("max", f"max({m})::DOUBLE"), ("min", f"min({m})::DOUBLE"))
+)
+
+
+@query(f"""WITH r AS (SELECT concat('run', user_id, '.log') file, user_id, value time_inner, json_extract(props, '$.k')::BIGINT cell_count FROM events)
+SELECT file, {_STATS}, round(avg(time_inner), 6) time_inner_average, round(sum(time_inner), 4) time_inner_sum, avg(cell_count) cell_count_average, sum(cell_count)::DOUBLE cell_count_sum,
+  any_value(user_id % 8) devices, count(*) final_batches_processed FROM r WHERE user_id % 3 <> 0 GROUP BY file""")
+def log_rollup(spark, d):
+    log = mt.tagged(run_logs(spark, d), mt.TAG_RUN, _LOG)
+    by = lambda t: log.where(F.col("tag") == t)
+    out = mt.with_setup(
+        mt.rollup(by("batch_perf"), "file", ["time_inner", "cell_count"]), by("run_comparison_setup").select("file", "devices"),
+        by("final_log").select("file", "batches_processed"), "file",
+    )
+    return out.withColumn("time_inner_average", F.round("time_inner_average", 6)).withColumn("time_inner_sum", F.round("time_inner_sum", 4))
+
+
+@query("""SELECT s_suppkey, (s_suppkey % 96 + 1)::INTEGER threads, concat('dna_', s_nationkey) dataset, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END numa FROM supplier""")
+def cpu_log_parse(spark, d):
+    s = read(spark, d, "supplier")
+    name = F.format_string("ssw%d_dna_%d_numa%s.log", F.col("s_suppkey") % 96 + 1, F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "0-1").otherwise("1"))
+    return s.select("s_suppkey", *mt.cpu_run_fields(name))
+
+
+@query("SELECT sum((o_orderstatus = 'F')::INTEGER)::BIGINT failures, count(*) runs FROM orders")
+def failure_count(spark, d):
+    return read(spark, d, "orders").agg(mt.failures(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("failures"), F.count("*").alias("runs"))
+
+
+@query("SELECT o_orderkey, (o_custkey << 32) | o_orderkey cycles FROM orders")
+def cycle_count(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", mt.cycles(F.col("o_orderkey"), F.col("o_custkey")).alias("cycles"))
+
+
+# ------------------------------------------------------------------ sources
+@query(r"""WITH f AS (SELECT p_brand, string_agg('> ' || p_partkey || ' ' || chr(10) || p_name || chr(10) || p_type, chr(10) ORDER BY p_partkey) t FROM part GROUP BY 1)
+SELECT p_brand, '> ' || p_partkey AS description, regexp_replace(p_name || p_type, '\s', '', 'g') AS sequence FROM part""")
+def fasta_parse(spark, d):
+    """Part names written as FASTA texts by brand, then parsed back."""
+    p = read(spark, d, "part")
+    rec = F.concat(F.lit("> "), F.col("p_partkey").cast("string"), F.lit(" \n"), F.col("p_name"), F.lit("\n"), F.col("p_type"))
+    text = p.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(rec)), "\n").alias("t"))
+    return text.select("p_brand", F.explode(src.fasta_records(F.col("t"))).alias("r")).select("p_brand", "r.*")
+
+
+@query("SELECT p_partkey seq_id, p_name seq FROM part WHERE p_partkey % 2 = 1")
+def even_line_filter(spark, d):
+    return src.even_lines(read(spark, d, "part").select(F.col("p_partkey").alias("seq_id"), F.col("p_name").alias("seq")))
