@@ -100,11 +100,15 @@ def fill(algorithm: str, seqs: list[dict], cost: list[int], count: int, max_cmps
     return out
 
 
+def _with(df: DataFrame, *names: str) -> T.StructType:
+    return T.StructType([*df.schema, *(T.StructField(n, T.IntegerType()) for n in names)])
+
+
 def assign_batches(pairs: DataFrame, cmp_limit: int, data_limit: int, group: str, order: str = "pair_id") -> DataFrame:
     """(group, order, size_a, size_b) -> with batch_id, per group in ``order``."""
     small_batches(pairs.sparkSession, rows=10000)
     src = pairs.select(group, order, "size_a", "size_b")
-    schema = src.schema.add("batch_id", T.IntegerType())
+    schema = _with(src, "batch_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -121,7 +125,7 @@ def assign_buckets(
     sequence that a bucket holds already takes no room."""
     small_batches(pairs.sparkSession, rows=10000)
     src = pairs.select(group, order, "size_a", "size_b", *(["a_id", "b_id"] if dedup else []))
-    schema = src.schema.add("bucket", T.IntegerType()).add("slot", T.IntegerType())
+    schema = _with(src, "bucket", "slot")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
