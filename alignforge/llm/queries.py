@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, cover_tree, decontaminate, langid, minhash, sentencepiece_viterbi, token_binary, toxicity, url_filter
+from . import chat_format, cover_tree, decontaminate, langid, minhash, pitman_yor, sentencepiece_viterbi, token_binary, toxicity, url_filter
 from .common import fold, saved, table
 
 
@@ -34,6 +34,11 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(rows, rows.where(F.col("id") % 20 == 0), 20)
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pitman_yor.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+    return got.withColumnRenamed("id", "doc_id")
+
+
 # How transcripts of the query write their speakers, one style a conversation.
 STYLES = [
     {"user": "User: ", "assistant": "Assistant: ", "system": "System: "},
