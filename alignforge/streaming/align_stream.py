@@ -27,13 +27,13 @@ def start(aligned: DataFrame, out: str, checkpoint: str, available_now: bool = T
 class Job:
     """A submitted run: ``join`` waits for it and gives the results."""
 
-    def __init__(self, query: StreamingQuery, out: str):
-        self.query, self.out = query, out
+    def __init__(self, query: StreamingQuery, out: str, spark: SparkSession):
+        self.query, self.out, self.spark = query, out, spark
 
     def join(self) -> DataFrame:
         self.query.awaitTermination()
-        return self.query.sparkSession.read.parquet(self.out)
+        return self.spark.read.parquet(self.out)
 
 
 def submit(pairs: DataFrame, scoring: Scoring, out: str, checkpoint: str, **how) -> Job:
-    return Job(start(align_stream(pairs, scoring, **how), out, checkpoint), out)
+    return Job(start(align_stream(pairs, scoring, **how), out, checkpoint), out, pairs.sparkSession)
