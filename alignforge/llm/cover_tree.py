@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 DATA_BLOCK, QUERY_BLOCK = 8192, 4096
-#: points scored by one matrix product; embeddings rarely compress below this
-DATA_LEAF, QUERY_LEAF = 1024, 256
+#: points scored by one matrix product where a net at half the scale has too many centres
+#: to bound anything; below SMALL, always
+DATA_LEAF, QUERY_LEAF, SMALL = 1024, 256, 24
 
 
 class CoverTree:
@@ -61,7 +62,7 @@ class CoverTree:
         while stack:
             node, dist = stack.pop()
             lo, hi, scale = self.lo[node], self.hi[node], self.radius[node] / 2
-            if hi - lo <= leaf or self.radius[node] == 0:
+            if hi - lo <= SMALL or self.radius[node] == 0:
                 continue
             ids = self.order[lo:hi]
             pts = self.x[ids]
@@ -76,6 +77,8 @@ class CoverTree:
                 closer = e < near
                 own[closer], near[closer] = len(centres), e[closer]
                 centres.append(pts[far])
+            if near.max() > scale and hi - lo <= leaf:
+                continue  # more than ``fan`` centres: no structure that bounds could use
             if len(centres) == 1:
                 # all points near the centre: the same points one scale down
                 self.radius[node] = float(near.max())

@@ -49,7 +49,7 @@ best AS (
   JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY ALL)
 SELECT p.page_id, p.host, p.path, best.rule,
-  coalesce(best.action, CASE WHEN least(1.0, m + 1.645 * sqrt(m * (1 - m) / (n + st + 1))) < 0.7 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(best.action, CASE WHEN least(1.0, m + 2.326 * sqrt(m * (1 - m) / (n + st + 1))) < 0.7 THEN 'block' ELSE 'allow' END) AS verdict,
   n::BIGINT AS host_outcomes, k::BIGINT AS host_good, round(m, 6) AS host_mean
 FROM p JOIN h3 USING (host) LEFT JOIN best ON best.page_id = p.page_id AND best.host = p.host AND best.path = p.path
 """

@@ -82,7 +82,7 @@ def _strength(children: DataFrame) -> float:
     return 1.0 / rho - 1.0
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", z: float = 1.645) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", z: float = 2.326) -> DataFrame:
     """(host, n, k, mean, lower, upper) of every host of ``pages``.
 
     ``outcomes``: (page_id, good 0/1), any number per page.
@@ -121,7 +121,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
 
 def judge(
     pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
-    min_good: float = 0.7, z: float = 1.645,
+    min_good: float = 0.7, z: float = 2.326,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_outcomes, host_good, host_mean) for every page."""
     rep = reputation(pages, outcomes, id_col, url_col, z)
