@@ -10,7 +10,8 @@ decision value of *every* window of a text costs one table lookup per gap patter
 
 Training sentences: windows around words of labelled documents. A toxic document is a bag of
 which some windows are toxic: those at words that mark toxic documents (or the best window where no
-such word stands), against windows of clean documents, the worst of which join each round.
+such word stands) and those words in disguise, against windows of clean documents, the
+worst of which join each round.
 A logistic curve on a document's best windows gives the score.
 
 Fit on a bounded sample: at most about ``sample_docs`` documents of each label of at most
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 CODES = 32  # symbol classes; 0: a run of anything but letters
+PAD = 31  # behind every text, so that no window reaches into the next; no subsequence with it counts
 SPAN = 7
 DECAY = 0.7
 WINDOW = 14
@@ -50,7 +52,7 @@ _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 
 @lru_cache(1)
 def _code_table() -> np.ndarray:
-    """Code point -> symbol class: a-z are 1-26, other letters share 27-31, the rest is 0."""
+    """Code point -> symbol class: a-z are 1-26, other letters share 27-30, the rest is 0."""
     out = np.zeros(0x110000, np.int32)
     for c in range(0x110000):
         if 0xD800 <= c < 0xE000:
@@ -58,7 +60,7 @@ def _code_table() -> np.ndarray:
         s = chr(c)
         if s.isalpha():
             low = s.lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 5
+            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 4
         elif unicodedata.category(s) == "Mn":
             out[c] = -1  # combining marks vanish
     for a, b in _STANDS_FOR.items():
@@ -67,7 +69,7 @@ def _code_table() -> np.ndarray:
 
 
 def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol classes of all texts and row offsets; each row is framed by one 0."""
+    """Symbol classes of all texts and row offsets; each row is framed by one 0, and PAD follows."""
     table = _code_table()
     framed = [f" {t or ''} " for t in texts]
     lens = np.fromiter(map(len, framed), np.int64, len(framed))
@@ -83,8 +85,11 @@ def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
     prev[1:] = x[:-1] == 0
     prev[offs[:-1]] = False
     keep = (x >= 0) & ~((x == 0) & prev)
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    return x[keep], kept[offs]
+    kept = np.concatenate([[0], np.cumsum(keep)])[offs]
+    out = np.full(int(kept[-1]) + WINDOW * len(texts), PAD, np.int32)
+    row = np.repeat(np.arange(len(texts)), np.diff(kept))
+    out[np.arange(int(kept[-1])) + WINDOW * row] = x[keep]
+    return out, kept + WINDOW * np.arange(len(kept))
 
 
 def local_values(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -93,7 +98,7 @@ def local_values(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.float32)
     if n < 4:
         return out
-    x = np.concatenate([x, np.zeros(SPAN, x.dtype)]).astype(np.int64)
+    x = np.concatenate([x, np.full(SPAN, PAD, x.dtype)]).astype(np.int64)
     c0, c1, c2 = x << 15, x << 10, x << 5
     two, three, four = (np.empty(n, np.int64) for _ in range(3))
     got = np.empty(n, np.float32)
@@ -123,8 +128,8 @@ def feature_rows(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_array(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The symbols from each start on, WINDOW + SPAN of them (0 past the end)."""
-    padded = np.concatenate([x, np.zeros(WINDOW + SPAN, x.dtype)])
+    """The symbols from each start on, WINDOW + SPAN of them (PAD past the end)."""
+    padded = np.concatenate([x, np.full(WINDOW + SPAN, PAD, x.dtype)])
     return padded[starts[:, None] + np.arange(WINDOW + SPAN)[None, :]]
 
 
@@ -141,7 +146,9 @@ class Model:
             r[a : a + PASS] = local_values(x[a : a + PASS + SPAN], self.weights)[: PASS]
         s = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
         end = np.minimum(np.arange(len(x)) + WINDOW, len(x))
-        return (s[end] - s[:-1] + self.bias).astype(np.float32)
+        out = (s[end] - s[:-1] + self.bias).astype(np.float32)
+        out[x == PAD] = -99.0  # no window of a text
+        return out
 
     def features(self, texts: list) -> np.ndarray:
         """Per text: 1, best block, mean of the best three, blocks above 0 and 1 (logs), length (log)."""
@@ -167,7 +174,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
 
 
-def _svm(z: np.ndarray, y: np.ndarray, c: np.ndarray, lam: float = 1e-3, steps: int = 30) -> np.ndarray:
+def _svm(z: np.ndarray, y: np.ndarray, c: np.ndarray, lam: float = 1e-5, steps: int = 30) -> np.ndarray:
     """Squared-hinge SVM by Newton steps; the last column of z is the bias."""
     w = np.zeros(z.shape[1])
     reg = np.full(z.shape[1], lam)
@@ -239,6 +246,7 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
     lm = np.array(lm)
     ids, wt = feature_rows(lm)
     known = np.unique(ids[ids > 0])  # the subsequences that landmarks have; four blanks say nothing
+    known = known[((known[:, None] >> np.array([15, 10, 5, 0])) % CODES != PAD).all(1)]
     place = np.zeros(CODES**4, np.int32)
     place[known] = np.arange(1, len(known) + 1)
     phi = np.zeros((len(known) + 1, len(lm)), np.float32)  # row 0: any other subsequence
@@ -251,12 +259,12 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
     keep = val > 1e-4 * val.max()
     white = vec[:, keep] / np.sqrt(val[keep])
 
-    def nystrom(starts: np.ndarray) -> np.ndarray:
-        out = np.empty((len(starts), len(lm)), np.float32)
-        for a in range(0, len(starts), 128):
-            i, w = feature_rows(window_array(x, starts[a : a + 128]))
+    def nystrom(windows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(windows), len(lm)), np.float32)
+        for a in range(0, len(windows), 128):
+            i, w = feature_rows(windows[a : a + 128])
             out[a : a + 128] = np.einsum("nfm,f->nm", phi[place[i]], w, optimize=True)
-        return np.hstack([out @ white, np.ones((len(starts), 1))])
+        return np.hstack([out @ white, np.ones((len(windows), 1))])
 
     # toxic sentences: the windows of toxic documents at words that begin like a marker word
     blanks = np.flatnonzero(x == 0)
@@ -267,6 +275,7 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
     _, fam, size = np.unique(family, return_inverse=True, return_counts=True)
     pick = np.argsort(rng.random(len(start_pos)))[:8000]
     start_pos, weight_pos = start_pos[pick], 1.0 / np.sqrt(size[fam[pick]])
+    spelled, repeats = disguised(marks, rng), repeated(window_array(x, clean_at[rng.permutation(len(clean_at))[:600]]))
     bare = [i for i in np.flatnonzero(y == 1) if i not in set(row[start_pos])]
     # first guess: kernel with the marker words alone
     first = max(len(marks), 1)
@@ -285,18 +294,47 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
         own = np.array([p for p in own if v[p] > cut], np.int64)
         if not len(start_pos) + len(own):
             break
-        starts = np.concatenate([start_pos, own, neg_pool, hard])
-        wp = np.concatenate([weight_pos / max(weight_pos.mean(), 1e-9) if len(weight_pos) else weight_pos, np.full(len(own), 0.5)])
-        neg = len(neg_pool) + len(hard)
+        windows = np.vstack([window_array(x, np.concatenate([start_pos, own])), spelled, window_array(x, np.concatenate([neg_pool, hard])), repeats])
+        wp = weight_pos / max(weight_pos.mean(), 1e-9) if len(weight_pos) else weight_pos
+        wp = np.concatenate([wp, np.full(len(own), 0.5), np.full(len(spelled), max(len(start_pos), 100) / 6 / max(len(spelled), 1))])
+        neg = len(neg_pool) + len(hard) + len(repeats)
         lab = np.concatenate([np.ones(len(wp)), -np.ones(neg)])
         c = np.concatenate([wp * len(lab) / (2.0 * wp.sum()), np.full(neg, len(lab) / (2.0 * max(neg, 1)))])
-        w = _svm(nystrom(starts).astype(np.float64), lab, c)
+        w = _svm(nystrom(windows).astype(np.float64), lab, c)
         model = Model((phi @ (white @ w[:-1]).astype(np.float32))[place], float(w[-1]), np.zeros(FEATURES), marks)
     f = model.features(texts)
     curve = _logistic(f, y)
     return Model(model.weights, model.bias, curve, marks)
 
 
+def disguised(words: list[str], rng) -> np.ndarray:
+    """Windows of the words spelled apart (i-d-i-o-t), with a letter put in, and with one doubled."""
+    out = []
+    for word in words:
+        c = [int(v) for v in encode([word])[0] if v not in (0, PAD)]
+        if len(c) < 4:
+            continue
+        out.append([0, *(v for u in c for v in (u, 0))])
+        for _ in range(2):
+            k = int(rng.integers(1, len(c)))
+            out.append([0, *c[:k], int(rng.integers(1, 27)), *c[k:], 0])
+        k = int(rng.integers(0, len(c)))
+        out.append([0, *c[:k], c[k], *c[k:], 0])
+    n = WINDOW + SPAN
+    return np.array([(v + [PAD] * n)[:n] for v in out], np.int32).reshape(-1, n)
+
+
+def repeated(windows: np.ndarray) -> np.ndarray:
+    """Windows that repeat the word each given window begins with: junk lines are clean."""
+    n = WINDOW + SPAN
+    out = []
+    for w in windows:
+        end = np.flatnonzero(w[1:] == 0)
+        if len(end) and end[0]:
+            out.append(np.resize(w[: end[0] + 1], n))
+    return np.array(out, np.int32).reshape(-1, n)
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str,
     sample_docs: int, max_fit_chars: int,

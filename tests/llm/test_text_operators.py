@@ -87,7 +87,7 @@ def test_string_kernel_by_enumeration():
     w[rng.integers(0, len(w), 200_000)] = 1.0
     x = rng.integers(0, 27, 60)
     got = toxicity.local_values(x, w)
-    pad = list(x) + [0] * toxicity.SPAN
+    pad = list(x) + [toxicity.PAD] * toxicity.SPAN
     for p in range(len(x)):
         s = 0.0
         for i in range(1, toxicity.SPAN):
