@@ -77,3 +77,12 @@ def pack_range(begin: Column, end: Column) -> Column:
 
 def unpack_range(packed: Column) -> Column:
     return F.struct(packed.bitwiseAND(0xFFFF).alias("begin"), F.shiftrightunsigned(packed, 16).alias("end"))
+
+
+def plausible(aligned: DataFrame, limit: int, least_positive: float = 0.5) -> DataFrame:
+    """One row: rows, scores at ``limit`` or above, share of positive scores, and whether both are as expected."""
+    share = F.avg((F.col("score") > 0).cast("double"))
+    over = F.coalesce(F.sum((F.col("score") >= limit).cast("long")), F.lit(0))
+    return aligned.agg(F.count("*").alias("cmps"), over.alias("over"), share.alias("positive")).withColumn(
+        "ok", (F.col("over") == 0) & (F.coalesce("positive", F.lit(1.0)) >= least_positive)
+    )

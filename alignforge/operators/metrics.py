@@ -67,6 +67,17 @@ def with_setup(rolled: DataFrame, setup: DataFrame, final: DataFrame, run: str)
     return rolled.join(setup, run).join(f, run)
 
 
+def roll_up_folder(logs: DataFrame, kind: str) -> DataFrame:
+    """Roll-up of (file, value) log lines by kind of run: ``cpu`` rows as they are, else batch statistics with setup."""
+    if kind == "cpu":
+        rows = tagged(logs, TAG_CPU, "time_outer_s double, time_inner_s double, gcups_outer double, gcups_inner double, cells double")
+        return rows.select("*", *cpu_run_fields(F.col("file")))
+    batch = tagged(logs, TAG_RUN, "tag string, " + ", ".join(f"{m} double" for m in BATCH_METRICS)).where("tag = 'batch_perf'")
+    final = tagged(logs, TAG_RUN, "tag string, cells long, cmps_processed long, outer_time_s double, outer_gcups double").where("tag = 'final_log'")
+    setup = tagged(logs, TAG_RUN, "tag string, config string").where("tag = 'run_comparison_setup'")
+    return with_setup(rollup(batch, "file", BATCH_METRICS), setup.drop("tag"), final.drop("tag"), "file")
+
+
 def cpu_run_fields(name: Column) -> list[Column]:
     """threads, dataset and numa nodes of a log name ``ssw<T>_<dataset>_numa<N>.log`` (0-1: two nodes)."""
     rx = r"ssw(\d+)_(.+)_numa([0-9-]+)\.log$"

@@ -16,7 +16,9 @@ from alignforge.operators import align as al
 from alignforge.operators import metrics as mt
 from alignforge.operators import packing as pk
 from alignforge.operators import pairing as pr
+from alignforge.plans.session import shared_dir
 from alignforge.sources import sequences as src
+from alignforge.streaming import align_stream as stm
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -192,6 +194,40 @@ def filtered_cigar(spark, d):
     return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"), min_score=20, max_distance=12)
 
 
+@query(f"""SELECT count(*) cmps, sum((score >= 100)::INTEGER)::BIGINT AS "over", avg((score > 0)::INTEGER::DOUBLE) positive, sum((score >= 100)::INTEGER) = 0 AND avg((score > 0)::INTEGER) >= 0.5 ok
+  FROM ({sql_align(PART_PAIRS, AA62, begin=False)})""")
+def plausibility(spark, d):
+    return al.plausible(al.align(part_pairs(spark, d), AA62, outputs=("score",)), 100)
+
+
+@query(sql_align(PART_PAIRS, NA))
+def stream_align(spark, d):
+    """The part pairs as a stream of files, aligned micro-batch by micro-batch, joined to the end."""
+    at = shared_dir(spark)
+    part_pairs(spark, d).write.parquet(f"{at}/in")
+    return stm.submit(stm.read_pairs(spark, f"{at}/in"), NA, f"{at}/out", f"{at}/state").join()
+
+
+@query("SELECT p_partkey pair_id, p_name a, (row_number() OVER (ORDER BY p_name, p_partkey) - 1)::BIGINT ordinal FROM part")
+def ordinals(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"))
+    return pr.with_ordinal(p, ["a", "pair_id"], "ordinal")
+
+
+@query("SELECT sum(size_a * size_b)::BIGINT cells, count(*) cmps_processed, 2.0::DOUBLE outer_time_s, sum(size_a * size_b) / 2.0::DOUBLE / 1e9 outer_gcups FROM (SELECT length(p_name) size_a, length(p_type) size_b FROM part)")
+def final_record(spark, d):
+    return mt.final_record(sized(spark, d), 2.0)
+
+
+@query("""SELECT o_orderkey, o_custkey / 1.0::DOUBLE / 1e6 time_inner, (o_custkey + o_orderkey) / 1e6 time_outer, 1.0::DOUBLE time_job,
+  o_totalprice / (o_custkey / 1e6) / 1e9 gcups_inner, o_totalprice / ((o_custkey + o_orderkey) / 1e6) / 1e9 gcups_outer, o_totalprice / 1e9 gcups_job
+FROM orders WHERE o_custkey > 0""")
+def batch_measures(spark, d):
+    o = read(spark, d, "orders").where("o_custkey > 0")
+    cols = mt.batch_record(F.col("o_totalprice"), F.col("o_orderkey"), F.col("o_custkey"), F.col("o_custkey") + F.col("o_orderkey"), 1e6, F.lit(1.0), 10)
+    return o.select("o_orderkey", *cols[:2], cols[2], *cols[3:6])
+
+
 # ------------------------------------------------------------------ encoding
 def listed(codes):
     """An array as text, so both engines show it alike."""
