@@ -7,7 +7,8 @@ n-gram), so a character costs one lookup whatever the number of languages.
 
 Prediction: the language of the lowest cross-entropy per character. Rejection: a document
 whose best cross-entropy lies further above what its language's training documents show
-(standardised by length) than the calibrated bound, or that has no letter.
+(standardised by length) than the calibrated bound, and over half way to what documents of
+other languages show in it (so a foreign passage alone never rejects), or that has no letter.
 
 Fit on a bounded sample: about ``per_lang`` documents of each language, taken by a hash of
 the id. Defined cases: null text, no letter -> ``und``, score 0, rejected; null lang rows
@@ -114,6 +115,7 @@ class Model:
                 vals[np.searchsorted(keys, p["ch"][n]), i] = p["cw"][n]
             self.backs.append((SortedHash(keys), vals))
         self.mean, self.sd, self.bound = np.zeros(L), np.ones(L), 8.0
+        self.level = np.zeros(L)  # cross-entropy half way to other languages' documents
 
     @staticmethod
     def _lang(g: np.ndarray, c: np.ndarray, alphabet: int) -> dict:
@@ -227,8 +229,8 @@ class Model:
         z = (e - self.mean[best]) * np.sqrt(m) / self.sd[best]
         # far above what the language's own documents show: the score falls through 0.5 at the bound
         fit = 1.0 / (1.0 + np.exp(np.clip((z - self.bound) * 2.0 / max(self.bound, 1.0), -50, 50)))
-        score = np.where(letters, sure * np.where(z > self.bound, fit, np.maximum(fit, 0.5)), 0.0)
-        rejected = ~letters | (z > self.bound)
+        rejected = ~letters | ((z > self.bound) & (e > self.level[best]))
+        score = np.where(letters, sure * np.where(rejected, fit, np.maximum(fit, 0.5)), 0.0)
         langs = [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
         return langs, np.clip(score, 0, 1), rejected, e
 
@@ -285,21 +287,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             texts, lang = b.column(1).to_pylist(), b.column(2).to_pylist()
             sums, k = m.totals(texts)
             ok = [i for i in range(len(texts)) if k[i] > 0 and lang[i] in m.langs]
-            own = [m.langs.index(lang[i]) for i in ok]
             yield pa.record_batch(
-                [pa.array([lang[i] for i in ok], pa.string()), pa.array(-sums[ok, own] / k[ok] if ok else [], pa.float64()), pa.array(k[ok], pa.int64())],
+                [pa.array([lang[i] for i in ok], pa.string()), pa.array((-sums[ok] / k[ok][:, None]).tolist() if ok else [], pa.list_(pa.float64())), pa.array(k[ok], pa.int64())],
                 ["lang", "e", "n"],
             )
 
-    seen = sample.mapInArrow(show, "lang string, e double, n long").toArrow()
-    lang, e, n = np.array(seen["lang"].to_pylist(), object), seen["e"].to_numpy(), seen["n"].to_numpy()
+    seen = sample.mapInArrow(show, "lang string, e array<double>, n long").toArrow()
+    lang, n = np.array(seen["lang"].to_pylist(), object), seen["n"].to_numpy()
+    ce = np.array(seen["e"].to_pylist(), np.float64).reshape(len(lang), len(model.langs))
     z = []
     for i, name in enumerate(model.langs):
         own = lang == name
+        e = ce[own, i]
         w = np.minimum(n[own], 2000)
-        model.mean[i] = np.median(e[own])
-        model.sd[i] = max(np.median(np.abs(e[own] - model.mean[i]) * np.sqrt(w)) * 1.4826, 0.3)
-        z.append((e[own] - model.mean[i]) * np.sqrt(n[own]) / model.sd[i])
+        model.mean[i] = np.median(e)
+        model.sd[i] = max(np.median(np.abs(e - model.mean[i]) * np.sqrt(w)) * 1.4826, 0.3)
+        z.append((e - model.mean[i]) * np.sqrt(n[own]) / model.sd[i])
+        other = float(np.median(ce[~own, i])) if (~own).any() else -model.floor
+        model.level[i] = (model.mean[i] + max(other, model.mean[i] + 0.5)) / 2
     # a bound that training documents all but never pass, with half as much again for unseen ones
     model.bound = max(8.0, 1.5 * float(np.quantile(np.concatenate(z), 0.999)))
     return model
