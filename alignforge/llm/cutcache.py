@@ -11,7 +11,7 @@ import numpy as np
 class CutCache:
     """Up to ``most`` cuts; beyond, it starts anew (a bound on memory, not on the input)."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.most = most
         self._reset()
 

@@ -32,7 +32,7 @@ from .common import LOWER, SPACE, byte_column, small_batches, span_hashes
 from .cutcache import CutCache
 
 MAGIC, VERSION = b"AFTOKENS", 1
-SHARD_IDS, SHARD_DOCS = 1 << 21, 1 << 16
+SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
 _HEAD = struct.Struct("<8sIQQI")
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :]) & 3).astype(np.int64) + 1
 
