@@ -31,7 +31,7 @@ def align(
     empty one scores 0 at position 0. A, then B inner and outer: of equal scores the smallest
     end on B, then on A, counts.
     """
-    small_batches(pairs.sparkSession, rows=2000)
+    small_batches(pairs.sparkSession, rows=8000)
     known = [c for c in pairs.columns if keep_sequences or c not in (a, b)]
     fields = [f for k in FIELDS if k in outputs for f in FIELDS[k]]
     src = pairs.select(*known, F.col(a).alias("__a"), F.col(b).alias("__b"))
