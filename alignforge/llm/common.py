@@ -6,16 +6,13 @@ per token is a few numpy passes and not a Python object.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignforge.plans.session import small_batches  # noqa: F401  (operators take it from here)
+from alignforge.plans.session import shared_dir, small_batches  # noqa: F401  (operators take them from here)
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -30,15 +27,6 @@ LOWER[65:91] += 32
 
 
 # ---------------------------------------------------------------- shared files
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir (own temp folder only if unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="alignforge-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
