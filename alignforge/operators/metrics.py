@@ -79,8 +79,8 @@ def roll_up_folder(logs: DataFrame, kind: str) -> DataFrame:
 
 
 def cpu_run_fields(name: Column) -> list[Column]:
-    """threads, dataset and numa nodes of a log name ``ssw<T>_<dataset>_numa<N>.log`` (0-1: two nodes)."""
-    rx = r"ssw(\d+)_(.+)_numa([0-9-]+)\.log$"
+    """threads, dataset and numa nodes of a log name ``<aligner><T>_<dataset>_numa<N>.log`` (0-1: two nodes)."""
+    rx = r"[a-z]+(\d+)_(.+)_numa([0-9-]+)\.log$"
     numa = F.regexp_extract(name, rx, 3)
     return [
         F.regexp_extract(name, rx, 1).cast("int").alias("threads"), F.regexp_extract(name, rx, 2).alias("dataset"),

@@ -482,7 +482,7 @@ def log_rollup(spark, d):
 @query("""SELECT s_suppkey, (s_suppkey % 96 + 1)::INTEGER threads, concat('dna_', s_nationkey) dataset, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END numa FROM supplier""")
 def cpu_log_parse(spark, d):
     s = read(spark, d, "supplier")
-    name = F.format_string("ssw%d_dna_%d_numa%s.log", F.col("s_suppkey") % 96 + 1, F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "0-1").otherwise("1"))
+    name = F.format_string("cpu%d_dna_%d_numa%s.log", F.col("s_suppkey") % 96 + 1, F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, "0-1").otherwise("1"))
     return s.select("s_suppkey", *mt.cpu_run_fields(name))
 
 

@@ -9,7 +9,7 @@ def brute(a, b, score, gi, ge):
         h = [0] * (len(a) + 1)
         e = [-(10**9)] * (len(a) + 1)
         for i in range(len(b)):
-            diag, f = 0, -(10**9)
+            f = -(10**9)
             prev = h[:]
             for j in range(1, len(a) + 1):
                 e[j] = max(prev[j] + gi + ge, e[j] + ge)
@@ -17,7 +17,6 @@ def brute(a, b, score, gi, ge):
                 h[j] = max(0, prev[j - 1] + score(a[j - 1], b[i]), e[j], f)
                 if h[j] > best:
                     best, ae, be = h[j], j - 1, i
-            del diag
         return best, ae, be
 
     s, ae, be = forward(a, b)
