@@ -78,7 +78,6 @@ def gram_hash(cols: list[np.ndarray]) -> np.ndarray:
 def contexts(x: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """For every symbol: [the three before it ..., itself]; blanks before a row's start."""
     out = [x]
-    start = np.zeros(len(x), np.int64)
     lens = np.diff(offs)
     pos = np.arange(len(x)) - np.repeat(offs[:-1], lens)
     for k in range(1, ORDER):
@@ -86,7 +85,6 @@ def contexts(x: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         c[k:] = x[:-k] if len(x) > k else x[:0]
         c[pos < k] = BLANK
         out.append(c)
-    del start
     return out[::-1]
 
 
