@@ -68,5 +68,22 @@ WHERE rank <= 20
 """
 
 
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \t\n\x0B\f\r]+'), lambda x: x <> '') ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END sh FROM w),
+e AS (SELECT doc_id, unnest(sh) g FROM s),
+p AS (SELECT x.doc_id a, y.doc_id b, count(*) n FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.sh) + len(y.sh) - n)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id reach FROM s UNION SELECT r.doc_id, both_ways.b FROM r JOIN both_ways ON r.reach = both_ways.a),
+m AS (SELECT doc_id, min(reach) component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(sh)::BIGINT n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_top_k": OP2}
+    return {"op1_url_filter": OP1, "op2_top_k": OP2, "op8_minhash": OP8}
