@@ -144,9 +144,9 @@ class Model:
         r = np.empty(len(x), np.float32)
         for a in range(0, len(x), PASS):
             r[a : a + PASS] = local_values(x[a : a + PASS + SPAN], self.weights)[: PASS]
-        s = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
-        end = np.minimum(np.arange(len(x)) + WINDOW, len(x))
-        out = (s[end] - s[:-1] + self.bias).astype(np.float32)
+        s = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64), np.zeros(WINDOW)])
+        s[len(x) + 1 :] = s[len(x)]
+        out = (s[WINDOW : WINDOW + len(x)] - s[: len(x)] + self.bias).astype(np.float32)
         out[x == PAD] = -99.0  # no window of a text
         return out
 
@@ -236,7 +236,7 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
     marks = list(dict.fromkeys(marker_words(texts, y, landmarks)))
     x, offs = encode(texts)
     rng = np.random.default_rng(11)
-    row = np.repeat(np.arange(len(texts)), np.diff(offs))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offs))
     # landmarks: the marker words framed by blanks, and windows of clean documents
     codes, o = encode(marks)
     lm = [window_array(codes[o[i] : o[i + 1]], np.zeros(1, np.int64))[0] for i in range(len(marks))]
@@ -268,7 +268,9 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
 
     # toxic sentences: the windows of toxic documents at words that begin like a marker word
     blanks = np.flatnonzero(x == 0)
-    begin = (window_array(x, blanks)[:, :5].astype(np.int64) << np.array([20, 15, 10, 5, 0])).sum(1)
+    begin = np.zeros(len(blanks), np.int32)
+    for k in range(5):  # column by column: windows of all words at once would fill the driver
+        begin = (begin << 5) | x[np.minimum(blanks + k, len(x) - 1)]
     marked = np.unique((lm[: len(marks), :5].astype(np.int64) << np.array([20, 15, 10, 5, 0])).sum(1))
     hit = np.isin(begin, marked) & (y[row[blanks]] == 1)
     start_pos, family = blanks[hit], begin[hit]
