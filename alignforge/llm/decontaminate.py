@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, small_batches, token_hashes
+from .common import U64, mix, saved, small_batches, token_hashes
 from .hashtable import SortedHash
 
 # The masks; 1 positions are compared, 0 positions ignored.
@@ -165,6 +165,9 @@ def overlaps(
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; every column as it was."""
-    bad = overlaps(docs, benchmark, id_col, text_col, **how).select(F.col("id").alias("__bad")).distinct()
+    """``docs`` without the documents that hold a benchmark passage; every column as it was.
+
+    The ids to drop are written first: few, they are sent to all tasks; many, joined by a shuffle.
+    """
+    bad = saved(overlaps(docs, benchmark, id_col, text_col, **how).select(F.col("id").alias("__bad")).distinct())
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")

@@ -335,6 +335,11 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: int = 75) -> DataFrame:
-    """``docs`` without the near-duplicates: one document of each component stays, all columns kept."""
-    kept = near_duplicates(docs, id_col, text_col, width, share).where("kept").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """``docs`` without the near-duplicates: one document of each component stays, all columns kept.
+
+    The ids to drop are written first: few, they are sent to all tasks; many, joined by a
+    shuffle. Documents with a null id stay; of a repeated id all rows stay or go.
+    """
+    gone = near_duplicates(docs, id_col, text_col, width, share).groupBy("id").agg(F.max("kept").alias("k")).where("not k")
+    gone = saved(gone.select(F.col("id").alias("__gone")))
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
