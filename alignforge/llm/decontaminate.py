@@ -3,8 +3,9 @@
 Fixed masks pick some token positions of a window and ignore the others, so a window with
 substituted words at ignored positions still meets its benchmark window in a hash join of
 test and training. Around every hit the two token sequences are compared along the hit's
-diagonal and the best-scoring ungapped stretch is taken (a match +1, a substitution
--PENALTY); an overlap counts when it has enough matching tokens and identity.
+diagonal: an overlap counts when any ungapped stretch has enough matching tokens and
+identity. The stretch reported is the best-scoring one (a match +1, a substitution -PENALTY)
+if it is enough itself, else the one with most matches at the identity.
 
 Tokens: runs of letters, digits and non-ASCII bytes, A-Z lowered, so punctuation and white
 space never matter. A benchmark text shorter than a mask's span is seeded as a whole.
@@ -103,18 +104,31 @@ class Seeds:
         return tuple(np.unique(np.concatenate(out), axis=0).T)
 
     def overlap(self, t: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(matches, first token, token after the last) of the best stretch, if it counts."""
+        """(matches, first token, token after the last) of a stretch that counts, if there is one."""
         b = self.tokens[self.rows[item] : self.rows[item + 1]]
         lo, hi = max(0, diagonal), min(len(t), diagonal + len(b))
         same = t[lo:hi] == b[lo - diagonal : hi - diagonal]
+        need = max(min(self.min_match, len(b)), 1)
+        sums = np.concatenate([[0], np.cumsum(same)])
+        if sums[-1] < need:
+            return None
         s = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
         low = np.minimum.accumulate(s)
         end = int((s - low).argmax())
         start = int(s[: end + 1].argmin())
-        got = int(same[start:end].sum())
-        if got < min(self.min_match, len(b)) or got < self.identity * (end - start) or end == start:
+        got = int(sums[end] - sums[start])
+        if got >= need and got >= self.identity * (end - start):
+            return got, lo + start, lo + end
+        # a stretch has the identity where this sum does not fall: for each end, the first start not above it
+        over = sums - self.identity * np.arange(len(sums))
+        starts = np.searchsorted(-np.minimum.accumulate(over), -over - 1e-9)
+        per_end = sums - sums[starts]
+        end = int(per_end.argmax())
+        got = int(per_end[end])
+        if got < need:
             return None
-        return got, lo + start, lo + end
+        inside = int(starts[end]) + np.flatnonzero(same[starts[end] : end])
+        return got, lo + int(inside[0]), lo + int(inside[-1]) + 1
 
 
 def overlaps(

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from alignforge.llm import decontaminate
+from alignforge.llm.common import token_hashes
 
 
 def avoids_masks(masks, need=10, match=3, substitution=7):
@@ -53,3 +55,43 @@ def test_every_fourth_word_substituted(spark):
     assert decontaminate.keep_uncontaminated(
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     ).count() == 0
+
+
+def brute_force(t, b, min_match=10, identity=0.7):
+    """Most matches of any stretch of any diagonal that counts, by trying all of them; no seeds."""
+    best, need = 0, min(min_match, len(b))
+    for diagonal in range(1 - len(b), len(t)):
+        lo, hi = max(0, diagonal), min(len(t), diagonal + len(b))
+        same = [t[k] == b[k - diagonal] for k in range(lo, hi)]
+        if sum(same) < need:
+            continue
+        for i in range(len(same)):
+            for j in range(i + 1, len(same) + 1):
+                m = sum(same[i:j])
+                if m >= need and m >= identity * (j - i) - 1e-9:
+                    best = max(best, m)
+    return best
+
+
+def test_against_diagonals_without_seeds():
+    rng = random.Random(5)
+    base = {n: [f"w{n}x{k}" for k in range(n)] for n in (1, 4, 9, 10, 11, 13, 15, 30, 45)}
+    cases = [(11, [1]), (11, [9]), (13, [1, 11])]
+    cases += [(n, [k for k in range(n) if rng.random() < p]) for n in base for p in (0.1, 0.2, 0.3, 0.35, 0.5) for _ in range(8)]
+    # a good passage beside others that are just too thin
+    cases += [(45, [k for k in range(45) if k >= 11 and k % 5 in (0, 2)])]
+    names = list(base)
+    seeds = decontaminate.Seeds(np.arange(len(names)), [" ".join(base[n]) for n in names], 10, 0.7)
+    caught = 0
+    for n, changed in cases:
+        t = ["p", "q"] + [f"y{k}" if k in changed else w for k, w in enumerate(base[n])] + ["r"] * rng.randrange(3)
+        h, at = token_hashes(pa.array([" ".join(t)]), decontaminate.BETWEEN)
+        got = [(item, seeds.overlap(h, item, d)) for _, item, d in zip(*seeds.hits(h, at))]
+        got = [(item, o) for item, o in got if o]
+        want = brute_force(t, base[n])
+        assert {names[i] for i, _ in got} == ({n} if want else set()), (n, changed)
+        caught += bool(want)
+        for i, (m, a, z) in got:
+            assert min(10, n) <= m <= want and m >= 0.7 * (z - a) - 1e-9
+            assert m == sum(x == y for x, y in zip(t[a:z], base[n][a - 2 : z - 2]))
+    assert 100 < caught < len(cases)
