@@ -1,0 +1,16 @@
+from pyspark.sql import functions as F
+
+from alignforge.llm import pitman_yor
+from alignforge.llm.common import fold
+
+
+def test_head_size_changes_no_score(spark, docs, edge, monkeypatch):
+    """A word is treated alike in the head and outside it, known after its context or not."""
+    for df in (docs.select("doc_id", "text"), edge.select("doc_id", "text")):
+        scores = []
+        for head in (1 << 17, 100):
+            monkeypatch.setattr(pitman_yor, "HEAD", head)
+            rows = pitman_yor.score(df, fold(F.col("doc_id"), 10) == 0).collect()
+            scores.append(sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+        for a, b in zip(*scores):
+            assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 and abs(a[4] - b[4]) < 1e-6
