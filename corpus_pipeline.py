@@ -38,9 +38,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens)."""
-    out = sentencepiece_viterbi.encode(docs, tokenizer_path("piece_bpe_32k.model"))
-    return out.select(F.col("id").alias("doc_id"), "ids", F.col("n_ids").alias("n_tokens"))
+    """(doc_id, ids, n_tokens, round_trip: whether the ids decode to the document's text)."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    out = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, path), path)
+    same = F.crc32("decoded") == F.col("text_crc32")
+    return out.select(F.col("id").alias("doc_id"), "ids", F.col("n_ids").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
