@@ -19,7 +19,7 @@ class Similarity(str, Enum):
     SIMPLE = "simple"
 
 
-# Lower triangles over the twenty standard residues, ARNDCQEGHILKMFPSTWYV.
+# Lower triangles of the published matrices, in the order ARNDCQEGHILKMFPSTWYVBZ.
 BLOSUM50 = """
 5
 -2 7
@@ -41,6 +41,8 @@ BLOSUM50 = """
 -3 -3 -4 -5 -5 -1 -3 -3 -3 -3 -2 -3 -1 1 -4 -4 -3 15
 -2 -1 -2 -3 -3 -1 -2 -3 2 -1 -1 -2 0 4 -3 -2 -2 2 8
 0 -3 -3 -4 -1 -3 -3 -4 -4 4 1 -3 1 -1 -3 -2 0 -3 -1 5
+-2 -1 5 6 -3 0 1 -1 0 -4 -4 0 -3 -4 -2 0 0 -5 -3 -3 6
+-1 0 0 1 -3 4 5 -2 0 -3 -3 1 -1 -4 -1 0 -1 -2 -2 -3 1 5
 """
 BLOSUM62 = """
 4
@@ -63,59 +65,50 @@ BLOSUM62 = """
 -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
 -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+-2 -1 4 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4
+-1 0 0 1 -3 4 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -2 -2 -2 0 4
+"""
+# Which nucleotide codes meet, rows and columns in the order NATCGURYKMSWBDHV.
+NA_MEETS = """
+1111111111111111
+1100001001010111
+1010000110011110
+1001000101101011
+1000101010101101
+1000010000000000
+1100101000001111
+1010000100001111
+1010100010001100
+1100000001000011
+1000100000101001
+1110000000010110
+1011101110101000
+1110101100010100
+1111001101010010
+1101101101100001
 """
-# Which bases a nucleotide code stands for.
-IUPAC = {
-    "N": "ATCG", "A": "A", "T": "T", "C": "C", "G": "G", "R": "AG", "Y": "CT", "K": "GT", "M": "AC", "S": "CG", "W": "AT",
-    "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG",
-}
 
 
 def nucleotide_matches() -> np.ndarray:
-    """0/1 over NA_LETTERS: equal, or one code's bases hold the other's; N meets all.
-
-    Particulars kept for equal results: U meets itself and N only; R and Y meet every
-    three-base code; Y, M and S do not meet C (though C meets them).
-    """
-    n = len(NA_LETTERS)
-    out = np.zeros((n, n), np.int64)
-    for i, x in enumerate(NA_LETTERS):
-        for j, y in enumerate(NA_LETTERS):
-            if x == y or "N" in (x, y):
-                out[i, j] = 1
-            elif "U" not in (x, y):
-                a, b = set(IUPAC[x]), set(IUPAC[y])
-                wide = (x in "RY" and len(b) == 3) or (y in "RY" and len(a) == 3)
-                out[i, j] = (a <= b or b <= a or wide) and not (y == "C" and x in "YMS")
-    return out
+    """0/1 over NA_LETTERS: whether two codes meet. Not symmetric: C meets Y, M and S, they do not meet C."""
+    return np.array([[int(c) for c in line] for line in NA_MEETS.split()], np.int64)
 
 
 def residue_matrix(triangle: str, letters: str = AA_LETTERS) -> np.ndarray:
-    """Full matrix from a lower triangle over the first twenty letters.
-
-    B (N or D), Z (Q or E) and J (I or L) are the mean of the two, rounded up at a half below
-    zero and down above; X is -1 to all; * is the lowest value to all and 1 to itself.
-    ``Scoring.from_text`` reads published files where other values are wanted.
-    """
-    std = AA_LETTERS[:20]
+    """Full matrix from a lower triangle over all letters but X and *, which follow rules:
+    X is -1 to all; * is the lowest value to all and 1 to itself."""
     rows = [list(map(int, line.split())) for line in triangle.strip().splitlines()]
-    base = np.zeros((20, 20), np.int64)
+    k, n = len(rows), len(letters)
+    base = np.zeros((k, k), np.int64)
     for i, r in enumerate(rows):
         base[i, : i + 1] = r
         base[: i + 1, i] = r
     low = int(base.min())
-    two = {"B": "ND", "Z": "QE", "J": "IL"}
-    mixed = lambda c: [std.index(x) for x in two.get(c, c)]
-    n = len(letters)
     out = np.full((n, n), low, np.int64)
-    for i, x in enumerate(letters):
-        for j, y in enumerate(letters):
-            if "*" in (x, y):
-                out[i, j] = 1 if x == y else low
-            elif "X" in (x, y):
-                out[i, j] = -1
-            else:
-                out[i, j] = int(np.fix(base[np.ix_(mixed(x), mixed(y))].mean()))
+    out[:k, :k] = base
+    x, star = letters.index("X"), letters.index("*")
+    out[x, :star] = out[:star, x] = -1
+    out[star, star] = 1
     return out
 
 

@@ -19,6 +19,11 @@ FIELDS = {
 }
 
 
+def one_byte_each(x: bytes | None) -> bytes | None:
+    """UTF-8 text with one byte a character, so positions count characters; those past U+00FF become ?."""
+    return x if x is None or x.isascii() else x.decode("utf-8", "replace").encode("latin-1", "replace")
+
+
 def align(
     pairs: DataFrame, scoring: Scoring, a: str = "a", b: str = "b", outputs: tuple[str, ...] = ("score", "end", "begin"),
     mask_length: int = 15, min_score: int = 0, max_distance: int | None = None, max_length: int | None = None, keep_sequences: bool = False,
@@ -31,7 +36,7 @@ def align(
     empty one scores 0 at position 0. A, then B inner and outer: of equal scores the smallest
     end on B, then on A, counts.
     """
-    small_batches(pairs.sparkSession, rows=8000)
+    small_batches(pairs.sparkSession)
     known = [c for c in pairs.columns if keep_sequences or c not in (a, b)]
     fields = [f for k in FIELDS if k in outputs for f in FIELDS[k]]
     src = pairs.select(*known, F.col(a).alias("__a"), F.col(b).alias("__b"))
@@ -45,12 +50,12 @@ def align(
     def wanted(out: dict, i: int) -> bool:
         if out["score"][i] < min_score:
             return False
-        span = max(out["a_end"][i] - out["a_begin"][i], out["b_end"][i] - out["b_begin"][i]) + 1
+        span = max(out["a_end"][i] - out["a_begin"][i], out["b_end"][i] - out["b_begin"][i])
         return max_distance is None or span <= max_distance
 
     def run(batches):
         for batch in batches:
-            xa, xb = (batch.column(len(known) + k).cast(pa.binary()).to_pylist() for k in (0, 1))
+            xa, xb = ([one_byte_each(x) for x in batch.column(len(known) + k).cast(pa.binary()).to_pylist()] for k in (0, 1))
             r = align_batch(xa, xb, scoring, outputs, mask_length, wanted)
             null = [x is None or y is None for x, y in zip(xa, xb)]
             cols = [pa.array([None if z else v for z, v in zip(null, r[n])], types[t]) for n, t in fields]

@@ -106,7 +106,7 @@ def _with(df: DataFrame, *names: str) -> T.StructType:
 
 def assign_batches(pairs: DataFrame, cmp_limit: int, data_limit: int, group: str, order: str = "pair_id") -> DataFrame:
     """(group, order, size_a, size_b) -> with batch_id, per group in ``order``."""
-    small_batches(pairs.sparkSession, rows=10000)
+    small_batches(pairs.sparkSession)
     src = pairs.select(group, order, "size_a", "size_b")
     schema = _with(src, "batch_id")
 
@@ -123,7 +123,7 @@ def assign_buckets(
 ) -> DataFrame:
     """Bucket and slot of every pair of a group. ``dedup``: pairs carry a_id and b_id, and a
     sequence that a bucket holds already takes no room."""
-    small_batches(pairs.sparkSession, rows=10000)
+    small_batches(pairs.sparkSession)
     src = pairs.select(group, order, "size_a", "size_b", *(["a_id", "b_id"] if dedup else []))
     schema = _with(src, "bucket", "slot")
 

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alignforge.plans.session import saved
+
 
 def with_ordinal(df: DataFrame, order_by: list[str], name: str = "pair_id") -> DataFrame:
     """Consecutive numbers from 0 in the order of ``order_by``, without a single-task sort.
 
-    Rows are range-partitioned and sorted; only one count per partition reaches the driver.
+    Rows are range-partitioned, sorted and written once with their partition and place in it;
+    partitions are counted on the written rows, so the numbers hold however later plans read them.
     """
     keyed = df.repartitionByRange(*[F.col(c) for c in order_by]).sortWithinPartitions(*order_by)
-    keyed = keyed.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    base, at = {}, 0
-    for p, n in sorted((r[0], r[1]) for r in keyed.groupBy(part.alias("p")).count().collect()):
-        base[p] = at
-        at += n
-    starts = F.create_map(*[F.lit(int(v)) for kv in base.items() for v in kv]) if base else F.create_map(F.lit(0), F.lit(0))
-    return keyed.withColumn(name, starts[part.cast("int")] + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
+    place = F.monotonically_increasing_id()
+    keyed = saved(keyed.withColumn("__part", F.shiftright(place, 33)).withColumn("__place", place.bitwiseAND(F.lit((1 << 33) - 1))))
+    return numbered(keyed, ["__part"], "__place", name).drop("__part", "__place")
+
+
+def numbered(written: DataFrame, run: list[str], place: str, name: str) -> DataFrame:
+    """``name`` = rows of all runs before + place in the own run - the run's first place.
+
+    A run is a partition, file block or the like: its rows have consecutive places. Only one row a
+    run is sorted and sent to all tasks. ``written`` must be a stored table (it is read twice).
+    """
+    runs = written.groupBy(*run).agg(F.count("*").alias("__n"), F.min(place).alias("__first"))
+    before = Window.orderBy(*run).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).drop("__n", "__first")
+    return written.join(F.broadcast(runs), run).withColumn(name, F.col("__start") + F.col(place)).drop("__start").select(
+        *[c for c in written.columns], name
+    )
 
 
 def zip_pairs(left: DataFrame, right: DataFrame, key: str = "pair_id", a: str = "a", b: str = "b", check: bool = True) -> DataFrame:
@@ -51,11 +63,12 @@ def one_against_many(reference: str, queries: DataFrame, seq: str = "seq") -> Da
     return queries.where(F.length(seq) > 0).select("*", F.lit(reference).alias("b")).withColumnRenamed(seq, "a").where(F.length("b") > 0)
 
 
-def product(left: DataFrame, right: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A x B as a pair list; the right side, whose size is checked, goes to all tasks."""
-    n = right.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"right side has over {max_rows} rows; pair by blocks instead")
+def product(left: DataFrame, right: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """A x B as a pair list; the right side, whose rows and bytes are checked, goes to all tasks."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in right.dtypes), F.lit(0))
+    n, size = right.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if n > max_rows or size > max_bytes:
+        raise ValueError(f"right side has over {max_rows} rows or {max_bytes} bytes; pair by blocks instead")
     return left.join(F.broadcast(right), F.lit(True))
 
 

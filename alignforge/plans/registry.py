@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignforge.functions import cigar as cg
+from alignforge.functions import scoring as sc
 from alignforge.functions.alphabets import AA_LETTERS, NA_LETTERS, Alphabet, right_trim, strip_whitespace, translate_bases
 from alignforge.functions.scoring import Scoring, simple_similarity
 from alignforge.operators import align as al
@@ -39,9 +40,21 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SQL pieces
+def sql_cells(s: Scoring, match: int = 1, mismatch: int = -1, ambiguity: int = -1) -> list[list[int]]:
+    """The matrix for the SQL side, from the published texts and not from the object under test."""
+    n = len(s.letters)
+    if s.name == "na":
+        meets = sc.NA_MEETS.split()
+        return [[ambiguity if 0 in (i, j) else match if meets[i][j] == "1" else mismatch for j in range(n)] for i in range(n)]
+    low = [[int(v) for v in line.split()] for line in {"blosum50": sc.BLOSUM50, "blosum62": sc.BLOSUM62}[s.name].strip().split("\n")]
+    least = min(min(r) for r in low)
+    cell = lambda i, j: low[max(i, j)][min(i, j)] if max(i, j) < n - 2 else (1 if i == j else least) if n - 1 in (i, j) else -1
+    return [[cell(i, j) for j in range(n)] for i in range(n)]
+
+
 def sql_matrix(s: Scoring) -> str:
     """The matrix as a flat DuckDB list, row by row."""
-    return "[" + ",".join(str(int(v)) for v in s.matrix.ravel()) + "]"
+    return "[" + ",".join(str(v) for r in sql_cells(s) for v in r) + "]"
 
 
 def sql_code(char: str, s: Scoring) -> str:
@@ -208,10 +221,27 @@ def stream_align(spark, d):
     return stm.submit(stm.read_pairs(spark, f"{at}/in"), NA, f"{at}/out", f"{at}/state").join()
 
 
-@query("SELECT p_partkey pair_id, p_name a, (row_number() OVER (ORDER BY p_name, p_partkey) - 1)::BIGINT ordinal FROM part")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1)::BIGINT ordinal FROM lineitem")
 def ordinals(spark, d):
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"))
-    return pr.with_ordinal(p, ["a", "pair_id"], "ordinal")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return pr.with_ordinal(read(spark, d, "lineitem").select(*key), key, "ordinal")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 seq_id, p_name seq FROM part")
+def line_source(spark, d):
+    """Part names written as a text file, one a line in key order, and read back by the line source."""
+    at = shared_dir(spark)
+    read(spark, d, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").select("p_name").write.text(at)
+    return src.read_lines(spark, at)
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 seq_id, '>' || p_partkey || ' ' || p_type AS description, regexp_replace(p_name, '\\s', '', 'g') AS sequence FROM part")
+def fasta_source(spark, d):
+    """Part names written as FASTA files in key order, and read back by the FASTA source."""
+    at = shared_dir(spark)
+    p = read(spark, d, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey")
+    p.select(F.concat(F.lit(">"), F.col("p_partkey").cast("string"), F.lit(" "), "p_type", F.lit("\n"), "p_name").alias("value")).write.text(at)
+    return src.read_fasta(spark, at)
 
 
 @query("SELECT sum(size_a * size_b)::BIGINT cells, count(*) cmps_processed, 2.0::DOUBLE outer_time_s, sum(size_a * size_b) / 2.0::DOUBLE / 1e9 outer_gcups FROM (SELECT length(p_name) size_a, length(p_type) size_b FROM part)")
@@ -267,12 +297,13 @@ def strip_ws(spark, d):
     return read(spark, d, "documents").select("doc_id", strip_whitespace(F.col("text")).alias("stripped"), right_trim(F.col("text")).alias("trimmed"))
 
 
-def _sql_matrix_rows(s: Scoring) -> str:
-    rows = ",".join(f"('{x}','{y}',{int(s.matrix[i, j])})" for i, x in enumerate(s.letters) for j, y in enumerate(s.letters))
+def _sql_matrix_rows(s: Scoring, **values) -> str:
+    cells = sql_cells(s, **values)
+    rows = ",".join(f"('{x}','{y}',{cells[i][j]})" for i, x in enumerate(s.letters) for j, y in enumerate(s.letters))
     return f"SELECT x, y, score::INTEGER score FROM (VALUES {rows}) t(x, y, score)"
 
 
-@query(_sql_matrix_rows(Scoring.named("na", match=2, mismatch=-3, ambiguity=-2)))
+@query(_sql_matrix_rows(Scoring.named("na"), match=2, mismatch=-3, ambiguity=-2))
 def matrix_na_scaled(spark, d):
     return Scoring.named("na", match=2, mismatch=-3, ambiguity=-2).frame(spark)
 

@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignforge.operators.pairing import with_ordinal
+from alignforge.operators.pairing import numbered
+from alignforge.plans.session import saved
 
 
 def _positioned(df: DataFrame) -> DataFrame:
-    """Rows with file name and a position that follows the file: row places survive any partitioning."""
+    """Rows with file name, start of their block in it, and a number that rises along the block."""
     return df.withColumn("file", F.input_file_name()).withColumn("block_start", F.input_file_block_start()).withColumn("m", F.monotonically_increasing_id())
 
 
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with seq_id: numbers from 0 by file name and place in the file.
+
+    One task reads a block from its start to its end, so counting rows by block gives every row its
+    number without a shuffle. The rows are written once: a second scan may deal blocks to tasks anew.
+    """
+    return numbered(saved(rows), ["file", "block_start"], "m", "seq_id")
+
+
 def read_lines(spark: SparkSession, path: str | list[str], count: int = 0) -> DataFrame:
     """(seq_id, seq): one sequence a line, as it is, empty lines kept; ``count``: only the first so many (0: all).
 
     A missing file is Spark's path error. ``.gz`` files and several parts read as they are.
     """
-    out = with_ordinal(_positioned(spark.read.text(path)), ["file", "block_start", "m"], "seq_id").select("seq_id", F.col("value").alias("seq"))
+    out = _in_file_order(_positioned(spark.read.text(path))).select("seq_id", F.col("value").alias("seq"))
     return out.where(F.col("seq_id") < count) if count else out
 
 
@@ -39,15 +49,22 @@ def fasta_records(text: Column) -> Column:
 def read_fasta(spark: SparkSession, path: str | list[str], count: int = 0) -> DataFrame:
     """(seq_id, description, sequence). Records are split by the reader, so a file is read in parallel."""
     raw = _positioned(spark.read.option("lineSep", "\n>").text(path))
-    first = F.col("block_start") == 0
     # the first record of a file keeps its >; text in front of it is no record
-    raw = raw.where(~(first & (F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) == 0) & ~F.col("value").startswith(">")))
-    out = with_ordinal(raw, ["file", "block_start", "m"], "seq_id").select("seq_id", fasta_record(F.col("value")).alias("r")).select("seq_id", "r.*")
+    lead = (F.col("block_start") == 0) & (F.col("m") == F.col("lowest")) & ~F.col("value").startswith(">")
+    raw = saved(raw)
+    lowest = raw.groupBy("file", "block_start").agg(F.min("m").alias("lowest"))
+    rows = raw.join(F.broadcast(lowest), ["file", "block_start"]).withColumn("junk", lead)
+    out = numbered(rows.where("not junk"), ["file", "block_start"], "m", "seq_id")
+    out = out.select("seq_id", fasta_record(F.col("value")).alias("r")).select("seq_id", "r.*")
     return out.where(F.col("seq_id") < count) if count else out
 
 
 def first_record(spark: SparkSession, path: str) -> DataFrame:
-    return read_fasta(spark, path, 1)
+    """The first record of a file; nothing is numbered or shuffled, the scan stops with the first block."""
+    head = spark.read.option("lineSep", "\n>").text(path).withColumn("start", F.input_file_block_start()).where("start = 0")
+    # text in front of the first > is no record
+    head = head.limit(2).withColumn("m", F.monotonically_increasing_id()).where((F.col("m") > 0) | F.col("value").startswith(">"))
+    return head.orderBy("m").limit(1).select(F.lit(0).cast("long").alias("seq_id"), fasta_record(F.col("value")).alias("r")).select("seq_id", "r.*")
 
 
 def load(spark: SparkSession, path: str, count: int = 0) -> DataFrame:

@@ -12,6 +12,7 @@ from alignforge.operators.kernel import align_batch
 from tests.reference_align import brute
 
 NA, OPEN3 = Scoring.named("na"), Scoring.open_extend("na", 3, 1)
+# Hand-made pairs and their results.
 GOLDEN = [  # a, b, score, a_begin, a_end, b_begin, b_end
     ("acgt", "acgt", 4, 0, 3, 0, 3), ("ACGT", "ACGT", 4, 0, 3, 0, 3), ("ACGT", "AACGT", 4, 0, 3, 1, 4), ("ACGT", "ACGTT", 4, 0, 3, 0, 3),
     ("TACGT", "ACGT", 4, 1, 4, 0, 3), ("TTACGT", "ACGT", 4, 2, 5, 0, 3), ("ACGTTT", "ACGT", 4, 0, 3, 0, 3), ("TTACGTTT", "ACGT", 4, 2, 5, 0, 3),
@@ -126,3 +127,12 @@ def test_pairings(spark):
 
     assert pr.within_blocks(seqs, F.lit(0)).count() == 6
     assert sorted(r["pair_id"] for r in pr.with_ordinal(seqs, ["seq"]).collect()) == [0, 1, 2, 3]
+
+
+def test_distance_gate_and_characters(spark):
+    """The gate takes end - begin as the distance; positions count characters, not bytes."""
+    df = spark.createDataFrame([(1, "ACGT", "ACGT"), (2, "\u00c0ACGT", "ACGT"), (3, "\u4e2dACGT", "ACGT")], "pair_id long, a string, b string")
+    how = ("score", "end", "begin", "cigar")
+    at = {k: {r["pair_id"]: r for r in al.align(df, NA, outputs=how, max_distance=k).collect()} for k in (2, 3)}
+    assert at[3][1]["cigar"] == "4=" and at[2][1]["cigar"] is None
+    assert [(at[3][i]["a_begin"], at[3][i]["a_end"]) for i in (2, 3)] == [(1, 4), (1, 4)]

@@ -30,6 +30,12 @@ def test_matrices():
     assert m[0].all() and m[letters.index("U")].sum() == 2 and m[letters.index("K"), letters.index("B")] == 1
     s = Scoring.named("blosum62")
     assert (s.matrix == s.matrix.T).all() and s.score("W", "W") == 11 and s.score("a", "R") == -1 and s.score("*", "*") == 1
+    for name, b, z in (  # the published rows of B and Z
+        ("blosum50", "-2 -1 5 6 -3 0 1 -1 0 -4 -4 0 -3 -4 -2 0 0 -5 -3 -3 6 1 -1 -5", "-1 0 0 1 -3 4 5 -2 0 -3 -3 1 -1 -4 -1 0 -1 -2 -2 -3 1 5 -1 -5"),
+        ("blosum62", "-2 -1 4 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4 0 -1 -4", "-1 0 0 1 -3 4 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -2 -2 -2 0 4 -1 -4"),
+    ):
+        m = Scoring.named(name)
+        assert (m.matrix == m.matrix.T).all() and [m.matrix[m.letters.index(c)].tolist() for c in "BZ"] == [[int(v) for v in r.split()] for r in (b, z)]
     t = Scoring.from_text("# c\n A C\nA 2 -1\nC -1 3\n")
     assert t.score("C", "C") == 3
     assert argmax(np.array([[1, 3], [3, 0]])) == (0, 1)
@@ -83,6 +89,24 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, "> 1", "ACGT"), (1, ">2", "TT")]
 
 
+def test_ordinals_at_size(spark, tmp_path):
+    """Numbers stay whole under default adaptive execution, many partitions and column pruning."""
+    from alignforge.operators.pairing import with_ordinal
+
+    n = 400_000
+    df = spark.range(n, numPartitions=16).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("pad"))
+    got = with_ordinal(df, ["k"], "ordinal")
+    assert got.where("ordinal is null or ordinal <> k").count() == 0 and got.count() == n
+    spark.range(n).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("v")).coalesce(1).write.text(str(tmp_path / "t.txt"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        got = src.load(spark, str(tmp_path / "t.txt"))
+        assert got.rdd.getNumPartitions() > 1
+        assert got.where("seq_id is null or seq <> concat('s', seq_id)").count() == 0 and got.count() == n
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_stream(spark, tmp_path):
     pairs = spark.createDataFrame([(i, "ACGT" * 3, "CGTA" * 3) for i in range(20)], "pair_id long, a string, b string")
     pairs.repartition(3).write.parquet(str(tmp_path / "in"))
