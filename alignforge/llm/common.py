@@ -9,15 +9,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignforge.plans.session import shared_dir, small_batches  # noqa: F401  (operators take them from here)
+from alignforge.plans.session import discard, saved, shared_dir, small_batches  # noqa: F401  (operators take them from here)
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
-#: bytes hashed in one numpy pass; bounds the working set whatever the text length
-PIECE = 1 << 20
 
 # The white space of the token rule, and A-Z to a-z.
 SPACE = np.zeros(256, bool)
@@ -26,28 +25,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-# ---------------------------------------------------------------- shared files
-def saved(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    w = df.write.option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_path = path
-    return out
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Remove tables written by :func:`saved` that no later plan reads."""
-    for df in dfs:
-        path = getattr(df, "_saved_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,24 +60,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_pow = np.ones(1, U64)
-_inv = np.ones(1, U64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, PIECE + 4096)
-        inverse = U64(pow(int(_BASE), -1, 1 << 64))
-        full = np.full(size, _BASE, U64)
-        full[0] = 1
-        _pow = np.multiply.accumulate(full)
-        full = np.full(size, inverse, U64)
-        full[0] = 1
-        _inv = np.multiply.accumulate(full)
-    return _pow, _inv
-
-
 def token_spans(raw: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of every row (runs of bytes not in ``between``; by default ``[^\\x20\\x09-\\x0D]+``): starts, ends, first token of each row (n+1)."""
     n = len(raw)
@@ -121,25 +80,31 @@ def token_spans(raw: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: prefix sums of b[i] * B**i, shifted back by B**-start."""
-    out = np.empty(len(starts), U64)
-    i, n = 0, len(starts)
-    while i < n:
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, at + PIECE)))
-        size = int(ends[j - 1] - at)
-        powers, inverses = _powers(size)
-        v = raw[at : at + size].astype(U64)
-        v += U64(1)
-        v *= powers[:size]
-        sums = np.empty(size + 1, U64)
-        sums[0] = 0
-        np.cumsum(v, out=sums[1:])
-        s = starts[i:j] - at
-        out[i:j] = (sums[ends[i:j] - at] - sums[s]) * inverses[s]
-        i = j
-    return mix(out + (ends - starts).astype(U64))
+#: spans up to this many bytes are hashed together, eight bytes at a time; longer ones one by one
+LONG = 256
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span: every eight bytes go through a full mixing step, so no two texts
+    collide for algebraic reasons. Another ``seed`` gives an independent hash."""
+    n = ends - starts
+    h = mix(n.astype(U64) * _BASE + U64(seed))
+    words = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    long = np.flatnonzero(n > LONG)
+    at, left, live = starts, n, None  # all spans first, then those with bytes left
+    while len(at):
+        word = words[at] & _TAIL[np.minimum(left, 8)]
+        if live is None:
+            h = mix(h ^ word)
+        else:
+            h[live] = mix(h[live] ^ word)
+        more = np.flatnonzero((left > 8) & (left <= LONG)) if live is None else np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in long:
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].data, seed)
+    return h
 
 
 def token_hashes(col, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, byte_column, mix, small_batches, span_hashes
+from .common import U64, byte_column, mix, small_batches
 from .cutcache import CutCache
 from .hashtable import SortedHash
 
@@ -284,7 +284,7 @@ class Encoder:
         raw, offs = byte_column(col)
         starts = self._boundaries(raw, offs)
         ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-        flat, at = self.cache.encode(raw, starts, ends, span_hashes(raw, starts, ends), self._new)
+        flat, at = self.cache.encode(raw, starts, ends, self._new)
         return flat, at[np.searchsorted(starts, offs)]
 
     def _new(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

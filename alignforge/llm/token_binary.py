@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, byte_column, small_batches, span_hashes
+from .common import LOWER, SPACE, byte_column, small_batches
 from .cutcache import CutCache
 
 MAGIC, VERSION = b"AFTOKENS", 1
@@ -152,7 +152,7 @@ class WordEncoder:
         blank = np.append(stop, len(raw))[np.searchsorted(stop, starts)]
         row_end = offs[1:][np.searchsorted(offs[1:], starts, "right")]
         ends = np.minimum(np.minimum(nxt, blank), row_end)
-        flat, at = self.cache.encode(raw, starts, ends, span_hashes(raw, starts, ends), self._new)
+        flat, at = self.cache.encode(raw, starts, ends, self._new)
         return flat, at[np.searchsorted(starts, offs)]
 
 
@@ -238,7 +238,7 @@ def documents(shards: DataFrame) -> DataFrame:
     parts are as many as the shuffle partitions of the writing job.
     """
     spark = shards.sparkSession
-    small_batches(spark, rows=4)
+    small_batches(spark)
     totals = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     base, at = {}, 0
     for part, n in totals:
