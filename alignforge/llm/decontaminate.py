@@ -10,13 +10,17 @@ if it is enough itself, else the one with most matches at the identity.
 Tokens: runs of letters, digits and non-ASCII bytes, A-Z lowered, so punctuation and white
 space never matter. A benchmark text shorter than a mask's span is seeded as a whole.
 
-Benchmark seeds are sent to all tasks in blocks of at most ``block_items`` texts (and one
-scan of the training table serves up to ``blocks_per_scan`` of them), so what is sent stays
-bounded however large the benchmark is. Training texts never leave their task.
+Benchmark seeds are sent to all tasks in blocks of about ``block_items`` texts and ``block_bytes``
+bytes at most, one scan of the training table each, so what is sent stays bounded however large
+the benchmark is. Training texts never leave their task.
 
-Defined cases: null and empty texts overlap nothing; an empty benchmark gives no rows; of
-repeated benchmark texts each id reports its own overlap; repeated documents report each;
-the overlap with most matches stands for a (document, item) pair, ties to the first start.
+An item of fewer than ``min_match`` tokens counts only as a whole: short questions share most of
+their words with clean text.
+
+Defined cases: null and empty texts overlap nothing; an empty benchmark gives no rows, an empty
+table none either; of repeated benchmark texts each id reports its own overlap; repeated documents
+report each; the overlap with most matches stands for a (document, item) pair, ties to the first
+start. A document goes by its own text: rows that share an id, or have none, are judged apart.
 """
 
 from __future__ import annotations
@@ -57,7 +61,7 @@ class Seeds:
 
     def __init__(self, ids: np.ndarray, texts: list, min_match: int, identity: float):
         self.ids, self.min_match, self.identity = ids, min_match, identity
-        self.tokens, self.rows = token_hashes(pa.array(texts, pa.string()))
+        self.tokens, self.rows = token_hashes(pa.array(texts, pa.string()), BETWEEN)
         keys, item, at = [], [], []
         self.short: dict[int, None] = {}
         for i in range(len(ids)):
@@ -133,21 +137,28 @@ class Seeds:
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", min_match: int = 10, identity: float = 0.7, block_items: int = 20000, blocks_per_scan: int = 1,
+    item_text: str = "text", min_match: int = 10, identity: float = 0.7, block_items: int = 20000, block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """(id, item_id, matched, first_token, end_token, item_tokens): one row per overlapping pair."""
+    return _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_match, identity, block_items, block_bytes).drop("text_key")
+
+
+def _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_match, identity, block_items, block_bytes) -> DataFrame:
+    """:func:`overlaps` with text_key, a hash of the document's text."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("t")).where(
         "item is not null and t is not null"
     )
-    blocks = max(1, -(-items.count() // block_items))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-size // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "t"), F.lit(blocks)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, item_id long, matched int, first_token long, end_token long, item_tokens int"
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    schema = "id long, text_key long, item_id long, matched int, first_token long, end_token long, item_tokens int"
 
-    def scan(numbers: list[int]) -> DataFrame:
-        got = items.where(F.col("block").isin(numbers)).orderBy("item", "t").toArrow()
+    def scan(number: int) -> DataFrame:
+        got = items.where(F.col("block") == number).orderBy("item", "t").toArrow()
         shared = spark.sparkContext.broadcast(Seeds(got["item"].to_numpy(), got["t"].to_pylist(), min_match, identity))
 
         def run(batches):
@@ -159,31 +170,36 @@ def overlaps(
                     o = s.overlap(h[at[r] : at[r + 1]], item, diagonal)
                     if o and (best.get((r, item)) is None or (o[0], -o[1]) > (best[r, item][0], -best[r, item][1])):
                         best[r, item] = o
-                ids = b.column(0).to_pylist()
+                ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
                 k = list(best)
                 cols = [
                     pa.array([ids[r] for r, _ in k], pa.int64()),
+                    pa.array([keys[r] for r, _ in k], pa.int64()),
                     pa.array([int(s.ids[i]) for _, i in k], pa.int64()),
                     pa.array([best[x][0] for x in k], pa.int32()),
                     pa.array([int(best[x][1]) for x in k], pa.int64()),
                     pa.array([int(best[x][2]) for x in k], pa.int64()),
                     pa.array([int(s.rows[i + 1] - s.rows[i]) for _, i in k], pa.int32()),
                 ]
-                yield pa.record_batch(cols, ["id", "item_id", "matched", "first_token", "end_token", "item_tokens"])
+                yield pa.record_batch(cols, ["id", "text_key", "item_id", "matched", "first_token", "end_token", "item_tokens"])
 
         return rows.mapInArrow(run, schema)
 
-    found = [scan(list(range(a, min(a + blocks_per_scan, blocks)))) for a in range(0, blocks, blocks_per_scan)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    out = scan(0)
+    for k in range(1, blocks):
+        out = out.union(scan(k))
     return out
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", min_match: int = 10, identity: float = 0.7, block_items: int = 20000, block_bytes: int = 16 << 20,
+) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; every column as it was.
 
-    The ids to drop are written first: few, they are sent to all tasks; many, joined by a shuffle.
+    The (id, text) to drop are written first: few, they are sent to all tasks; many, joined by a shuffle.
     """
-    bad = saved(overlaps(docs, benchmark, id_col, text_col, **how).select(F.col("id").alias("__bad")).distinct())
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    found = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text, min_match, identity, block_items, block_bytes)
+    bad = saved(found.select(F.col("id").alias("__bad"), F.col("text_key").alias("__key")).distinct())
+    same = docs[id_col].cast("long").eqNullSafe(bad["__bad"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["__key"])
+    return docs.join(bad, same, "left_anti")

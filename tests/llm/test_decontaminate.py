@@ -1,7 +1,11 @@
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from alignforge.llm import decontaminate
 from alignforge.llm.common import token_hashes
@@ -95,3 +99,73 @@ def test_against_diagonals_without_seeds():
             assert min(10, n) <= m <= want and m >= 0.7 * (z - a) - 1e-9
             assert m == sum(x == y for x, y in zip(t[a:z], base[n][a - 2 : z - 2]))
     assert 100 < caught < len(cases)
+
+
+def plain_tokens(text):
+    """The token rule by itself: runs of letters, digits and non-ASCII characters, A-Z lowered."""
+    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def found_by_walk(docs, items):
+    """(id, item, most matches, tokens of the item) by walking every diagonal that has enough matches; no seeds, no hashes."""
+    out = []
+    for i, text in docs:
+        t = plain_tokens(text)
+        places = {}
+        for k, w in enumerate(t):
+            places.setdefault(w, []).append(k)
+        for j, item in items:
+            b = plain_tokens(item)
+            on = Counter(k - p for p, w in enumerate(b) for k in places.get(w, ()))
+            need, best = min(10, len(b)), 0
+            for d, n in on.items():
+                if n >= need:
+                    same = [t[k] == b[k - d] for k in range(max(0, d), min(len(t), d + len(b)))]
+                    sums = np.concatenate([[0], np.cumsum(same)])
+                    m = sums[None, :] - sums[:, None]
+                    size = np.arange(len(sums))[None, :] - np.arange(len(sums))[:, None]
+                    ok = (size > 0) & (m >= need) & (m >= 0.7 * size - 1e-9)
+                    best = max(best, int(m[ok].max(initial=0)))
+            if best and b:
+                out.append((i, j, best, len(b)))
+    return sorted(out, key=str)
+
+
+def test_punctuated_items_and_cases(spark):
+    items = [
+        (0, "What is the well-known answer?"), (1, "f(x) = x^2 + y!"), (2, "Name the (first) man on the moon; then, the 2nd: who was it?"),
+        (3, ""), (4, None), (None, "never"), (5, "..."), (2, "another text under a used number, long enough to be found by its seeds alone"),
+    ]
+    docs = [
+        (1, "before: What is the well-known answer? after"), (2, "F(X) = X^2 + Y"), (3, "so - name the first man on the moon then the second who was it"),
+        (4, None), (5, ""), (6, "clean words only"), (None, "What is the well known answer"), (None, "also clean"), (6, "f(x) = x^2 + y!"),
+        (7, "another text under a used number long enough to be found by its seeds alone"), (8, "never"),
+    ]
+    d = spark.createDataFrame([(*x, "e") for x in docs], "doc_id long, text string, item_id string")
+    b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    got = decontaminate.overlaps(d, b).collect()
+    sort = lambda rows: sorted(rows, key=str)
+    want = found_by_walk(docs, [x for x in items if x[0] is not None and x[1]])
+    assert sort((r["id"], r["item_id"], r["matched"], r["item_tokens"]) for r in got) == sort(want)
+    assert {r[:2] for r in want} == {(1, 0), (2, 1), (3, 2), (None, 0), (6, 1), (7, 2)}
+    kept = decontaminate.keep_uncontaminated(d, b)
+    assert sort((r["doc_id"], r["text"]) for r in kept.collect()) == sort([(4, None), (5, ""), (6, "clean words only"), (None, "also clean"), (8, "never")])
+    assert kept.columns == d.columns
+    assert decontaminate.overlaps(d.limit(0), b).count() == 0 and decontaminate.overlaps(d, b.limit(0)).count() == 0
+    # the same through many blocks
+    many = decontaminate.overlaps(d, b, block_items=2).collect()
+    assert sort(map(tuple, many)) == sort(map(tuple, got))
+
+
+def test_query_against_the_walk(spark):
+    """op6's result on whole tables, against every diagonal of every pair."""
+    from alignforge.llm.queries import op6_decontamination
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    docs = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text").collect()]
+    got = sorted(((r["doc_id"], r["item_id"], r["item_tokens"]) for r in op6_decontamination(spark, d).collect()), key=str)
+    want = found_by_walk(docs, items)
+    assert got == sorted([(i, j, n) for i, j, _, n in want], key=str) and want
