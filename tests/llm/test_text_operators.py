@@ -207,21 +207,6 @@ def test_pitman_yor(spark, docs, corpus):
     assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
 
 
-def test_pitman_yor_sums_to_one():
-    """Predictive probabilities of a context over all words and the unknown sum to one."""
-    rng = np.random.default_rng(2)
-    words = np.unique(rng.integers(1, 2**62, 40).astype(np.uint64))
-    count = rng.integers(1, 50, len(words))
-    s = pitman_yor.Shared(words, count, int(count.sum()), len(words), 10, 5, 5, 1)
-    s.__setstate__(s.__getstate__())
-    s.hot = s.hot[:0]
-    head, _, spread, total = s.parent(np.ones(48))
-    assert abs(head.sum() + spread / total - 1) < 1e-6
-    tu, tw = np.full(len(words), 7, np.uint64), np.arange(len(words), dtype=np.uint64)
-    keys, logp, *_ = pitman_yor.sample_and_score(s, tu, tw, np.arange(len(words)), np.arange(len(words)), np.arange(len(words)), np.ones(len(words)), np.ones(len(words), bool))
-    assert (10**logp).sum() < 1 + 1e-6 and (10**logp).sum() > 0.5 and len(keys) == len(words)
-
-
 def test_pitman_yor_edge(edge):
     got = pitman_yor.score(edge, fold(F.col("doc_id"), 10) == 0)
     assert got.count() == edge.count() and got.where("score is null or isnan(score)").count() == 0
