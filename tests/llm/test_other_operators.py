@@ -78,17 +78,59 @@ def test_dual_tree_prunes_and_is_exact():
     centre = rng.normal(size=(12, 8)) * 60
     x = np.floor(centre[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 8))).astype(np.int64)
     ids = np.arange(3000)
-    seen = []
-    add = cover_tree.Best.add
-    cover_tree.Best.add = lambda self, rows, scores, i, own: (seen.append(scores.size), add(self, rows, scores, i, own))[1]
-    try:
-        best = cover_tree.dual_tree(ids[:200], x[:200], ids, x, 5)
-    finally:
-        cover_tree.Best.add = add
+    data = cover_tree.Points(ids, x, 5)
+    tree = data.tree
+    best = cover_tree.dual_tree(cover_tree.Points(ids[:200], x[:200], None), data, 5)
     for q in range(200):
         want = sorted((-int(x[q] @ x[j]), j) for j in range(3000) if j != q)[:5]
         assert [(-s, i) for s, i in zip(best.score[q], best.id[q])] == want
-    assert sum(seen) < 0.5 * 200 * 3000
+    assert best.scored < 0.5 * 200 * 3000
+    # a floor near the answer prunes more, and only what beats it comes back
+    low = np.array([sorted((-int(x[q] @ x[j]), j) for j in range(3000) if j != q)[4] for q in range(200)])
+    again = cover_tree.dual_tree(cover_tree.Points(ids[:200], x[:200], None), data, 5, -low[:, 0], low[:, 1])
+    assert again.scored <= best.scored and (again.full == 4).all()
+    # nesting, covering, separation, and the points of a node lie together
+    seen = []
+    for n in range(len(tree.lo)):
+        pts = tree.x[tree.order[tree.lo[n] : tree.hi[n]]]
+        assert np.sqrt(((pts - tree.centre[n]) ** 2).sum(1)).max() <= tree.radius[n] + 1e-6
+        kids = tree.kids[n]
+        if not kids:
+            seen += tree.order[tree.lo[n] : tree.hi[n]].tolist()
+            continue
+        assert [tree.lo[k] for k in kids] == [tree.lo[n], *[tree.hi[k] for k in kids[:-1]]] and tree.hi[kids[-1]] == tree.hi[n]
+    assert sorted(seen) == list(range(len(data.x)))
+
+
+def test_nets():
+    rng = np.random.default_rng(3)
+    for scale in (0.5, 2.0, 6.0):
+        x = rng.normal(size=(1500, 3)) * 4
+        centres, own, near = cover_tree.net(x, scale)
+        c = x[centres]
+        d = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.eye(len(c)) * 1e9
+        assert centres[0] == 0 and d.min() > scale - 1e-6 and near.max() <= scale
+        assert np.allclose(near, np.sqrt(((x - c[own]) ** 2).sum(1)), atol=1e-5)
+
+
+def test_cells_are_ruled_out(spark):
+    """Clustered vectors over many cells and blocks: few pairs of blocks meet, and the result is whole."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(30, 8)) * 3
+    rows = [(i, [float(v) for v in centre[i % 30] + 0.02 * rng.normal(size=8)]) for i in range(3000)]
+    rows += [(5000 + i, rows[7][1]) for i in range(900)]  # one vector in a quarter of the rows
+    rows += [(9000 + 20 * i, [1.0, 2.0]) for i in range(3)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "vec_id long, embedding array<double>, id string, dim int")
+    met = []
+    search_blocks = cover_tree.search
+    cover_tree.search = lambda d, w, k: (met.append((w.count(), d.count())), search_blocks(d, w, k))[1]
+    try:
+        got = {tuple(r) for r in search(df, k=5, data_block=128, query_block=32).select("query_id", "rank", "vec_id", "score").collect()}
+    finally:
+        cover_tree.search = search_blocks
+    assert got == brute_top(rows, 5)
+    (near, blocks), (rest, _) = met
+    assert rest < 0.5 * near * blocks
 
 
 def test_huge_components(spark):
