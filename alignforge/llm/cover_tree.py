@@ -242,31 +242,54 @@ def dual_tree(queries: Points, data: Points, k: int, floor=None, floor_id=None)
     exact = wide < 2**53  # then products of doubles are exact integers
     rq, rd = qt.radius, dt.radius
 
-    def bound(a: int, b: np.ndarray) -> np.ndarray:
-        return dt.centre[b] @ qt.centre[a] + rq[a] * dt.norm[b] + rd[b] * qt.norm[a] + rq[a] * rd[b] + slack
-
-    heap = [(-float(bound(0, np.array([0]))[0]), 0, 0)]
+    def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sums = qt.centre[a] @ dt.centre[b].T
+        return sums + rq[a][:, None] * (dt.norm[b] + rd[b]) + qt.norm[a][:, None] * rd[b] + slack
+
+    def score(a: list[int], b: list[int]) -> None:
+        """All points under some leaves of each tree."""
+        rows = np.concatenate([qt.order[qt.lo[i] : qt.hi[i]] for i in a])
+        points = np.concatenate([dt.order[dt.lo[j] : dt.hi[j]] for j in b])
+        ids, where = data.listed(points)
+        step = max(1, (1 << 22) // max(len(ids), 1))
+        for i in range(0, len(rows), step):
+            r = rows[i : i + step]
+            got = (qt.x[r] @ dt.x[points].T).astype(np.int64) if exact else _product(q[r], d[points])
+            best.add(r, got[:, where] if len(ids) > len(points) else got, ids, queries.ids[r])
+
+    def worst(a: int) -> float:
+        return best.worst(qt.order[qt.lo[a] : qt.hi[a]])
+
+    size = np.array(dt.hi) - np.array(dt.lo)
+    leaf_q, leaf_d = np.array([not k for k in qt.kids]), np.array([not k for k in dt.kids])
+    heap = [(-float(bound(np.array([0]), np.array([0]))[0, 0]), 0, 0)]
     while heap:
         up, a, b = heapq.heappop(heap)
-        rows = qt.order[qt.lo[a] : qt.hi[a]]
-        if -up < best.worst(rows):
-            continue
-        ak, bk = qt.kids[a], dt.kids[b]
-        if not ak and not bk:
-            points = dt.order[dt.lo[b] : dt.hi[b]]
-            ids, where = data.listed(points)
-            step = max(1, (1 << 22) // max(len(ids), 1))
-            for i in range(0, len(rows), step):
-                r = rows[i : i + step]
-                got = (qt.x[r] @ dt.x[points].T).astype(np.int64) if exact else _product(q[r], d[points])
-                best.add(r, got[:, where] if len(ids) > len(points) else got, ids, queries.ids[r])
+        if -up < worst(a):
             continue
-        kids = np.array(bk or [b])
-        for child in ak or [a]:
-            limit = best.worst(qt.order[qt.lo[child] : qt.hi[child]])
-            u = bound(child, kids)
-            for i in np.flatnonzero(u >= limit):
-                heapq.heappush(heap, (-float(u[i]), child, int(kids[i])))
+        ak, bk = np.array(qt.kids[a] or [a]), np.array(dt.kids[b] or [b])
+        u = bound(ak, bk)
+        limit = np.array([worst(i) for i in ak])
+        leaves = leaf_q[ak][:, None] & leaf_d[bk][None, :]
+        for i in np.flatnonzero(np.isinf(limit) & leaves.any(1)):
+            # without a limit yet: the likeliest leaves first, for one
+            j = np.flatnonzero(leaves[i])
+            j = j[np.argsort(-u[i, j], kind="stable")]
+            j = j[: int(np.searchsorted(np.cumsum(size[bk[j]]), k + 1)) + 1]
+            score([ak[i]], bk[j].tolist())
+            u[i, j], limit[i] = -np.inf, worst(ak[i])
+        on = (u >= limit[:, None]) & (u > -np.inf)
+        both = on & leaves
+        if both.any():
+            i, j = np.flatnonzero(both.any(1)), np.flatnonzero(both.any(0))
+            block = both[np.ix_(i, j)]
+            if block.mean() > 0.5 and not np.isinf(u[np.ix_(i, j)]).any():  # none of them scored before
+                score(ak[i].tolist(), bk[j].tolist())
+            else:
+                for x in i:
+                    score([ak[x]], bk[both[x]].tolist())
+        for x, y in zip(*np.nonzero(on & ~leaves)):
+            heapq.heappush(heap, (-float(u[x, y]), int(ak[x]), int(bk[y])))
     return best
 
 
