@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from alignforge.llm import chat_format, cover_tree, url_filter
+from alignforge.llm.common import fold
 from alignforge.llm.queries import RULES
 
 
@@ -165,45 +166,116 @@ def brute_path(e, m):
     import itertools
 
     for states in itertools.product(range(chat_format.STATES), repeat=len(e)):
-        s = m.move[chat_format.BEFORE, states[0]] + e[0, states[0]]
+        s = int(m.move[chat_format.BEFORE, states[0]] + e[0, states[0]])
         for k in range(1, len(e)):
-            s += m.move[states[k - 1], states[k]] + e[k, states[k]]
+            s += int(m.move[states[k - 1], states[k]] + e[k, states[k]])
         if best is None or s > best:
             best, path = s, states
     return list(path)
 
 
+def lone(e, model):
+    n = np.array([len(e)])
+    return chat_format.paths(e, np.array([0]), n, model.move, np.array([chat_format.BEFORE]), np.array([-1])).tolist()
+
+
 def test_roles(spark):
     raw = transcripts(spark)
     model = chat_format.fit(raw)
     got = {(r["conv_id"], r["position"]): r["role"] for r in chat_format.parse(raw.drop("role"), model).where("line = 0").collect()}
-    truth = [((r["conv_id"], r["turn"]), r["role"]) for r in raw.collect()]
-    assert np.mean([got.get(k) == role for k, role in truth]) > 0.9
+    truth = [((r["conv_id"], r["turn"]), r["role"], r["text"]) for r in raw.collect()]
+    assert np.mean([got.get(k) == role for k, role, _ in truth]) > 0.97
+    lost = [got.get(k) == role for k, role, text in truth if chat_format.marker(text.split("\n")[0])[0] == 0]
+    assert len(lost) > 20 and np.mean(lost) > 0.85
     rng = np.random.default_rng(3)
-    for _ in range(5):
-        f = np.stack([rng.integers(0, 4, 5), rng.integers(0, 6, 5), rng.integers(0, 2, 5)], 1)
-        e = model.emit(f)
-        assert chat_format.viterbi(e, model).tolist() == brute_path(e, model)
-
-
-def test_segments_give_the_same_path(spark, monkeypatch):
+    for n in (1, 2, 4, 4):
+        f = np.stack([rng.integers(0, k, n) for k in chat_format.SIZES], 1)
+        e = model.emit(f, rng.integers(0, 1000, n))
+        assert lone(e, model) == brute_path(e, model)
+
+
+def test_query_recovers_lost_markers(spark):
+    """op4 on whole tables: held-out turns whose marker was taken out get their role back."""
+    import os
+
+    from alignforge.llm.queries import op4_chat_format, raw_transcripts
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        import pytest
+
+        pytest.skip("no tables here")
+    truth = raw_transcripts(spark.read.parquet(f"{d}/conversations.parquet")).where(fold(F.col("conv_id"), 5) == 0).collect()
+    got = {(r["conv_id"], r["turn"]): r["role"] for r in op4_chat_format(spark, d).where("line = 0").collect()}
+    marked = [got.get((r["conv_id"], r["turn"])) == r["role"] for r in truth if chat_format.marker(r["text"].split("\n")[0])[0]]
+    lost = [got.get((r["conv_id"], r["turn"])) == r["role"] for r in truth if not chat_format.marker(r["text"].split("\n")[0])[0]]
+    assert len(lost) > 5 and np.mean(lost) > 0.85 and np.mean(marked) > 0.98, (np.mean(lost), np.mean(marked))
+
+
+def plain_parse(raw, model):
+    """Turns by a loop over all lines of each transcript, cell by cell; no segments, no batches."""
+    out = []
+    by = {}
+    for conv, pos, text in raw:
+        if text is not None:
+            by.setdefault(conv, []).append((pos or 0, text))
+    for conv, pieces in by.items():
+        rows = [(conv, 0, p, t) for p, t in sorted(pieces)]
+        _, _, _, at, text, f, key = chat_format._lines([((conv, 0), rows)])
+        e, move = model.emit(f, key), model.move
+        n = len(e)
+        v = [[None] * chat_format.STATES for _ in range(n)]
+        back = [[0] * chat_format.STATES for _ in range(n)]
+        for i in range(n):
+            for s in range(chat_format.STATES):
+                if i == 0:
+                    v[i][s] = int(move[chat_format.BEFORE, s]) + int(e[i, s])
+                else:
+                    best = max(range(chat_format.STATES), key=lambda r: v[i - 1][r] + int(move[r, s]))
+                    v[i][s], back[i][s] = v[i - 1][best] + int(move[best, s]) + int(e[i, s]), best
+        s = max(range(chat_format.STATES), key=lambda r: v[n - 1][r])
+        states = [s]
+        for i in range(n - 1, 0, -1):
+            s = back[i][s]
+            states.insert(0, s)
+        cuts = [i for i in range(n) if i == 0 or states[i] % chat_format.DEPTH == 0] + [n]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            role = chat_format.ROLES[states[a] // chat_format.DEPTH]
+            body = chat_format.escaped("\n".join(text[a:b]).strip("\n"))
+            out.append((conv, *at[a], role, b - a, f"<|{role}|>\n{body}\n<|end|>\n"))
+    return sorted(out, key=str)
+
+
+def test_segments_give_the_same_turns(spark, monkeypatch):
+    """One long transcript among short ones, cut finely or not at all: the rows of the plain loop."""
     raw = transcripts(spark, 40, 0.3, 5)
     model = chat_format.fit(raw)
     one = raw.select(F.lit(1).alias("conv_id"), (F.col("conv_id") * 5 + F.col("turn")).alias("turn"), "text")
-    seen = []
-    for size in (10_000, 3):
+    # turns over many pieces: lines of the same speaker in pieces of their own
+    tail = spark.createDataFrame([(2, k, "User: go\n" if k == 0 else f"and on <|end|> {k}") for k in range(30)], "conv_id int, turn long, text string")
+    both = one.union(tail).union(raw.where("conv_id = 3").select("conv_id", "turn", "text"))
+    want = plain_parse([tuple(r) for r in both.collect()], model)
+    for size in (10_000, 7, 3):
         monkeypatch.setattr(chat_format, "SEGMENT", size)
-        rows = chat_format.parse(one, model).where("not continued").collect()
-        seen.append(sorted((r["position"], r["line"], r["role"]) for r in rows))
-    assert len(set(seen[0]) ^ set(seen[1])) <= 0.02 * len(seen[0])  # equal scores may part ways
+        assert sorted(map(tuple, chat_format.parse(both, model).collect()), key=str) == want
+        again = chat_format.fit(raw.select(F.lit(1).alias("conv_id"), (F.col("conv_id") * 5 + F.col("turn")).alias("turn"), "text", "role"))
+        assert size == 10_000 or all((x == y).all() for x, y in zip(again.tables, before.tables)) and (again.move == before.move).all()
+        before = again
+
+
+def test_escapes():
+    for t in ("a <|end|> b", "<\\|x", "plain", "<||", "\\<|"):
+        assert "<|" not in chat_format.escaped(t) and chat_format.unescaped(chat_format.escaped(t)) == t
 
 
 def test_chat_edge(spark):
     raw = transcripts(spark, 5)
     model = chat_format.fit(raw)
-    rows = [(None, 1, "User: a"), (1, None, "User: b"), (1, 2, None), (2, 1, ""), (3, 1, "User: x\n" + "y\n" * 20000), (4, 1, "AI: z"), (4, 1, "AI: z")]
+    rows = [(None, 1, "User: a"), (1, None, "User: b"), (1, 2, None), (2, 1, ""), (3, 1, "User: x\n" + "y\n" * 20000), (4, 1, "AI: z"), (4, 1, "AI: z"), (None, None, "<|end|> c")]
     df = spark.createDataFrame([(*r, "seg", 1) for r in rows], "conv_id long, turn long, text string, seg string, pos int")
     got = chat_format.parse(df, model)
     assert {r["conv_id"] for r in got.collect()} == {None, 1, 2, 3, 4}
     assert got.where("conv_id = 3").agg(F.sum("n_lines")).first()[0] == 20002
+    assert sorted(map(tuple, got.collect()), key=str) == plain_parse(rows, model)
     assert chat_format.parse(df.limit(0), model).count() == 0
+    assert chat_format.parse(df, chat_format.fit(raw.limit(0))).agg(F.sum("n_lines")).first()[0] == got.agg(F.sum("n_lines")).first()[0]
