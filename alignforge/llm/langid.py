@@ -96,8 +96,10 @@ class Model:
         self.langs = sorted(counts)
         L = len(self.langs)
         alphabet = len({int(c) for g, _ in counts.values() for c in np.unique(g[:, -1])}) + 1
-        self.floor = -math.log(alphabet)
+        self.floor = -math.log(alphabet)  # the base: a symbol of any alphabet position, seen or not
         per = [self._lang(*counts[lang], alphabet) for lang in self.langs]
+        # a symbol that no language saw: what each sets aside for new ones, spread over the alphabet
+        self.unseen = np.array([p["uni"] for p in per], np.float32)
         self.grams, self.backs = [], []
         for n in range(1, ORDER + 1):  # seen n-grams, all languages
             keys = np.unique(np.concatenate([p["h"][n] for p in per])) if per else np.zeros(0, U64)
@@ -191,7 +193,7 @@ class Model:
                 at = table.find(gram_hash([c[todo] for c in cols[ORDER - order : ORDER - 1]]))
                 seen = at >= 0
                 out[todo[seen]] += vals[at[seen]]
-        out[todo] += self.floor
+        out[todo] += self.unseen
         return out
 
     def totals(self, texts: list) -> tuple[np.ndarray, np.ndarray]:

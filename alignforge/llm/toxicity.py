@@ -14,8 +14,11 @@ such word stands) and those words in disguise, against windows of clean document
 worst of which join each round.
 A logistic curve on a document's best windows gives the score.
 
-Fit on a bounded sample: at most about ``sample_docs`` documents of each label of at most
-``max_fit_chars`` characters; scoring reads whole texts. Defined cases: null and empty texts
+Fit on the driver, on a bounded sample: at most about ``sample_docs`` documents of each label of at
+most ``max_fit_chars`` characters, ``sample_chars`` together a label, which some twelve bytes a
+character hold; of these, at most TOXIC_WINDOWS windows at marker words, CLEAN_WINDOWS others,
+HARD_WINDOWS worst ones of clean documents and REPEATED repeated words teach the machine. Scoring
+reads whole texts. Defined cases: null and empty texts
 get the score of a text with no window (below 0.5); null labels teach nothing; with one label
 only, every document gets that label's share.
 """
@@ -27,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -44,6 +47,9 @@ _WEIGHT = np.array([DECAY ** (k + 1) for _, _, k in _GAPS], np.float32)
 #: symbols in one numpy pass: its arrays stay in cache
 PASS = 1 << 14
 FEATURES = 6
+#: bounds of the fit: windows of each kind, and characters worked on at once
+TOXIC_WINDOWS, CLEAN_WINDOWS, HARD_WINDOWS, REPEATED = 8000, 4000, 6000, 600
+CHARS = 1 << 20
 
 
 # Characters that stand for letters in disguised words.
@@ -69,7 +75,21 @@ def _code_table() -> np.ndarray:
 
 
 def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol classes of all texts and row offsets; each row is framed by one 0, and PAD follows."""
+    """Symbol classes of all texts (a byte each) and row offsets; each row is framed by one 0, and PAD follows."""
+    parts, offs, i = [], [np.zeros(1, np.int64)], 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHARS):
+            size += len(texts[j] or "")
+            j += 1
+        x, o = _encode(texts[i:j])
+        parts.append(x)
+        offs.append(o[1:] + offs[-1][-1])
+        i = j
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)), np.concatenate(offs)
+
+
+def _encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
     table = _code_table()
     framed = [f" {t or ''} " for t in texts]
     lens = np.fromiter(map(len, framed), np.int64, len(framed))
@@ -86,8 +106,8 @@ def encode(texts: list) -> tuple[np.ndarray, np.ndarray]:
     prev[offs[:-1]] = False
     keep = (x >= 0) & ~((x == 0) & prev)
     kept = np.concatenate([[0], np.cumsum(keep)])[offs]
-    out = np.full(int(kept[-1]) + WINDOW * len(texts), PAD, np.int32)
-    row = np.repeat(np.arange(len(texts)), np.diff(kept))
+    out = np.full(int(kept[-1]) + WINDOW * len(texts), PAD, np.uint8)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(kept))
     out[np.arange(int(kept[-1])) + WINDOW * row] = x[keep]
     return out, kept + WINDOW * np.arange(len(kept))
 
@@ -141,12 +161,15 @@ class Model:
 
     def window_values(self, x: np.ndarray) -> np.ndarray:
         """Decision value of the window that starts at each symbol of one run of texts."""
-        r = np.empty(len(x), np.float32)
-        for a in range(0, len(x), PASS):
-            r[a : a + PASS] = local_values(x[a : a + PASS + SPAN], self.weights)[: PASS]
-        s = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64), np.zeros(WINDOW)])
-        s[len(x) + 1 :] = s[len(x)]
-        out = (s[WINDOW : WINDOW + len(x)] - s[: len(x)] + self.bias).astype(np.float32)
+        out = np.empty(len(x), np.float32)
+        for lo in range(0, len(x), CHARS):
+            part = x[lo : lo + CHARS + WINDOW + SPAN]
+            r = np.zeros(len(part) + WINDOW, np.float32)
+            for a in range(0, len(part), PASS):
+                r[a : min(a + PASS, len(part))] = local_values(part[a : a + PASS + SPAN], self.weights)[:PASS]
+            n = min(CHARS, len(x) - lo)
+            s = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
+            out[lo : lo + n] = s[WINDOW : WINDOW + n] - s[:n] + self.bias
         out[x == PAD] = -99.0  # no window of a text
         return out
 
@@ -275,21 +298,21 @@ def train(texts: list, y: np.ndarray, landmarks: int = 96, rounds: int = 3) -> M
     hit = np.isin(begin, marked) & (y[row[blanks]] == 1)
     start_pos, family = blanks[hit], begin[hit]
     _, fam, size = np.unique(family, return_inverse=True, return_counts=True)
-    pick = np.argsort(rng.random(len(start_pos)))[:8000]
+    pick = np.argsort(rng.random(len(start_pos)))[:TOXIC_WINDOWS]
     start_pos, weight_pos = start_pos[pick], 1.0 / np.sqrt(size[fam[pick]])
-    spelled, repeats = disguised(marks, rng), repeated(window_array(x, clean_at[rng.permutation(len(clean_at))[:600]]))
+    spelled, repeats = disguised(marks, rng), repeated(window_array(x, clean_at[rng.permutation(len(clean_at))[:REPEATED]]))
     bare = [i for i in np.flatnonzero(y == 1) if i not in set(row[start_pos])]
     # first guess: kernel with the marker words alone
     first = max(len(marks), 1)
     model = Model(phi[:, :first].max(1)[place] * 2.0, 0.0, np.zeros(FEATURES), marks)
-    neg_pool = clean_at[rng.permutation(len(clean_at))[:4000]]
+    neg_pool = clean_at[rng.permutation(len(clean_at))[:CLEAN_WINDOWS]]
     clean_docs = np.flatnonzero(y == 0)
     hard = np.zeros(0, np.int64)
     for _ in range(rounds):
         v = model.window_values(x)
         peaks = np.array([offs[i] + int(v[offs[i] : offs[i + 1]].argmax()) for i in clean_docs], np.int64)
         hard = np.unique(np.concatenate([hard, peaks]))
-        hard = hard[rng.permutation(len(hard))[:6000]]
+        hard = hard[rng.permutation(len(hard))[:HARD_WINDOWS]]
         cut = np.median(v[peaks])
         # toxic documents without a marker word teach by their best window, if it stands out
         own = [offs[i] + int(v[offs[i] : offs[i + 1]].argmax()) for i in bare]
@@ -339,9 +362,9 @@ def repeated(windows: np.ndarray) -> np.ndarray:
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str,
-    sample_docs: int, max_fit_chars: int,
+    sample_docs: int, max_fit_chars: int, sample_chars: int,
 ) -> tuple[list, np.ndarray]:
-    """About ``sample_docs`` texts of each label, taken by a hash of the id; (texts, labels)."""
+    """About ``sample_docs`` texts of each label, taken by a hash of the id, up to ``sample_chars`` of them; (texts, labels)."""
     lab = labels.select(F.col(label_id).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).where(
         "__y in (0, 1) and __id is not null"
     )
@@ -353,15 +376,18 @@ def labelled_sample(
         F.length("__t").between(1, max_fit_chars)
     )
     # at most 2 * sample_docs label rows by construction: small enough to send to every task
-    got = d.join(F.broadcast(lab), "__id").select("__id", "__t", "__y").orderBy("__id", "__y").toArrow()
+    got = d.join(F.broadcast(lab), "__id").select("__id", "__t", "__y")
+    so_far = F.sum(F.length("__t")).over(Window.partitionBy("__y").orderBy(F.xxhash64("__id", F.lit(6)), "__id", "__t"))
+    got = got.withColumn("__c", so_far).where(F.col("__c") <= sample_chars).select("__id", "__t", "__y").orderBy("__id", "__y").toArrow()
     return got["__t"].to_pylist(), np.asarray(got["__y"].to_numpy(), np.int64)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
     label_col: str = "toxic", sample_docs: int = 1500, max_fit_chars: int = 20000,
+    sample_chars: int = 6_000_000,
 ) -> Model:
-    texts, y = labelled_sample(docs, labels, id_col, text_col, label_id, label_col, sample_docs, max_fit_chars)
+    texts, y = labelled_sample(docs, labels, id_col, text_col, label_id, label_col, sample_docs, max_fit_chars, sample_chars)
     model = train(texts, y)
     if y.any() and not y.all():
         # the sample takes equal numbers of both labels; the curve's level returns to their true shares

@@ -41,15 +41,82 @@ def test_langid(spark, docs, corpus):
     assert langid.keep_known(docs, model).count() >= 0.98 * docs.count()
 
 
-def test_kneser_ney_sums_to_one(docs):
-    model = langid.fit(docs)
-    letters = np.array(sorted({ord(c) for c in "abcdeghilmnoqrtux "}), np.uint32)
-    every = np.unique(np.concatenate([g.keys for g, _ in model.grams[:1]]))
-    assert len(every) == len(model.grams[0][1])
-    for ctx in ("the", " le", "zzz"):
-        cols = [np.full(len(letters) + 1, ord(c), np.uint32) for c in ctx] + [np.append(letters, 99999).astype(np.uint32)]
-        total = np.exp(model.log_probs(cols).astype(float)).sum(0)
-        assert (total < 1.2).all() and (total > 0.5).all()
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over strings, as a recursion over dictionaries."""
+
+    def __init__(self, texts, alphabet):
+        self.alphabet, self.levels = alphabet, {}
+        top = Counter()
+        for t in texts:
+            padded = "   " + t
+            top.update(padded[i : i + 4] for i in range(len(t)))
+        for n in (4, 3, 2, 1):
+            if n < 4:
+                top = Counter(g[1:] for g in top)  # how many symbols come before it
+            ones, twos = (sum(c == k for c in top.values()) for k in (1, 2))
+            total, kinds = Counter(), Counter()
+            for g, c in top.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.levels[n] = (top, total, kinds, ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / self.alphabet
+        count, total, kinds, d = self.levels[len(gram)]
+        ctx = gram[:-1]
+        if not total[ctx]:
+            return self.p(gram[1:])
+        return (max(count[gram] - d, 0) + d * kinds[ctx] * self.p(gram[1:])) / total[ctx]
+
+
+def folded(text):
+    """The symbols of a text: lower-cased letters, every other run one blank, none in front."""
+    out = ""
+    for c in text or "":
+        low = c.lower() if c.isalpha() else " "
+        low = low if len(low) == 1 else c
+        if not (low == " " and out[-1:] in ("", " ")):
+            out += low
+    return out
+
+
+def test_kneser_ney_against_dictionaries(docs, corpus):
+    """Every probability, the sum over the alphabet, and every document's language and cross-entropy."""
+    train = [(folded(t), lang) for i, t, lang, _ in corpus if zlib.crc32(str(i).encode()) % 4 != 2]
+    alphabet = len({c for t, _ in train for c in t}) + 1
+    plain = {lang: PlainKneserNey([t for t, x in train if x == lang], alphabet) for lang in ("en", "fr")}
+    model = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
+    assert model.langs == ["en", "fr"]
+    letters = sorted({c for t, _ in train for c in t})
+    for ctx in ("the", " le", "zzz", "   ", "q u", "éé "):
+        cols = [np.full(len(letters) + 1, ord(c), np.uint32) for c in ctx] + [np.array([*map(ord, letters), 99999], np.uint32)]
+        got = np.exp(model.log_probs(cols).astype(float))
+        for j, lang in enumerate(model.langs):
+            want = [plain[lang].p(ctx + c) for c in [*letters, chr(99999)]]
+            assert np.allclose(got[:, j], want, rtol=1e-4), (ctx, lang)
+        assert np.allclose(got.sum(0), 1, atol=1e-4)
+    got = {r["id"]: r for r in langid.predict(docs, model).collect()}
+    for i, t, *_ in corpus[::6]:
+        x = folded(t)
+        ce = {lang: -sum(np.log(m.p(("   " + x)[k : k + 4])) for k in range(len(x))) / len(x) for lang, m in plain.items()}
+        best = min(ce, key=ce.get)
+        assert got[i]["lang_pred"] == best and abs(got[i]["cross_entropy"] - ce[best]) < 1e-3
+
+
+def test_langid_held_out(spark):
+    """op9 on whole tables: the held-out quarter."""
+    import os
+
+    from alignforge.llm.queries import op9_language_id
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").where("lang is not null and length(text) > 80").collect()}
+    got = {r["doc_id"]: r["lang_pred"] for r in op9_language_id(spark, d).where("held_out").collect()}
+    both = [got[i] == lang for i, lang in truth.items() if i in got]
+    assert len(both) > 20 and np.mean(both) > 0.95
 
 
 def test_langid_edge(spark, edge):
@@ -73,6 +140,53 @@ def test_toxicity(spark, docs, labels, corpus):
     assert clean.columns == docs.columns
 
 
+def plain_score(model, text):
+    """A text's score from the model's weights: every window, every gapped subsequence, one by one."""
+    x = [int(v) for v in toxicity.encode([text])[0]]
+    n = len(x) - toxicity.WINDOW  # the text's own symbols
+    pad = x + [toxicity.PAD] * 40
+    starts = []
+    for p in range(len(x) + toxicity.WINDOW):
+        s = 0.0
+        for i in range(1, toxicity.SPAN):
+            for j in range(i + 1, toxicity.SPAN):
+                for k in range(j + 1, toxicity.SPAN):
+                    s += toxicity.DECAY ** (k + 1) * float(model.weights[((pad[p] * 32 + pad[p + i]) * 32 + pad[p + j]) * 32 + pad[p + k]])
+        starts.append(s)
+    value = [sum(starts[p : p + toxicity.WINDOW]) + model.bias for p in range(n)]
+    best = sorted((max(value[a : a + toxicity.BLOCK]) for a in range(0, n, toxicity.BLOCK)), reverse=True)
+    f = [1.0, best[0], sum(best[:3]) / len(best[:3]), math.log1p(sum(b > 0 for b in best)), math.log1p(sum(b > 1 for b in best)), math.log1p(max(n, 200))]
+    f[1], f[2] = (min(max(v, -3), 3) for v in f[1:3])
+    return 1 / (1 + math.exp(-min(max(sum(a * b for a, b in zip(f, model.curve)), -30), 30)))
+
+
+def test_toxicity_against_plain_windows(spark, docs, labels, corpus):
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    got = {r["id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, t, *_ in [*corpus[:4], corpus[7], corpus[-1]]:
+        assert abs(got[i] - plain_score(model, t)) < 2e-4
+    assert abs(model.scores([None])[0] - plain_score(model, "")) < 2e-4
+
+
+def test_toxicity_held_out(spark):
+    """op5 on whole tables: the held-out fifth."""
+    import os
+
+    from alignforge.llm.queries import op5_toxicity
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").collect()}
+    rows = [(truth[r["doc_id"]], r["predicted"]) for r in op5_toxicity(spark, d).where("held_out").collect() if r["doc_id"] in truth]
+    assert np.mean([p for y, p in rows if y == 0]) < 0.02 and np.mean([p for y, p in rows if y == 1]) > 0.5
+
+
+def test_toxicity_sample_bound(docs, labels):
+    texts, y = toxicity.labelled_sample(docs, labels, "doc_id", "text", "doc_id", "toxic", 1500, 20000, 3000)
+    assert all(0 < sum(len(t) for t, v in zip(texts, y) if v == k) <= 3000 for k in (0, 1))
+
+
 def test_toxicity_edge(edge, labels):
     model = toxicity.fit(edge, labels.limit(0))
     assert toxicity.score(edge, model).where("score between 0 and 1").count() == edge.count()
