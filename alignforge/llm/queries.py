@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, cover_tree, decontaminate, langid, minhash, pitman_yor, sentencepiece_viterbi, token_binary, toxicity, url_filter
-from .common import fold, saved, table
+from .common import fold, shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,8 +83,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = saved(token_binary.shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1))
-    return token_binary.documents(written).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    folder = shared_dir(spark)
+    token_binary.write(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return token_binary.read(spark, folder).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,13 @@ stand apart in control bytes, four ranks to a byte. Decoding looks all control b
 256-row table and gathers the data bytes, in numpy, without a loop over ids.
 
 Ranks by shard, not over the whole corpus: one pass suffices, codes fit their own shard, and
-a lost executor costs its shards only. A shard is one row (range, number in it, ids before
-it in the range, counts, the file's bytes) of a table written through Spark, so it works on
-any file system and is committed as a whole; ``write_shard`` and ``read_shard`` convert to
-and from the bytes.
+a lost executor costs its shards only. A shard is one file, named by its range and its number in
+it, whose header also holds the ids before it in the range. Tasks write a file under a name of
+their own and rename it, and a task that runs again writes the same bytes to the same name; the
+list of all files, written through Spark when all tasks are done, commits the whole: files that it
+does not name are no part of the corpus, and a file that is missing or of another length is an error.
+Files are written with pyarrow's file systems (local or mounted paths, hdfs, s3, gs) and read back by
+Spark's ``binaryFile`` source; ``write_shard`` and ``read_shard`` convert to and from the bytes.
 
 Shards close at SHARD_IDS ids or SHARD_DOCS documents; a longer document is a shard alone.
 Defined cases: null and empty texts are the end id alone; null ids come first; rows with
@@ -31,14 +34,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE, byte_column, small_batches
 from .cutcache import CutCache
 
-MAGIC, VERSION = b"AFTOKENS", 1
+MAGIC, VERSION = b"AFTOKENS", 2
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 16
-_HEAD = struct.Struct("<8sIQQI")
+_HEAD = struct.Struct("<8sIQQIQ")
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :]) & 3).astype(np.int64) + 1
 
 
-def write_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file of one shard: header, documents, rank table, control bytes, data bytes."""
+def write_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, before: int = 0) -> bytes:
+    """The file of one shard: header, documents, rank table, control bytes, data bytes; ``before``: ids earlier in its range."""
     count = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     used = np.flatnonzero(count)
     table = used[np.lexsort((used, -count[used]))]
@@ -59,15 +62,15 @@ def write_shard(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     known = np.array([d is not None for d in doc_ids], bool)
     numbers = np.array([d if d is not None else 0 for d in doc_ids], "<i8")
     return b"".join([
-        _HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), len(table)),
+        _HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), len(table), before),
         numbers.tobytes(), np.packbits(known).tobytes(), np.asarray(lengths, "<u8").tobytes(),
         table.astype("<u4").tobytes(), control.tobytes(), data.tobytes(),
     ])
 
 
-def read_shard(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(document ids, ids per document, flat ids) of a shard's file."""
-    magic, version, docs, ids, ranks = _HEAD.unpack_from(blob)
+def read_shard(blob: bytes) -> tuple[list, np.ndarray, np.ndarray, int]:
+    """(document ids, ids per document, flat ids, ids before it in its range) of a shard's file."""
+    magic, version, docs, ids, ranks, before = _HEAD.unpack_from(blob)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token shard")
     at = _HEAD.size
@@ -89,7 +92,7 @@ def read_shard(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         if not len(m):
             break
         r[m] |= data[first[m] + k].astype(np.int64) << (8 * k)
-    return [int(d) if k else None for d, k in zip(numbers, known)], lengths, table[r] if ids else np.zeros(0, np.uint32)
+    return [int(d) if k else None for d, k in zip(numbers, known)], lengths, table[r] if ids else np.zeros(0, np.uint32), before
 
 
 class WordEncoder:
@@ -173,16 +176,48 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_tokens long, payload binary"
+FILES = "part int, seq int, name string, n_docs long, n_tokens long, bytes long"
 
 
-def shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The shards of all documents, SHARD_SCHEMA; ``before``: ids in earlier shards of the part."""
+def _file_system(path: str):
+    """(pyarrow file system, path in it) of a folder's URI."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _put(folder: str, name: str, blob: bytes) -> None:
+    """Write a file whole: under a name of the attempt's own, then renamed."""
+    import uuid
+
+    system, at = _file_system(folder)
+    own = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
+        f.write(blob)
+    system.move(own, f"{at}/{name}")
+
+
+def _qualified(spark, path: str) -> str:
+    """The folder's full URI, made if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(p)
+    return store.makeQualified(p).toString()
+
+
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write all documents as shard files into ``folder``; (part, seq, name, n_docs, n_tokens, bytes) of the files.
+
+    The list is kept beside them (``folder``/files) and is what :func:`read` goes by.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = _qualified(spark, folder)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie")
+    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
     d = d.select("id", "text")
 
     def run(batches):
@@ -195,10 +230,13 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
         def close():
             nonlocal seq, before, names, lens, flats, held
             ids = np.concatenate(flats)
+            name = f"part-{part:06d}-{seq:06d}.tokens"
+            blob = write_shard(names, np.concatenate(lens), ids, before)
+            _put(f"{folder}/shards", name, blob)
             out = pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int64()),
-                 pa.array([len(ids)], pa.int64()), pa.array([write_shard(names, np.concatenate(lens), ids)], pa.binary())],
-                ["part", "seq", "before", "n_docs", "n_tokens", "payload"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([name]), pa.array([len(names)], pa.int64()),
+                 pa.array([len(ids)], pa.int64()), pa.array([len(blob)], pa.int64())],
+                ["part", "seq", "name", "n_docs", "n_tokens", "bytes"],
             )
             seq, before = seq + 1, before + len(ids)
             names, lens, flats, held = [], [], [], 0
@@ -228,36 +266,48 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
         if names:
             yield close()
 
-    return d.mapInArrow(run, SHARD_SCHEMA)
+    _qualified(spark, f"{folder}/shards")
+    d.mapInArrow(run, FILES).write.mode("overwrite").parquet(f"{folder}/files")
+    return spark.read.schema(FILES).parquet(f"{folder}/files")
 
 
-def documents(shards: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids binary little-endian uint32) of every document, from the shards' bytes.
+def read(spark, folder: str) -> DataFrame:
+    """(id, start, n_tokens, ids binary little-endian uint32) of every document, from the shard files in ``folder``.
 
-    ``start``: ids of all documents before it. Only one count per part reaches the driver, and
-    parts are as many as the shuffle partitions of the writing job.
+    ``start``: ids of all documents before it. One count a range reaches the driver and goes to all tasks;
+    ranges are as many as the shuffle partitions of the writing job.
     """
-    spark = shards.sparkSession
     small_batches(spark)
-    totals = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    base, at = {}, 0
-    for part, n in totals:
-        base[part] = at
-        at += n
+    files = spark.read.schema(FILES).parquet(f"{folder}/files")
+    base, at, count = {}, 0, 0
+    for part, n, k in sorted(tuple(r) for r in files.groupBy("part").agg(F.sum("n_tokens"), F.count("*")).collect()):
+        base[part], at, count = (at, k), at + n, count + k
+    schema = "id long, start long, n_tokens long, ids binary"
+    if not count:
+        return spark.createDataFrame([], schema)
+    blobs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tokens").load(f"{folder}/shards")
+    named = blobs.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("found"))
+    # every listed file is there, as long as it was written
+    if files.join(named, "name").where("bytes = found").count() != count:
+        raise ValueError(f"shard files of {folder} are missing or cut")
+    blobs = blobs.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def run(batches):
         for b in batches:
-            for part, before, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                doc, n, ids = read_shard(blob)
+            for i in range(b.num_rows):
+                part, seq = (int(v) for v in b.column(0)[i].as_py().removesuffix(".tokens").split("-")[1:])
+                start, listed = base.get(part, (0, 0))
+                if seq >= listed:
+                    continue
+                doc, n, ids, before = read_shard(b.column(1)[i].as_py())
                 offs = np.concatenate([[0], np.cumsum(n)])
                 raw = ids.astype("<u4").tobytes()
-                for i in range(0, len(doc), 4096):
-                    j = min(i + 4096, len(doc))
+                for x in range(0, len(doc), 4096):
+                    y = min(x + 4096, len(doc))
                     yield pa.record_batch(
-                        [pa.array(doc[i:j], pa.int64()), pa.array(base[part] + before + offs[i:j]), pa.array(n[i:j]),
-                         pa.array([raw[4 * a : 4 * z] for a, z in zip(offs[i:j], offs[i + 1 : j + 1])], pa.binary())],
+                        [pa.array(doc[x:y], pa.int64()), pa.array(start + before + offs[x:y]), pa.array(n[x:y]),
+                         pa.array([raw[4 * a : 4 * z] for a, z in zip(offs[x:y], offs[x + 1 : y + 1])], pa.binary())],
                         ["id", "start", "n_tokens", "ids"],
                     )
 
-    return shards.select("part", "before", "payload").mapInArrow(run, "id long, start long, n_tokens long, ids binary")
-
+    return blobs.mapInArrow(run, schema)

@@ -274,7 +274,7 @@ def test_sentencepiece_edge(edge):
     assert got.where(F.crc32("decoded") == F.col("text_crc32")).count() == edge.count()
 
 
-def test_token_binary(spark, edge, docs, monkeypatch):
+def test_token_binary(spark, edge, docs, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
@@ -284,8 +284,13 @@ def test_token_binary(spark, edge, docs, monkeypatch):
     for x, a, b in zip(texts, rows[:-1], rows[1:]):
         assert list(flat[a:b]) == t.encode(x or "", add_special_tokens=False).ids
     monkeypatch.setattr(token_binary, "SHARD_DOCS", 7)
-    for df in (docs, edge):
-        got = token_binary.documents(token_binary.shards(df, path)).orderBy("start").collect()
+    for k, df in enumerate((docs, edge)):
+        files = token_binary.write(df, f"{tmp_path}/{k}", path)
+        listed = {r["name"]: r["bytes"] for r in files.collect()}
+        on_disk = {f.name: f.stat().st_size for f in (tmp_path / str(k) / "shards").iterdir() if f.suffix == ".tokens"}
+        assert listed == on_disk and len(listed) > 2
+        (tmp_path / str(k) / "shards" / "part-000009-000009.tokens").write_bytes(b"left by a lost run")
+        got = token_binary.read(spark, f"{tmp_path}/{k}").orderBy("start").collect()
         assert len(got) == df.count()
         at = 0
         for r in got:
@@ -294,7 +299,41 @@ def test_token_binary(spark, edge, docs, monkeypatch):
         keyed = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["text"] or "") for r in df.collect())
         want = Counter(((k[1] if k[0] else None), np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes()) for k, x in keyed)
         assert Counter((r["id"], bytes(r["ids"])) for r in got) == want
-    assert token_binary.documents(token_binary.shards(docs.limit(0), path)).count() == 0
+    token_binary.write(docs.limit(0), f"{tmp_path}/none", path)
+    assert token_binary.read(spark, f"{tmp_path}/none").count() == 0
+    next((tmp_path / "0" / "shards").glob("part-000000-*.tokens")).unlink()
+    with pytest.raises(ValueError, match="missing"):
+        token_binary.read(spark, f"{tmp_path}/0")
+
+
+def test_words_that_collide_in_polynomials(spark, tmp_path):
+    """Two words of a thousand letters whose polynomial hashes are equal modulo 2**64 stay apart everywhere."""
+    import pyarrow as pa
+
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    h, _ = token_hashes(pa.array([one, two]))
+    assert h[0] != h[1]
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    flat, rows = token_binary.WordEncoder(path).encode([one, two, one])
+    assert [list(flat[a:b]) for a, b in zip(rows[:-1], rows[1:])] == [t.encode(x, add_special_tokens=False).ids for x in (one, two, one)]
+
+
+def test_cuts_that_share_a_hash(monkeypatch):
+    """Cuts with one first hash are told apart by the second."""
+    from alignforge.llm import cutcache
+
+    real = cutcache.span_hashes
+    monkeypatch.setattr(cutcache, "span_hashes", lambda raw, a, b, seed=0: real(raw, a, b, 1) if seed else np.full(len(a), 7, np.uint64))
+    cache = cutcache.CutCache()
+    raw = np.frombuffer(b"abcdab", np.uint8)
+    new = lambda cuts: (np.frombuffer(b"".join(cuts), np.uint8).astype(np.int32), np.array([len(c) for c in cuts]))
+    for _ in range(2):
+        flat, at = cache.encode(raw, np.array([0, 2, 4]), np.array([2, 4, 6]), new)
+        assert flat.tolist() == list(b"abcdab") and at.tolist() == [0, 2, 4, 6]
 
 
 @pytest.mark.parametrize("top", [3, 300, 70_000, 20_000_000])
@@ -302,8 +341,8 @@ def test_shard_round_trip(top):
     rng = np.random.default_rng(top)
     ids = (rng.zipf(1.3, 5000) % top).astype(np.int64)
     names, n = [5, None, -3], np.array([0, 4000, 1000])
-    a, b, c = token_binary.read_shard(token_binary.write_shard(names, n, ids))
-    assert a == names and (b == n).all() and (c == ids).all()
+    a, b, c, d = token_binary.read_shard(token_binary.write_shard(names, n, ids, 12))
+    assert a == names and (b == n).all() and (c == ids).all() and d == 12
 
 
 # ------------------------------------------------------------------ language model
