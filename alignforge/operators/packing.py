@@ -170,6 +170,20 @@ def occupancy(assigned: DataFrame, keys: list[str]) -> DataFrame:
     return assigned.groupBy(*keys).agg(F.count("*").alias("cmps")).groupBy("cmps").agg(F.count("*").alias("buckets"))
 
 
+def fill_ratios(assigned: DataFrame, group: str, buckets: int, max_cmps: int, capacity: int) -> DataFrame:
+    """Per group of ``buckets`` buckets: empty ones, comparisons, bytes, the largest bucket, and the shares of room used."""
+    per = assigned.groupBy(group, "bucket").agg(F.count("*").alias("n"), F.sum(F.col("size_a") + F.col("size_b")).alias("b"))
+    return per.groupBy(group).agg(
+        (F.lit(buckets) - F.count("*")).alias("empty"), F.sum("n").alias("cmps"), F.sum("b").alias("bytes"), F.max("b").alias("largest"),
+        (F.sum("n") / float(buckets * max_cmps)).alias("cmp_fill"), (F.sum("b") / float(buckets * capacity)).alias("byte_fill"),
+    )
+
+
+def describe(assigned: DataFrame) -> DataFrame:
+    """``assigned`` with a line of text on each comparison's place."""
+    return assigned.withColumn("text", F.format_string("cmp %d -> bucket %d slot %d (%d + %d)", "pair_id", "bucket", "slot", "size_a", "size_b"))
+
+
 def size_class(largest_bucket: Column, capacity: int, programs: int) -> Column:
     """Transfer class: ceil(largest / capacity * programs) - 1."""
     return (F.ceil(largest_bucket / F.lit(float(capacity)) * programs) - 1).cast("int")

@@ -101,12 +101,76 @@ def sql_align(pairs: str, s: Scoring, begin: bool = True, keys: str = "pair_id")
     )
 
 
+def sql_second(pairs: str, s: Scoring, mask: int = 15, keys: str = "pair_id") -> str:
+    """Score, ends, and the best score of a B position outside ``mask`` around the best end."""
+    text = sql_align(pairs, s, begin=False, keys=keys)
+    # the recursion also keeps every row's maximum
+    text = text.replace("0 best, 0 ae, 0 be FROM fw_in", "0 best, 0 ae, 0 be, []::INTEGER[] tops FROM fw_in")
+    text = text.replace("CASE WHEN mx > best THEN i - 1 ELSE be END", "CASE WHEN mx > best THEN i - 1 ELSE be END, list_append(tops, mx::INTEGER)")
+    text = text.replace("i, best, ae, be, E,", "i, best, ae, be, tops, E,").replace("i + 1 i, best, ae, be, H H0", "i + 1 i, best, ae, be, tops, H H0")
+    text = text.replace("best score, ae, be FROM fw_dp", "best score, ae, be, tops FROM fw_dp")
+    head, tail = text.rsplit(" SELECT ", 1)
+    return f"""{head}, away AS (SELECT {keys}, list_transform(tops, lambda t, i: CASE WHEN i - 1 >= be - {mask} AND i - 1 < be + {mask} THEN 0 ELSE t END) o FROM fw)
+      SELECT {tail.split(" FROM ")[0]}, (CASE WHEN list_max(o) > 0 THEN list_max(o) ELSE 0 END)::INTEGER score2,
+        (CASE WHEN list_max(o) > 0 THEN list_position(o, list_max(o)) - 1 ELSE 0 END)::INTEGER b_end2
+      FROM pairs LEFT JOIN fw USING ({keys}) LEFT JOIN away USING ({keys})"""
+
+
+def sql_cigar(pairs: str, s: Scoring, min_score: int = 0, max_distance: int = 10**6) -> str:
+    """Alignment with CIGAR: the tables of the aligned stretch are kept, a second recursion walks back through them."""
+    n, gi, ge, mat = len(s.letters), s.gap_init, s.gap_extend, sql_matrix(s)
+    head, tail = sql_align(pairs, s).rsplit(" SELECT ", 1)
+    codes = lambda c: f"list_transform(string_split({c}, ''), lambda c: {sql_code('c', s)})"
+    cell = lambda t, i, j: f"(CASE WHEN {i} >= 0 AND {j} >= 0 THEN {t}[{i} + 1][{j} + 1] ELSE 0 END)"
+    return f"""{head}, found AS (SELECT {tail}),
+al AS (SELECT pair_id, f.*, length(p.a) la, {codes("substr(p.a, a_begin + 1, a_end - a_begin + 1)")} x, {codes("substr(p.b, b_begin + 1, b_end - b_begin + 1)")} y
+  FROM (SELECT * RENAME (pair_id AS pid) FROM found) f JOIN pairs p ON p.pair_id = f.pid
+  WHERE score > 0 AND score >= {min_score} AND greatest(a_end - a_begin, b_end - b_begin) <= {max_distance}),
+tb AS (
+  SELECT pair_id, x, y, 0 i, list_transform(x, lambda v: 0) H, list_transform(x, lambda v: 0) E, []::INTEGER[][] HH, []::INTEGER[][] EE, []::INTEGER[][] FF FROM al
+  UNION ALL
+  SELECT pair_id, x, y, i, H, E, list_append(HH, H::INTEGER[]), list_append(EE, E::INTEGER[]), list_append(FF, G::INTEGER[]) FROM (
+    SELECT *, list_transform(T, lambda v, j: greatest(v, G[j])) H FROM (
+      SELECT *, list_transform(T, lambda v, j: {gi} + {ge} * j + list_max(list_prepend(0, list_transform(range(1, j), lambda k: T[k] - ({ge}) * k)))) G FROM (
+        SELECT *, list_transform(E, lambda e, j: greatest(0, e, (CASE WHEN j = 1 THEN 0 ELSE H0[j - 1] END) + {mat}[(x[j] - 1) * {n} + y[i]])) T FROM (
+          SELECT pair_id, x, y, i + 1 i, H H0, HH, EE, FF, list_transform(E, lambda e, j: greatest(H[j] + {gi} + {ge}, e + {ge})) E FROM tb WHERE i < len(y)))))),
+tables AS (SELECT pair_id, x, y, HH, EE, FF FROM tb WHERE i = len(y)),
+back AS (
+  SELECT pair_id, x, y, HH, EE, FF, len(y) - 1 i, len(x) - 1 j, 'M' st, '' ops FROM tables
+  UNION ALL
+  SELECT pair_id, x, y, HH, EE, FF, CASE WHEN now = 'I' THEN i ELSE i - 1 END, CASE WHEN now = 'D' THEN j ELSE j - 1 END,
+    CASE now WHEN 'M' THEN 'M'
+      WHEN 'I' THEN (CASE WHEN {cell("HH", "i", "(j - 1)")} + {gi} + {ge} > (CASE WHEN j > 0 THEN FF[i + 1][j] + {ge} ELSE -1000000 END) THEN 'M' ELSE 'I' END)
+      ELSE (CASE WHEN {cell("HH", "(i - 1)", "j")} + {gi} + {ge} > (CASE WHEN i > 0 THEN EE[i][j + 1] + {ge} ELSE -1000000 END) THEN 'M' ELSE 'D' END) END,
+    (CASE now WHEN 'M' THEN (CASE WHEN x[j + 1] = y[i + 1] THEN '=' ELSE 'X' END) ELSE now END) || ops
+  FROM (SELECT *, CASE WHEN st <> 'M' THEN st
+      WHEN {cell("HH", "(i - 1)", "(j - 1)")} + {mat}[(x[j + 1] - 1) * {n} + y[i + 1]] >= greatest(EE[i + 1][j + 1], FF[i + 1][j + 1], 0) THEN 'M'
+      WHEN FF[i + 1][j + 1] > EE[i + 1][j + 1] THEN 'I' ELSE 'D' END now
+    FROM back WHERE i >= 0 AND j >= 0)),
+spelt AS (SELECT pair_id, ops, array_to_string(list_transform(regexp_extract_all(ops, '=+|X+|I+|D+'), lambda r: length(r) || r[1]), '') core FROM back WHERE i < 0 OR j < 0)
+SELECT found.*, (CASE WHEN a_begin > 0 THEN a_begin || 'S' ELSE '' END) || core || (CASE WHEN length(pairs.a) - a_end - 1 > 0 THEN (length(pairs.a) - a_end - 1) || 'S' ELSE '' END) cigar,
+  coalesce(length(regexp_replace(ops, '=', '', 'g')), 0)::INTEGER mismatches
+FROM found JOIN pairs USING (pair_id) LEFT JOIN spelt USING (pair_id)"""
+
+
 # each part's name with the next part's, the two sides of a positional zip
 PART_PAIRS = """pairs AS (SELECT x.p_partkey pair_id, x.p_name a, y.p_name b
   FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"""
 NAME_PAIRS = """pairs AS (SELECT n_nationkey * 1000 + r_regionkey pair_id, n_name a, r_name b FROM nation, region)"""
 
 
+# longer sides: names and types, some of A's own letters inside B
+LONG_PAIRS = """pairs AS (SELECT x.p_partkey pair_id, x.p_name || ' ' || x.p_type a, y.p_type || y.p_name || ' ' || x.p_name || ' ' || y.p_type || y.p_name b
+  FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1)"""
+
+
+def long_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part")
+    x = p.select(F.col("p_partkey").alias("pair_id"), F.concat_ws(" ", "p_name", "p_type").alias("a"), F.col("p_name").alias("n"))
+    y = p.select((F.col("p_partkey") - 1).alias("pair_id"), F.concat("p_type", "p_name").alias("y"))
+    return x.join(y, "pair_id").select("pair_id", "a", F.concat_ws(" ", "y", "n", "y").alias("b"))
+
+
 def part_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = read(spark, d, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_name").alias("a"))
     shifted = p.select((F.col("pair_id") - 1).alias("pair_id"), F.col("a").alias("b"))
@@ -192,19 +256,19 @@ def align_product(spark, d):
     return al.align(pairs, AA50)
 
 
-@query()
+@query(sql_second(LONG_PAIRS, AA62))
 def second_best(spark, d):
-    return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "second"))
+    return al.align(long_pairs(spark, d), AA62, outputs=("score", "end", "second"))
 
 
-@query()
+@query(sql_cigar(LONG_PAIRS, AA62))
 def cigar(spark, d):
-    return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"))
+    return al.align(long_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"))
 
 
-@query()
+@query(sql_cigar(LONG_PAIRS, AA62, 60, 20))
 def filtered_cigar(spark, d):
-    return al.align(part_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"), min_score=20, max_distance=12)
+    return al.align(long_pairs(spark, d), AA62, outputs=("score", "end", "begin", "cigar"), min_score=60, max_distance=20)
 
 
 @query(f"""SELECT count(*) cmps, sum((score >= 100)::INTEGER)::BIGINT AS "over", avg((score > 0)::INTEGER::DOUBLE) positive, sum((score >= 100)::INTEGER) = 0 AND avg((score > 0)::INTEGER) >= 0.5 ok
@@ -354,80 +418,134 @@ def cigar_mismatches(spark, d):
 
 # ------------------------------------------------------------------ packing
 def sized(spark, d) -> DataFrame:
-    """Part pairs with sizes, grouped by brand: the unit that is packed."""
+    """Part pairs with sizes, in units of forty: what one device batch packs."""
     p = read(spark, d, "part")
-    return p.select("p_brand", F.col("p_partkey").alias("pair_id"), F.length("p_name").alias("size_a"), F.length("p_type").alias("size_b"), F.col("p_name").alias("a_id"), F.col("p_type").alias("b_id"))
+    return p.select(
+        F.floor(F.col("p_partkey") / 40).cast("long").alias("unit"), F.col("p_partkey").alias("pair_id"), F.length("p_name").alias("size_a"),
+        F.length("p_type").alias("size_b"), F.col("p_name").alias("a_id"), F.col("p_type").alias("b_id"),
+    )
 
 
-SIZED = "sized AS (SELECT p_brand, p_partkey pair_id, length(p_name) size_a, length(p_type) size_b, p_name a_id, p_type b_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) rn FROM part)"
-_CAPACITY, _CMPS, _BUCKETS = 100, 5, 2000
+SIZED = """sized AS (SELECT p_partkey // 40 AS unit, p_partkey pair_id, length(p_name) size_a, length(p_type) size_b, p_name a_id, p_type b_id,
+  row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) rn FROM part)"""
+_CAPACITY, _CMPS, _BUCKETS = 42, 4, 20
+_SIZES = "unit, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b"
 
 
 @query(f"""WITH RECURSIVE {SIZED}, f AS (
-  SELECT p_brand, pair_id, size_a, size_b, rn, 0 batch_id, 1 n, size_a + size_b total FROM sized WHERE rn = 1
+  SELECT unit, pair_id, size_a, size_b, rn, 0 batch_id, 1 n, size_a + size_b total FROM sized WHERE rn = 1
   UNION ALL
-  SELECT s.p_brand, s.pair_id, s.size_a, s.size_b, s.rn,
+  SELECT s.unit, s.pair_id, s.size_a, s.size_b, s.rn,
     CASE WHEN n + 1 < 8 AND total + s.size_a + s.size_b < 120 THEN batch_id ELSE batch_id + 1 END,
     CASE WHEN n + 1 < 8 AND total + s.size_a + s.size_b < 120 THEN n + 1 ELSE 1 END,
     CASE WHEN n + 1 < 8 AND total + s.size_a + s.size_b < 120 THEN total ELSE 0 END + s.size_a + s.size_b
-  FROM f JOIN sized s ON s.p_brand = f.p_brand AND s.rn = f.rn + 1)
-SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, batch_id FROM f""")
+  FROM f JOIN sized s ON s.unit = f.unit AND s.rn = f.rn + 1)
+SELECT {_SIZES}, batch_id FROM f""")
 def batches(spark, d):
-    return pk.assign_batches(sized(spark, d), 8, 120, "p_brand")
+    return pk.assign_batches(sized(spark, d), 8, 120, "unit")
 
 
 @query(f"""WITH RECURSIVE {SIZED}, f AS (
-  SELECT p_brand, pair_id, size_a, size_b, rn, 0 bucket, 0 slot, size_a + size_b total FROM sized WHERE rn = 1
+  SELECT unit, pair_id, size_a, size_b, rn, 0 bucket, 0 slot, size_a + size_b total FROM sized WHERE rn = 1
   UNION ALL
-  SELECT s.p_brand, s.pair_id, s.size_a, s.size_b, s.rn,
-    CASE WHEN slot + 1 < {_CMPS} AND total + s.size_a + s.size_b <= {_CAPACITY} THEN bucket ELSE bucket + 1 END,
-    CASE WHEN slot + 1 < {_CMPS} AND total + s.size_a + s.size_b <= {_CAPACITY} THEN slot + 1 ELSE 0 END,
-    CASE WHEN slot + 1 < {_CMPS} AND total + s.size_a + s.size_b <= {_CAPACITY} THEN total ELSE 0 END + s.size_a + s.size_b
-  FROM f JOIN sized s ON s.p_brand = f.p_brand AND s.rn = f.rn + 1)
-SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, bucket, slot FROM f""")
+  SELECT s.unit, s.pair_id, s.size_a, s.size_b, s.rn,
+    CASE WHEN slot + 1 < 5 AND total + s.size_a + s.size_b <= 70 THEN bucket ELSE bucket + 1 END,
+    CASE WHEN slot + 1 < 5 AND total + s.size_a + s.size_b <= 70 THEN slot + 1 ELSE 0 END,
+    CASE WHEN slot + 1 < 5 AND total + s.size_a + s.size_b <= 70 THEN total ELSE 0 END + s.size_a + s.size_b
+  FROM f JOIN sized s ON s.unit = f.unit AND s.rn = f.rn + 1)
+SELECT {_SIZES}, bucket, slot FROM f""")
 def bucket_fill_first(spark, d):
-    return pk.assign_buckets(sized(spark, d), "fill_first", _BUCKETS, _CMPS, _CAPACITY, "p_brand")
+    return pk.assign_buckets(sized(spark, d), "fill_first", _BUCKETS, 5, 70, "unit")
+
+
+def _sql_fold(first: str, step: str, order: str = "pair_id", own: str = "0") -> str:
+    """A fold over a unit's pairs with lists of each bucket's comparisons and bytes; ``first``: buckets by preference.
+
+    ``own``: bytes of the new pair that the bucket k holds already.
+    """
+    theirs = own
+    for name in ("size_a", "size_b", "a_id", "b_id"):
+        theirs = theirs.replace(name, f"o.{name}")
+    room = f"c.cmps[k + 1] < {_CMPS} AND c.bytes[k + 1] + o.size_a + o.size_b - ({theirs}) <= {_CAPACITY}"
+    return f"""WITH RECURSIVE {SIZED}, o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY {order}) r FROM sized),
+f AS (
+  SELECT unit, NULL::BIGINT pair_id, NULL::BIGINT size_a, NULL::BIGINT size_b, 0::BIGINT r, -1::BIGINT bucket, -1::BIGINT slot,
+    list_transform(range({_BUCKETS}), lambda k: 0::BIGINT) cmps, list_transform(range({_BUCKETS}), lambda k: 0::BIGINT) bytes,
+    list_transform(range({6 * _BUCKETS}), lambda k: 0::BIGINT) lanes, list_transform(range({_BUCKETS}), lambda k: []::VARCHAR[]) held
+  FROM (SELECT DISTINCT unit FROM sized)
+  UNION ALL
+  SELECT unit, pair_id, size_a, size_b, r, to_b, cmps[to_b + 1],
+    list_transform(cmps, lambda v, k: v + (k = to_b + 1)::BIGINT), list_transform(bytes, lambda v, k: v + (CASE WHEN k = to_b + 1 THEN add ELSE 0 END)),
+    list_transform(lanes, lambda v, k: v + (CASE WHEN k = to_b * 6 + cmps[to_b + 1] % 6 + 1 THEN size_a * size_b ELSE 0 END)),
+    list_transform(held, lambda v, k: CASE WHEN k = to_b + 1 THEN list_distinct(list_concat(v, [a_id, b_id])) ELSE v END)
+  FROM (SELECT *, size_a + size_b - {own.replace("c.held[k + 1]", "held[to_b + 1]")} add FROM (
+    SELECT o.unit, o.pair_id, o.size_a, o.size_b, o.r, o.a_id, o.b_id, c.cmps, c.bytes, c.lanes, c.held,
+      list_filter({first}, lambda k: {room})[1] to_b
+    FROM f c JOIN o ON o.unit = c.unit AND o.r = c.r + 1)))
+SELECT {_SIZES}, bucket::INTEGER bucket, slot::INTEGER slot FROM f WHERE r > 0{step}"""
+
 
+_AFTER = f"list_transform(range({_BUCKETS}), lambda s: (c.bucket + 1 + s) % {_BUCKETS})"
+_STAY = f"list_transform(range({_BUCKETS}), lambda s: (greatest(c.bucket, 0) + s) % {_BUCKETS})"
+_LIGHT = f"""list_transform(list_sort(list_transform(range({_BUCKETS}), lambda k: {{'least': list_min(c.lanes[k * 6 + 1:k * 6 + 6]), 'load': list_sum(c.lanes[k * 6 + 1:k * 6 + 6]), 'k': k}})), lambda v: v.k)"""
+_OWN = "(CASE WHEN list_contains(c.held[k + 1], a_id) THEN size_a ELSE 0 END + CASE WHEN a_id = b_id OR list_contains(c.held[k + 1], b_id) THEN size_b ELSE 0 END)"
 
-@query(f"""WITH {SIZED} SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b,
-  ((rn - 1) % 2000)::INTEGER bucket, ((rn - 1) // 2000)::INTEGER slot FROM sized""")
+
+@query(_sql_fold(_AFTER, ""))
 def bucket_round_robin(spark, d):
-    return pk.assign_buckets(sized(spark, d), "round_robin", _BUCKETS, 100, 10**6, "p_brand")
+    return pk.assign_buckets(sized(spark, d), "round_robin", _BUCKETS, _CMPS, _CAPACITY, "unit")
 
 
-@query()
+@query(_sql_fold(_LIGHT, "", "size_a * size_b DESC, pair_id"))
 def bucket_greedy(spark, d):
-    return pk.assign_buckets(sized(spark, d), "greedy", _BUCKETS, _CMPS, _CAPACITY, "p_brand")
+    return pk.assign_buckets(sized(spark, d), "greedy", _BUCKETS, _CMPS, _CAPACITY, "unit")
 
 
-@query()
+@query(_sql_fold(_STAY, "", own=_OWN))
 def bucket_dedup(spark, d):
-    return pk.assign_buckets(sized(spark, d), "fill_first", _BUCKETS, 50, _CAPACITY, "p_brand", dedup=True)
+    return pk.assign_buckets(sized(spark, d), "fill_first", _BUCKETS, _CMPS, _CAPACITY, "unit", dedup=True).drop("a_id", "b_id")
 
 
-@query(f"""WITH {SIZED}, o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY size_a * size_b DESC, pair_id) - 1 r FROM sized)
-SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, (CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END)::INTEGER bucket FROM o""")
+@query(_sql_fold(_AFTER, "", own=_OWN))
+def bucket_round_robin_dedup(spark, d):
+    return pk.assign_buckets(sized(spark, d), "round_robin", _BUCKETS, _CMPS, _CAPACITY, "unit", dedup=True).drop("a_id", "b_id")
+
+
+@query(_sql_fold(_LIGHT, "", "size_a * size_b DESC, pair_id", own=_OWN))
+def bucket_greedy_dedup(spark, d):
+    return pk.assign_buckets(sized(spark, d), "greedy", _BUCKETS, _CMPS, _CAPACITY, "unit", dedup=True).drop("a_id", "b_id")
+
+
+@query(f"""WITH {SIZED}, o AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY size_a * size_b DESC, pair_id) - 1 r FROM sized)
+SELECT {_SIZES}, (CASE WHEN (r // 8) % 2 = 0 THEN r % 8 ELSE 7 - r % 8 END)::INTEGER bucket FROM o""")
 def bucket_snake(spark, d):
-    return pk.snake(sized(spark, d).drop("a_id", "b_id"), 8, "p_brand")
+    return pk.snake(sized(spark, d).drop("a_id", "b_id"), 8, "unit")
 
 
-_SQL_RR = f"rr AS (SELECT *, (rn - 1) % 40 bucket, (rn - 1) // 40 slot FROM sized)"
+_SQL_RR = "rr AS (SELECT *, (rn - 1) % 3 bucket, (rn - 1) // 3 slot FROM sized)"
 
 
 def _rr(spark, d):
-    return pk.assign_buckets(sized(spark, d), "round_robin", 40, 10**5, 10**7, "p_brand")
+    return pk.assign_buckets(sized(spark, d), "round_robin", 3, 10**5, 10**7, "unit")
 
 
-@query(f"""WITH {SIZED}, {_SQL_RR}, l AS (SELECT p_brand, bucket, slot % 6 lane, sum(size_a * size_b) load, count(*) n, sum(size_a + size_b) bytes, max(size_a * size_b) top FROM rr GROUP BY ALL)
-SELECT p_brand, bucket::INTEGER bucket, sum(n)::BIGINT cmps, sum(bytes)::BIGINT bytes, sum(load)::BIGINT sum_load, (CASE WHEN count(*) < 6 THEN 0 ELSE min(load) END)::BIGINT min_load,
+@query(f"""WITH {SIZED}, {_SQL_RR}, l AS (SELECT unit, bucket, slot % 6 lane, sum(size_a * size_b) load, count(*) n, sum(size_a + size_b) bytes, max(size_a * size_b) top FROM rr GROUP BY ALL)
+SELECT unit, bucket::INTEGER bucket, sum(n)::BIGINT cmps, sum(bytes)::BIGINT bytes, sum(load)::BIGINT sum_load, (CASE WHEN count(*) < 6 THEN 0 ELSE min(load) END)::BIGINT min_load,
   max(load)::BIGINT max_load, max(top)::BIGINT top_pair FROM l GROUP BY ALL""")
 def bucket_stats(spark, d):
-    return pk.bucket_stats(_rr(spark, d), ["p_brand", "bucket"])
+    return pk.bucket_stats(_rr(spark, d), ["unit", "bucket"])
 
 
-@query(f"WITH {SIZED}, {_SQL_RR} SELECT cmps, count(*) buckets FROM (SELECT p_brand, bucket, count(*) cmps FROM rr GROUP BY ALL) GROUP BY cmps")
+@query(f"WITH {SIZED}, {_SQL_RR} SELECT cmps, count(*) buckets FROM (SELECT unit, bucket, count(*) cmps FROM rr GROUP BY ALL) GROUP BY cmps")
 def bucket_histogram(spark, d):
-    return pk.occupancy(_rr(spark, d), ["p_brand", "bucket"])
+    return pk.occupancy(_rr(spark, d), ["unit", "bucket"])
+
+
+@query(f"""WITH {SIZED}, {_SQL_RR}, b AS (SELECT unit, bucket, count(*) n, sum(size_a + size_b) bytes FROM rr GROUP BY ALL), u AS (SELECT DISTINCT unit FROM rr)
+SELECT unit, (5 - count(bucket))::BIGINT empty, coalesce(sum(n), 0)::BIGINT cmps, coalesce(sum(bytes), 0)::BIGINT bytes, max(bytes)::BIGINT largest, sum(n) / (5 * 20.0::DOUBLE) cmp_fill, sum(bytes) / (5 * 400.0::DOUBLE) byte_fill
+FROM u JOIN b USING (unit) GROUP BY unit""")
+def bucket_fill(spark, d):
+    return pk.fill_ratios(_rr(spark, d), "unit", 5, 20, 400)
 
 
 @query("SELECT p_partkey, (ceil(p_size / 50.0::DOUBLE * 4) - 1)::INTEGER size_class FROM part")
@@ -440,11 +558,11 @@ def slot_unpack(spark, d):
     return read(spark, d, "orders").select("o_orderkey", pk.unpack_slot(F.col("o_orderkey"), 7).alias("s")).select("o_orderkey", "s.*")
 
 
-@query(f"""WITH {SIZED}, {_SQL_RR} SELECT p_brand, pair_id, size_a::INTEGER size_a, size_b::INTEGER size_b, bucket::INTEGER bucket, slot::INTEGER slot,
+@query(f"""WITH {SIZED}, {_SQL_RR} SELECT {_SIZES}, bucket::INTEGER bucket, slot::INTEGER slot,
   coalesce(sum(size_a + size_b) OVER w, 0)::BIGINT off_a, (coalesce(sum(size_a + size_b) OVER w, 0) + size_a)::BIGINT off_b, (bucket * 500 + slot)::INTEGER result_place
-FROM rr WINDOW w AS (PARTITION BY p_brand, bucket ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+FROM rr WINDOW w AS (PARTITION BY unit, bucket ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def arena_offsets(spark, d):
-    return pk.arena_offsets(_rr(spark, d), ["p_brand", "bucket"], 500)
+    return pk.arena_offsets(_rr(spark, d), ["unit", "bucket"], 500)
 
 
 @query("SELECT o_orderkey % 6 worker, count(*) cmps, sum(o_orderkey)::BIGINT id_sum FROM orders GROUP BY 1")
