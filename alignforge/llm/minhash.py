@@ -13,21 +13,21 @@ Work is kept linear where groups are large:
   bounded size (a unit: two blocks of one bucket), by bit counts; a pair of classes that
   meets in several buckets is left to the first. The texts of a unit's candidates come to
   it once each, and their full sets are intersected there, so candidate pairs are never
-  rows of a table.
-
-Defined cases: null or wordless text has an empty set, is linked with nothing and keeps
-itself; fewer words than a shingle make one shingle of the whole sequence; repeated rows
-(same id or same text) share a class, a null id never names a component unless it is
-alone (then its component is null and it is kept). Columns beside id and text are
-carried untouched by :func:`keep_one`.
+  rows of a table. Units stream through their tasks sorted, one in memory at a time.
+
+A row is known by a hash of its id and text. Defined cases: null or wordless text has an empty
+set, is linked with nothing and keeps itself; fewer words than a shingle make one shingle of the
+whole sequence; rows of one id with different texts are judged apart, equal texts share a class;
+a null id never names a component unless all its members have none (then the component is null and
+they are kept). :func:`keep_one` carries all other columns untouched, and leaves one of fully
+repeated (id, text) rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, discard, mix, saved, shingle_hashes, small_batches, token_hashes
@@ -79,7 +79,7 @@ def minima(u: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, n_shingles, s1, s2: 128-bit set key, bands array<long>, packed binary)."""
+    """(id, row: a hash of id and text, n_shingles, s1, s2: 128-bit set key, bands array<long>, packed binary)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -107,13 +107,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 pa.binary(), len(n), [None, pa.py_buffer((o * (HASHES // 2)).astype(np.int32)), pa.py_buffer(packed.tobytes())]
             )
             yield pa.record_batch(
-                [b.column(0).cast(pa.int64()), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), bands, bits],
-                ["id", "n_shingles", "s1", "s2", "bands", "packed"],
+                [b.column(0), b.column(2), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), bands, bits],
+                ["id", "row", "n_shingles", "s1", "s2", "bands", "packed"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, s1 long, s2 long, bands array<long>, packed binary"
-    )
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
+    return d.mapInArrow(run, "id long, row long, n_shingles long, s1 long, s2 long, bands array<long>, packed binary")
+
+
+def row_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
 def similarity_estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -177,30 +180,43 @@ def confirm(edges: DataFrame, texts: DataFrame, width: int, share: int) -> DataF
 UNIT_SCHEMA = "unit long, x array<long>, y array<long>"
 
 
+def _sorted_runs(batches):
+    """(first column's value, table of its rows) of rows sorted by it, across batches."""
+    key, held = None, []
+    for b in batches:
+        k = b.column(0).to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
+        for x, y in zip(cut, np.append(cut[1:], len(k))):
+            if held and k[x] != key:
+                yield key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = k[x]
+            held.append(b.slice(int(x), int(y - x)))
+    if held:
+        yield key, pa.Table.from_batches(held).combine_chunks()
+
+
 def _candidates(members: DataFrame, share: int) -> DataFrame:
     """Per unit, the pairs x[k], y[k] of different labels whose estimate passes.
 
     ``members``: (key, c, lab, n_shingles, packed, bands, size). A bucket of ``size`` members
     is cut into blocks of about BLOCK by a hash of the class; every two blocks are a unit.
     """
-    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     m = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
     m = m.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        "mine", "c", "lab", "n_shingles", "packed", "bands",
-    ).withColumn("unit", F.xxhash64("key", "i", "j"))
-    m = m.withColumn("deal", F.pmod("unit", F.lit(parts * 8)).cast("int"))
+    m = m.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    m = m.select(F.xxhash64("key", "i", "j").alias("unit"), "key", "i", "j", "mine", "c", "lab", "n_shingles", "packed", "bands")
     floor = share / 100 - SLACK
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        units = []
-        for (key, i, j, unit), g in pdf.groupby(["key", "i", "j", "unit"], sort=False):
-            sig = np.frombuffer(b"".join(g["packed"]), U64).reshape(len(g), -1)
-            bands = np.stack(g["bands"].to_numpy())
+    def pairs(batches):
+        for unit, t in _sorted_runs(batches):
+            g = {k: t[k].to_numpy() for k in ("key", "i", "j", "mine", "c", "lab", "n_shingles")}
+            key, i, j = (g[k][0] for k in ("key", "i", "j"))
+            sig = np.frombuffer(b"".join(t["packed"].to_pylist()), U64).reshape(len(t), -1)
+            bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
             here = (bands == key).argmax(1)  # the band of this bucket
-            c, lab, n, mine = (g[k].to_numpy() for k in ("c", "lab", "n_shingles", "mine"))
+            c, lab, n, mine = (g[k] for k in ("c", "lab", "n_shingles", "mine"))
             rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             left, right = [], []
             for at in range(0, len(rows), 256):
@@ -218,10 +234,12 @@ def _candidates(members: DataFrame, share: int) -> DataFrame:
                 right.append(c[q[first]])
             left, right = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
             if len(left):
-                units.append((unit, left, right))
-        return pd.DataFrame(units, columns=["unit", "x", "y"])
+                yield pa.record_batch(
+                    [pa.array([int(unit)], pa.int64()), pa.array([left.tolist()], pa.list_(pa.int64())), pa.array([right.tolist()], pa.list_(pa.int64()))],
+                    ["unit", "x", "y"],
+                )
 
-    return m.groupBy("deal").applyInPandas(pairs, UNIT_SCHEMA)
+    return m.repartition("unit").sortWithinPartitions("unit").mapInArrow(pairs, UNIT_SCHEMA)
 
 
 def _linked_in(x: np.ndarray, y: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
@@ -262,41 +280,56 @@ def _linked_in(x: np.ndarray, y: np.ndarray, ids: np.ndarray, sets: list[np.ndar
 
 def _confirm_units(units: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
     """Links (a, b) of all units, on the full sets of their candidates."""
-    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    deal = F.pmod("unit", F.lit(parts * 8)).cast("int")
-    want = units.select(F.col("unit").alias("u"), F.explode(F.array_distinct(F.concat("x", "y"))).alias("id"))
+    want = units.select("unit", F.explode(F.array_distinct(F.concat("x", "y"))).alias("id"))
     if want.limit(2 * BROADCAST_EDGES + 1).count() <= 2 * BROADCAST_EDGES:
         want = F.broadcast(want)
-    held = texts.join(want, "id").select(F.pmod("u", F.lit(parts * 8)).cast("int").alias("deal2"), "u", "id", "text")
-
-    def check(pairs: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        by_unit = dict(list(docs.groupby("u", sort=False)))
-        for unit, x, y in zip(pairs["unit"], pairs["x"], pairs["y"]):
-            d = by_unit[unit].drop_duplicates("id")
-            u, offs = sets_of(pa.array(d["text"], pa.string()), width)
-            out += _linked_in(x, y, d["id"].to_numpy(), [u[s:e] for s, e in zip(offs[:-1], offs[1:])], share)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return (
-        units.select(deal.alias("deal"), "unit", "x", "y").groupBy("deal")
-        .cogroup(held.groupBy("deal2")).applyInPandas(check, "a long, b long")
-    )
+    none = F.lit(None)
+    held = texts.join(want, "id").select("unit", F.lit(1).alias("kind"), none.cast("array<long>").alias("x"), none.cast("array<long>").alias("y"), "id", "text")
+    asked = units.select("unit", F.lit(0).alias("kind"), "x", "y", none.cast("long").alias("id"), none.cast("string").alias("text"))
+    rows = asked.union(held).repartition("unit").sortWithinPartitions("unit", "kind", "id")
+
+    def check(batches):
+        unit, x, y, ids, sets = None, None, None, [], []
+
+        def done():
+            links = _linked_in(x, y, np.array(ids, np.int64), sets, share) if sets else []
+            return pa.record_batch([pa.array([k[0] for k in links], pa.int64()), pa.array([k[1] for k in links], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            u, offs = sets_of(b.column(5), width)
+            keys, kinds, id_of = (b.column(k).to_pylist() for k in (0, 1, 4))
+            for n in range(b.num_rows):
+                if kinds[n] == 0:
+                    if unit is not None:
+                        yield done()
+                    unit, x, y = keys[n], np.array(b.column(2)[n].as_py(), np.int64), np.array(b.column(3)[n].as_py(), np.int64)
+                    ids, sets = [], []
+                elif not ids or ids[-1] != id_of[n]:  # repeated rows come together
+                    ids.append(id_of[n])
+                    sets.append(u[offs[n] : offs[n + 1]].copy())
+        if unit is not None:
+            yield done()
+
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: int = 75
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _near_duplicates(docs, id_col, text_col, width, share).drop("row")
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, share: int) -> DataFrame:
     sig = saved(signatures(docs, id_col, text_col, width))
-    some = sig.where("n_shingles > 0 and id is not null")
-    # classes of equal sets; the least id stands for its class
-    classes = some.groupBy("s1", "s2").agg(F.min("id").alias("c"))
+    some = sig.where("n_shingles > 0")
+    # classes of equal sets; the least row stands for its class
+    classes = saved(some.groupBy("s1", "s2").agg(F.min("row").alias("c"), F.min("id").alias("least")))
     reps = saved(
         some.join(classes, ["s1", "s2"])
-        .where("id = c")
-        .groupBy("c")  # a repeated id may come with several sets: each id stands once
-        .agg(F.max(F.struct("n_shingles", "packed", "bands")).alias("r"))
+        .where("row = c")
+        .groupBy("c")  # repeated rows
+        .agg(F.first(F.struct("n_shingles", "packed", "bands")).alias("r"))
         .select("c", "r.*")
     )
     banded = reps.select("c", F.explode("bands").alias("key"))
@@ -307,10 +340,10 @@ def near_duplicates(
         .groupBy("c", "hub")
         .agg(F.count("*").alias("shared"))
         .groupBy("c")
-        .agg(F.max(F.struct("shared", (-F.col("hub")).alias("h"))).alias("m"))
-        .select((-F.col("m.h")).alias("a"), F.col("c").alias("b"))
+        .agg(F.max_by("hub", F.struct("shared", F.col("hub"))).alias("a"))
+        .select("a", F.col("c").alias("b"))
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(row_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     firsts = saved(first)
     linked = saved(confirm(firsts, texts, width, share))
     lab = components(linked)
@@ -324,12 +357,15 @@ def near_duplicates(
     )
     units = saved(_candidates(rest, share))
     lab = components(linked.union(_confirm_units(units, texts, width, share)))
-    discard(members, firsts, linked, units)
-    out = sig.join(classes, ["s1", "s2"], "left").join(
-        lab.select(F.col("node").alias("c"), "label"), "c", "left"
-    )
-    comp = F.when((F.col("n_shingles") == 0) | F.col("c").isNull(), F.col("id")).otherwise(F.coalesce("label", "c"))
-    return out.select("id", "n_shingles", comp.alias("component_id")).withColumn(
+    discard(members, firsts, linked, units, reps)
+    # a component goes by its least id; a class in no link is one by itself
+    label = F.coalesce("label", "c")
+    named = classes.join(lab.withColumnRenamed("node", "c"), "c", "left").select("s1", "s2", label.alias("label"), "least")
+    least = named.groupBy("label").agg(F.min("least").alias("component"))
+    of = saved(named.select("s1", "s2", "label").join(least, "label").select("s1", "s2", "component"))
+    out = sig.join(of, ["s1", "s2"], "left")
+    comp = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component"))
+    return out.select("row", "id", "n_shingles", comp.alias("component_id")).withColumn(
         "kept", F.col("id").eqNullSafe(F.col("component_id"))
     )
 
@@ -337,9 +373,17 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: int = 75) -> DataFrame:
     """``docs`` without the near-duplicates: one document of each component stays, all columns kept.
 
-    The ids to drop are written first: few, they are sent to all tasks; many, joined by a
-    shuffle. Documents with a null id stay; of a repeated id all rows stay or go.
+    The rows to drop are written first: few, they are sent to all tasks; many, joined by a
+    shuffle. Documents with a null id stay; of fully repeated rows (id and text) one does.
     """
-    gone = near_duplicates(docs, id_col, text_col, width, share).groupBy("id").agg(F.max("kept").alias("k")).where("not k")
-    gone = saved(gone.select(F.col("id").alias("__gone")))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    near = _near_duplicates(docs, id_col, text_col, width, share).where("id is not null")
+    rows = near.groupBy("row").agg(F.max("kept").alias("k"), F.count("*").alias("n")).where("not k or n > 1")
+    rows = saved(rows.select(F.col("row").alias("__row"), "k"))
+    key = F.when(F.col(id_col).isNotNull(), row_key(id_col, text_col))
+    keyed = docs.withColumn("__key", key)
+    left = keyed.join(rows, keyed["__key"] == rows["__row"], "left_anti").drop("__key")
+    if rows.where("k").limit(1).count() == 0:
+        return left
+    twice = keyed.join(rows.where("k").select("__row"), keyed["__key"] == F.col("__row"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))
+    return left.union(twice.withColumn("__n", nth).where("__n = 1").select(*docs.columns))

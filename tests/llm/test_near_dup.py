@@ -93,6 +93,23 @@ def test_edge(edge):
     assert kept.columns == edge.columns and kept.where("doc_id = 5").count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Rows that share an id are judged by their own texts; fully repeated rows leave one."""
+    w = [f"w{k}" for k in range(40)]
+    near = " ".join(w[:39] + ["other"])
+    rows = [
+        (5, " ".join(w), "a"), (5, "short one", "b"), (3, near, "c"), (3, near, "d"), (7, near, "e"), (8, "alone in the world at all", "f"),
+        (8, "alone in the world at all", "g"), (9, "short one", "h"), (None, " ".join(w), "i"), (None, None, "j"), (4, None, "k"), (4, None, "l"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = sorted(((r["id"] is None, r["id"] or 0, r["n_shingles"]), r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert [g for g in got if g[0][1] == 5] == [((False, 5, 1), 5, True), ((False, 5, 36), 3, False)]
+    assert [g[1:] for g in got if g[0][1] in (3, 7)] == [(3, True), (3, True), (3, False)]
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in minhash.keep_one(df).collect()))
+    assert kept == sorted([(5, "short one"), (3, near), (8, "alone in the world at all"), (0, " ".join(w)), (0, ""), (4, "")])
+    assert minhash.keep_one(df).columns == df.columns
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(e).count() == 0
