@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding by streaming Viterbi over a public vocabulary.
 
 The segmentation maximises the summed piece scores; of equal sums the one whose last piece
-is shorter wins, at every position. :class:`Stream` takes text in any cuts and keeps only a
-window bounded by the longest piece beside the undecided part: whenever the backpointer
-paths of all positions a later piece can still start from meet on one boundary, the ids up
-to it are committed. The blank mark starts pieces and never follows another symbol in one
-(checked on loading), so all paths meet in front of it; texts are cut there, equal cuts are
-encoded once per task by a Viterbi vectorised over many cuts, and long cuts by
-:class:`Stream`. All three give the same ids.
+is shorter wins, at every position. Text streams through: a window bounded by the longest piece is
+kept beside the undecided part, and whenever the backpointer paths of all positions a later
+piece can still start from meet on one boundary, the ids up to it are committed and forgotten.
+:func:`_streams` does so for many texts at once, a symbol of each at a time; :class:`Stream`
+is the same for one text given in any cuts, and the way of very long ones. The blank mark starts
+pieces and never follows another symbol in one (checked on loading), so all paths meet in front
+of it: texts are cut there, and equal cuts are streamed once per task.
 
 A character without a piece falls back to its bytes' pieces (or the unknown id where the
 vocabulary has none). Defined cases: null and empty text give no ids; a null id is kept as
@@ -30,12 +30,12 @@ from .cutcache import CutCache
 from .hashtable import SortedHash
 
 MARK = "▁"
-#: cuts of up to this many symbols are vectorised, longer ones streamed
-SHORT = 48
 _B = U64(0x9E3779B97F4A7C15)
 _BP = np.cumprod(np.concatenate([[U64(1)], np.full(63, _B)]), dtype=U64)
 NONE = -1e18
 _SIEVE = U64(42)
+#: texts of more symbols than this go through a stream of their own: few are so long, and a step for few is dear
+ALONE = 128
 
 
 class Vocabulary:
@@ -167,16 +167,20 @@ def stream_encode(v: Vocabulary, text: str) -> list[int]:
 
 
 def encode_cuts(v: Vocabulary, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of many short cuts at once: (flat ids, offsets)."""
+    """Ids of many cuts at once: (flat ids, offsets)."""
     lens = np.fromiter(map(len, cuts), np.int64, len(cuts))
     order = np.argsort(lens, kind="stable")
     count = np.zeros(len(cuts), np.int64)
     parts = []
-    for a in range(0, len(order), 8192):
-        group = order[a : a + 8192]
-        ids, n = _viterbi(v, [cuts[i] for i in group], lens[group])
+    many = int(np.searchsorted(lens[order], ALONE, "right"))
+    for a in range(0, many, 8192):
+        b = min(a + 8192, many)
+        ids, n = _streams(v, [cuts[i] for i in order[a:b]], lens[order[a:b]])
         parts.append(ids)
-        count[group] = n
+        count[order[a:b]] = n
+    for k in order[many:]:
+        parts.append(np.array(stream_encode(v, cuts[k]), np.int32))
+        count[k] = len(parts[-1])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     # from length order back to the callers' order
     n = count[order]
@@ -186,74 +190,105 @@ def encode_cuts(v: Vocabulary, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return flat[np.repeat(starts - offs[:-1], count) + np.arange(int(offs[-1]))], offs
 
 
-def _viterbi(v: Vocabulary, cuts: list[str], l: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Viterbi over cuts sorted by length, one symbol position at a time: (flat ids, ids per cut)."""
-    n, width = len(cuts), int(l[-1])
-    code = np.zeros((n, width), np.uint32)
-    code[np.arange(width)[None, :] < l[:, None]] = np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = np.ascontiguousarray(code.T).astype(U64) + U64(1)
-    pre = np.zeros((width + 1, n), U64)
-    best = np.full((width + 1, n), NONE)
-    best[0] = 0
-    back = np.zeros((width + 1, n), np.int32)
-    used = np.full((width + 1, n), -1, np.int32)
-    for i in range(1, width + 1):
-        np.add(pre[i - 1] * _B, code[i - 1], out=pre[i])
+class _Window:
+    """The last boundaries of all streams: best score, backpointer, piece used and hash prefix, in a ring."""
+
+    def __init__(self, size: int, n: int):
+        self.size = size
+        self.best, self.pre = np.full((size, n), NONE), np.zeros((size, n), U64)
+        self.back, self.used = np.zeros((size, n), np.int64), np.full((size, n), -1, np.int32)
+
+    def wider(self, upto: int) -> "_Window":
+        """A ring of twice the size with the same boundaries, the last of them ``upto``."""
+        out = _Window(2 * self.size, self.best.shape[1])
+        at = np.arange(max(0, upto - self.size + 1), upto + 1)
+        for name in ("best", "pre", "back", "used"):
+            getattr(out, name)[at % out.size] = getattr(self, name)[at % self.size]
+        return out
+
+
+def _streams(v: Vocabulary, cuts: list[str], l: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Streaming Viterbi over cuts sorted by length, one symbol of each at a time: (flat ids, ids per cut)."""
+    n, most = len(cuts), max(v.longest, 2)
+    code = np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    first = np.cumsum(l) - l
+    w = _Window(4 * most, n)
+    w.best[0] = 0
+    base = np.zeros(n, np.int64)  # boundaries up to here are committed
+    out: list = []  # (cut, boundary where a piece ends, piece or -1)
+
+    def emit(rows: np.ndarray, end: np.ndarray) -> None:
+        """The pieces between each row's base and ``end``."""
+        while len(rows):
+            on = end > base[rows]
+            rows, end = rows[on], end[on]
+            out.append((rows, end, w.used[end % w.size, rows]))
+            end = w.back[end % w.size, rows]
+
+    done = 0  # cuts that have ended; they are the shortest, in front
+    for i in range(1, int(l[-1]) + 1 if n else 0):
         live = int(np.searchsorted(l, i))  # the cuts from here on are long enough
-        row, top, frm, via = pre[i, live:], best[i, live:], back[i, live:], used[i, live:]
+        at = i % w.size
+        w.pre[at, live:] = w.pre[(i - 1) % w.size, live:] * _B + code[first[live:] + i - 1].astype(U64) + U64(1)
+        row, top, frm, via = w.pre[at, live:], w.best[at, live:], w.back[at, live:], w.used[at, live:]
         for m in range(1, min(i, v.longest) + 1):
-            h = pre[i - m, live:] * _BP[m]
-            np.subtract(row, h, out=h)
+            h = row - w.pre[(i - m) % w.size, live:] * _BP[m]
             if m == 1:
-                at = v.table.find(mix(h + U64(1)))
-                s = best[i - 1, live:] + np.where(at < 0, v.penalty, v.table_score[at])
-                top[:], frm[:], via[:] = s, i - 1, at
+                k = v.table.find(mix(h + U64(1)))
+                top[:], frm[:], via[:] = w.best[(i - 1) % w.size, live:] + np.where(k < 0, v.penalty, v.table_score[k]), i - 1, k
                 continue
             may = np.flatnonzero(v.maybe[(h >> _SIEVE).view(np.int64)])
             if not len(may):
                 continue
-            at = v.table.find(mix(h[may] + U64(m)))
-            s = best[i - m, live:][may] + v.table_score[at]
+            k = v.table.find(mix(h[may] + U64(m)))
+            s = w.best[(i - m) % w.size, live:][may] + v.table_score[k]
             win = s > top[may]
             to = may[win]
-            top[to], frm[to], via[to] = s[win], i - m, at[win]
-    # all paths back together, from each cut's end
-    end, cols = l.copy(), np.arange(n)
-    steps = []
-    while True:
-        on = end > 0
-        if not on.any():
-            break
-        steps.append((np.where(on, used[end, cols], -2), end))
-        end = np.where(on, back[end, cols], 0)
-    if not steps:
+            top[to], frm[to], via[to] = s[win], i - m, k[win]
+        ended = int(np.searchsorted(l, i, "right"))
+        if ended > live:
+            emit(np.arange(live, ended), np.full(ended - live, i))
+        done = ended
+        if i >= 2 * most and i % most == 0 and done < n:
+            rows = np.arange(done, n)
+            meet = _meeting(w, rows, i, most)
+            on = meet > base[rows]
+            emit(rows[on], meet[on])
+            base[rows[on]] = meet[on]
+            # scores from the committed boundary on
+            w.best[:, done:] -= np.where(on, w.best[meet % w.size, rows], 0.0)[None, :]
+            if i - int(base[done:].min()) + 2 * most > w.size:
+                w = w.wider(i)
+    if not out:
         return np.zeros(0, np.int32), np.zeros(n, np.int64)
-    u = np.stack([k for k, _ in steps[::-1]], 1)
-    ids = v.table_id[u]
-    bare = np.flatnonzero((u == -1).any(1))
-    have = u >= 0
-    if not len(bare):
-        return ids[have], have.sum(1)
-    # cuts with a character that has no piece are put together one by one
-    ends = np.stack([e for _, e in steps[::-1]], 1)
-    size = have.sum(1)
-    special = {}
-    for r in bare:
-        out: list[int] = []
-        for k, e in zip(u[r], ends[r]):
-            if k >= 0:
-                out.append(int(v.table_id[k]))
-            elif k == -1:
-                out += v.fallback(cuts[r][e - 1])
-        special[r], size[r], have[r] = out, len(out), False
-    at = np.concatenate([[0], np.cumsum(size)])
-    flat = np.empty(int(at[-1]), np.int32)
-    plain = np.ones(n, bool)
-    plain[bare] = False
-    flat[np.repeat(plain, size)] = ids[have]
-    for r, out in special.items():
-        flat[at[r] : at[r + 1]] = out
-    return flat, size
+    rows, ends, used = (np.concatenate([o[k] for o in out]) for k in range(3))
+    order = np.lexsort((ends, rows))
+    rows, ends, used = rows[order], ends[order], used[order]
+    ids = v.table_id[used] if len(v.table_id) else np.zeros(len(used), np.int32)
+    bare = np.flatnonzero(used < 0)
+    if len(bare):  # characters without a piece, in their bytes
+        spelt = {}
+        texts = [spelt.setdefault(c, v.fallback(chr(c))) for c in code[first[rows[bare]] + ends[bare] - 1].tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[bare] = [len(t) for t in texts]
+        ids, rows = np.repeat(ids, size), np.repeat(rows, size)
+        at = np.cumsum(size) - size
+        for k, t in zip(bare, texts):
+            ids[at[k] : at[k] + len(t)] = t
+    return ids.astype(np.int32), np.bincount(rows, minlength=n)
+
+
+def _meeting(w: _Window, rows: np.ndarray, i: int, most: int) -> np.ndarray:
+    """The boundary on which the paths of all positions a later piece can start from meet, of each row."""
+    now = np.repeat(np.arange(i - most + 1, i + 1)[:, None], len(rows), axis=1)
+    while True:
+        low = now.min(0)
+        above = now > low
+        if not above.any():
+            return low
+        # whoever stands above the lowest steps back
+        k, r = np.nonzero(above)
+        now[k, r] = w.back[now[k, r] % w.size, rows[r]]
 
 
 class Encoder:
@@ -288,19 +323,9 @@ class Encoder:
         return flat, at[np.searchsorted(starts, offs)]
 
     def _new(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of cuts not met before, in their order (they come sorted by byte length)."""
-        texts = [c.decode("utf-8", "surrogatepass").replace(" ", MARK) for c in cuts]
-        short = np.array([k for k, c in enumerate(texts) if len(c) <= SHORT], np.int64)
-        flat, at = encode_cuts(self.v, [texts[k] for k in short])
-        if len(short) == len(texts):
-            return flat, np.diff(at)
-        parts: list = [None] * len(texts)
-        for k, a, b in zip(short, at[:-1], at[1:]):
-            parts[k] = flat[a:b]
-        for k, c in enumerate(texts):
-            if parts[k] is None:
-                parts[k] = np.array(stream_encode(self.v, c), np.int32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        """Ids of cuts not met before, in their order."""
+        flat, at = encode_cuts(self.v, [c.decode("utf-8", "surrogatepass").replace(" ", MARK) for c in cuts])
+        return flat, np.diff(at)
 
 
 def decode_ids(v: Vocabulary, flat: np.ndarray, rows: np.ndarray) -> list[bytes]:

@@ -268,6 +268,24 @@ def test_streaming_viterbi():
     assert [b.decode() for b in sentencepiece_viterbi.decode_ids(v, flat, rows)] == texts
 
 
+def test_streams_side_by_side(monkeypatch):
+    """Many texts in lockstep, one stream each, and the plain table: the same ids, whatever the window."""
+    v = sentencepiece_viterbi.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    letters = list("aaabeeinorst" + "éß語😀")
+    cuts = ["▁" + "".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(60)] + ["", "▁", "a" * 900, "😀" * 150, "ab" * 300]
+    want = [sentencepiece_viterbi.stream_encode(v, c) for c in cuts]
+    monkeypatch.setattr(sentencepiece_viterbi, "ALONE", 10**6)
+    monkeypatch.setattr(sentencepiece_viterbi.Stream, "feed", None)  # lockstep alone
+    flat, at = sentencepiece_viterbi.encode_cuts(v, cuts)
+    assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+    seen = []
+    real = sentencepiece_viterbi._meeting
+    monkeypatch.setattr(sentencepiece_viterbi, "_meeting", lambda w, rows, i, most: seen.append(w.size) or real(w, rows, i, most))
+    sentencepiece_viterbi.encode_cuts(v, cuts)
+    assert len(seen) > 20 and max(seen) <= 16 * v.longest  # committed as it goes: the window stays small
+
+
 def test_sentencepiece_edge(edge):
     path = tokenizer_path("piece_bpe_32k.model")
     got = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(edge, path), path)
