@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ FIELDS = {
     "begin": [("a_begin", "int"), ("b_begin", "int")],
     "second": [("score2", "int"), ("b_end2", "int")],
     "cigar": [("cigar", "string"), ("mismatches", "int")],
+    "time": [("kernel_s", "double"), ("task_s", "double")],
 }
 
 
@@ -28,7 +31,8 @@ def align(
     pairs: DataFrame, scoring: Scoring, a: str = "a", b: str = "b", outputs: tuple[str, ...] = ("score", "end", "begin"),
     mask_length: int = 15, min_score: int = 0, max_distance: int | None = None, max_length: int | None = None, keep_sequences: bool = False,
 ) -> DataFrame:
-    """``pairs`` with the asked outputs added: score, end, begin, second (best), cigar.
+    """``pairs`` with the asked outputs added: score, end, begin, second (best), cigar, and time (the
+    pair's share, by cells, of its Arrow batch's seconds in the kernel and in all).
 
     Only what is asked for is computed (the reverse pass, the traceback). ``min_score`` and
     ``max_distance`` (of the aligned span of A and B) gate the CIGAR as a projection; rows
@@ -45,7 +49,7 @@ def align(
             "__a", F.when(F.length("__a") > max_length, F.raise_error(F.lit(f"sequence longer than {max_length}"))).otherwise(F.col("__a"))
         )
     schema = ", ".join([f"`{n}` {src.schema[n].dataType.simpleString()}" for n in known] + [f"{n} {t}" for n, t in fields])
-    types = {"int": pa.int32(), "string": pa.string()}
+    types = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
     def wanted(out: dict, i: int) -> bool:
         if out["score"][i] < min_score:
@@ -55,8 +59,15 @@ def align(
 
     def run(batches):
         for batch in batches:
+            began = time.perf_counter()
             xa, xb = ([one_byte_each(x) for x in batch.column(len(known) + k).cast(pa.binary()).to_pylist()] for k in (0, 1))
+            ready = time.perf_counter()
             r = align_batch(xa, xb, scoring, outputs, mask_length, wanted)
+            if "time" in outputs:
+                done = time.perf_counter()
+                share = [len(x or b"") * len(y or b"") + 1 for x, y in zip(xa, xb)]
+                unit = 1 / max(sum(share), 1)
+                r["kernel_s"], r["task_s"] = ([s * unit * t for s in share] for t in (done - ready, done - began))
             null = [x is None or y is None for x, y in zip(xa, xb)]
             cols = [pa.array([None if z else v for z, v in zip(null, r[n])], types[t]) for n, t in fields]
             yield pa.record_batch([*batch.columns[: len(known)], *cols], [*known, *(n for n, _ in fields)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAG_RUN, TAG_CPU = "ALIGNLOG", "CPUJSONLOG"
-#: measures of a batch record
+# The measures of a batch record, by the names logs use.
 BATCH_METRICS = [
     "cycle_inner", "cycle_outer", "cell_count", "data_count", "time_inner", "time_outer", "time_job", "gcups_inner", "gcups_outer",
     "gcups_job", "gcups_batch", "transfer_size_total", "time_h2d", "transfer_ratio", "transfer_bandwidth", "transfer_bandwidth_per_vertex",
@@ -20,6 +20,11 @@ def cells(a: str = "a", b: str = "b") -> Column:
     return F.coalesce(F.sum(F.length(a).cast("long") * F.length(b)), F.lit(0))
 
 
+def cells_of(size_a: str, size_b: str) -> Column:
+    """Sum of the products of two lengths."""
+    return F.coalesce(F.sum(F.col(size_a).cast("long") * F.col(size_b)), F.lit(0))
+
+
 def data_bytes(a: str = "a", b: str = "b") -> Column:
     return F.coalesce(F.sum(F.length(a).cast("long") + F.length(b)), F.lit(0))
 
@@ -28,15 +33,21 @@ def gcups(cell_count: Column, seconds: Column) -> Column:
     return cell_count / seconds / 1e9
 
 
-def batch_record(cell_count: Column, data_count: Column, cycle_inner: Column, cycle_outer: Column, clock_hz: float, time_job: Column, vertices: int) -> list[Column]:
-    """The derived measures of one batch."""
+def batch_record(
+    cell_count: Column, data_count: Column, cycle_inner: Column, cycle_outer: Column, clock_hz: float, time_job: Column, vertices: int,
+    time_batch: Column | None = None, transfer_size: Column | None = None,
+) -> list[Column]:
+    """The measures of one batch beside its counts; ``transfer_size``: bytes of its input buffer (default: its data)."""
     inner, outer = cycle_inner / clock_hz, cycle_outer / clock_hz
-    h2d = outer - inner
+    h2d, size = outer - inner, data_count if transfer_size is None else transfer_size
+    per = lambda x, y: F.when(y != 0, x / y)
+    rate = per(size, h2d) / 1e6
     return [
         inner.alias("time_inner"), outer.alias("time_outer"), time_job.alias("time_job"), gcups(cell_count, inner).alias("gcups_inner"),
-        gcups(cell_count, outer).alias("gcups_outer"), gcups(cell_count, time_job).alias("gcups_job"), h2d.alias("time_h2d"),
-        (data_count / (data_count + cell_count)).alias("transfer_ratio"), (data_count / h2d).alias("transfer_bandwidth"),
-        (data_count / h2d / vertices).alias("transfer_bandwidth_per_vertex"),
+        gcups(cell_count, outer).alias("gcups_outer"), gcups(cell_count, time_job).alias("gcups_job"),
+        gcups(cell_count, time_job if time_batch is None else time_batch).alias("gcups_batch"), size.cast("double").alias("transfer_size_total"),
+        h2d.alias("time_h2d"), (per(data_count, size) * 100).alias("transfer_ratio"), rate.alias("transfer_bandwidth"),
+        (rate / vertices).alias("transfer_bandwidth_per_vertex"),
     ]
 
 
@@ -73,9 +84,26 @@ def roll_up_folder(logs: DataFrame, kind: str) -> DataFrame:
         rows = tagged(logs, TAG_CPU, "time_outer_s double, time_inner_s double, gcups_outer double, gcups_inner double, cells double")
         return rows.select("*", *cpu_run_fields(F.col("file")))
     batch = tagged(logs, TAG_RUN, "tag string, " + ", ".join(f"{m} double" for m in BATCH_METRICS)).where("tag = 'batch_perf'")
-    final = tagged(logs, TAG_RUN, "tag string, cells long, cmps_processed long, outer_time_s double, outer_gcups double").where("tag = 'final_log'")
-    setup = tagged(logs, TAG_RUN, "tag string, config string").where("tag = 'run_comparison_setup'")
-    return with_setup(rollup(batch, "file", BATCH_METRICS), setup.drop("tag"), final.drop("tag"), "file")
+    final = tagged(logs, TAG_RUN, "tag string, cells long, outer_time_s double, outer_gcups double, cmps_processed long, cmps_submitted long, cmps_orig long, batches_processed long, batches_submitted long, batches_orig long").where("tag = 'final_log'")
+    config = "tag string, config struct<numDevices int, numThreads int, duplicateDatasets boolean, algo struct<useRemoteBuffer boolean, fillAlgo string>>"
+    setup = tagged(logs, TAG_RUN, config).where("tag = 'run_comparison_setup'")
+    setup = setup.select("file", *run_fields(F.col("file"), F.col("config")))
+    return with_setup(rollup(batch.drop("tag"), "file", BATCH_METRICS), setup, final.drop("tag"), "file")
+
+
+def run_fields(name: Column, config: Column) -> list[Column]:
+    """Data set (the middle of the log's name) and configuration of a run."""
+    parts = F.split(name, "_")
+    return [
+        F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 4, F.lit(0))), "_").alias("dataset"), config["numDevices"].alias("numDevices"),
+        config["numThreads"].alias("numThreads"), F.when(config["duplicateDatasets"], "dup").otherwise("nodup").alias("duplication"),
+        F.when(config["algo"]["useRemoteBuffer"], "remote").otherwise("stream").alias("remote"), config["algo"]["fillAlgo"].alias("fillAlgo"),
+    ]
+
+
+def slowest_worker(times: DataFrame, worker: str, seconds: str) -> DataFrame:
+    """A run takes as long as its slowest worker: the most seconds any of them summed up."""
+    return times.groupBy(worker).agg(F.sum(seconds).alias("s")).agg(F.max("s").alias("time_inner_s"))
 
 
 def cpu_run_fields(name: Column) -> list[Column]:

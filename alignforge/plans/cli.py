@@ -7,18 +7,13 @@ from __future__ import annotations
 
 import argparse
 import json
-import time
 from dataclasses import fields
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from alignforge.functions.scoring import Scoring  # noqa: F401
-from alignforge.operators.align import align
-from alignforge.operators.pairing import zip_pairs
-from alignforge.plans.config import AlgoConfig, SWConfig
-from alignforge.sources.sequences import load, write_results
+from alignforge.plans.config import AlgoConfig, RunConfig, SWConfig
+from alignforge.plans.run import run_comparison
 
 
 def parse(argv: list[str] | None = None):
@@ -26,32 +21,21 @@ def parse(argv: list[str] | None = None):
     p.add_argument("reference")
     p.add_argument("query")
     p.add_argument("-c", "--config", help="JSON file with any of the options")
-    p.add_argument("-o", "--output", help="folder for the results")
-    for f in [*fields(SWConfig), *fields(AlgoConfig)]:
+    p.add_argument("-o", "--output", help="folder for results and log")
+    for f in [*fields(SWConfig), *fields(AlgoConfig), *fields(RunConfig)]:
         kind = (lambda s: s.lower() in ("1", "true", "yes")) if f.type in ("bool", bool) else {"int": int, "str": str}[f.type]
         p.add_argument(f"--{f.name}", type=kind, default=None)
     a = p.parse_args(argv)
     given = json.loads(Path(a.config).read_text()) if a.config else {}
     given |= {k: v for k, v in vars(a).items() if v is not None and k not in ("reference", "query", "config", "output")}
     pick = lambda kind: kind(**{f.name: given[f.name] for f in fields(kind) if f.name in given})
-    return a, pick(SWConfig), pick(AlgoConfig)
+    return a, pick(SWConfig), pick(AlgoConfig), pick(RunConfig)
 
 
 def main(argv: list[str] | None = None) -> int:
-    args, sw, algo = parse(argv)
+    args, sw, algo, run = parse(argv)
     spark = SparkSession.builder.appName("alignforge").getOrCreate()
-    a = load(spark, args.query).select(F.col("seq_id").alias("pair_id"), F.col("seq").alias("a"))
-    b = load(spark, args.reference).select(F.col("seq_id").alias("pair_id"), F.col("seq").alias("b"))
-    outputs = ("score", "end") if algo.forwardOnly else ("score", "end", "begin")
-    pairs = zip_pairs(a, b)
-    began = time.perf_counter()
-    out = align(pairs.select("*", (F.length("a").cast("long") * F.length("b")).alias("cells")), sw.scoring(), outputs=outputs, max_length=algo.maxAB)
-    if args.output:
-        write_results(out, args.output)
-        out = spark.read.parquet(args.output)
-    r = out.agg(F.count("*"), F.max("score"), F.sum("cells")).first()
-    took = time.perf_counter() - began
-    print(json.dumps({"cmps": r[0], "max_score": r[1], "cells": r[2], "outer_time_s": took, "outer_gcups": (r[2] or 0) / took / 1e9}))
+    print(json.dumps(run_comparison(spark, args.reference, args.query, sw, algo, run, args.output)))
     return 0
 
 

@@ -17,6 +17,8 @@ from alignforge.operators import align as al
 from alignforge.operators import metrics as mt
 from alignforge.operators import packing as pk
 from alignforge.operators import pairing as pr
+from alignforge.plans import run as rn
+from alignforge.plans.config import AlgoConfig, SWConfig
 from alignforge.plans.session import shared_dir
 from alignforge.sources import sequences as src
 from alignforge.streaming import align_stream as stm
@@ -313,13 +315,36 @@ def final_record(spark, d):
     return mt.final_record(sized(spark, d), 2.0)
 
 
-@query("""SELECT o_orderkey, o_custkey / 1.0::DOUBLE / 1e6 time_inner, (o_custkey + o_orderkey) / 1e6 time_outer, 1.0::DOUBLE time_job,
-  o_totalprice / (o_custkey / 1e6) / 1e9 gcups_inner, o_totalprice / ((o_custkey + o_orderkey) / 1e6) / 1e9 gcups_outer, o_totalprice / 1e9 gcups_job
-FROM orders WHERE o_custkey > 0""")
+@query("""WITH o AS (SELECT o_orderkey, (o_custkey + 1)::DOUBLE ci, (o_custkey + 1 + o_orderkey + 1)::DOUBLE co, o_totalprice cells, (o_orderkey + 5)::DOUBLE bytes, (2 * o_orderkey + 40)::DOUBLE size FROM orders)
+SELECT o_orderkey, ci / 1e6 time_inner, co / 1e6 time_outer, 1.5::DOUBLE time_job, cells / (ci / 1e6) / 1e9 gcups_inner, cells / (co / 1e6) / 1e9 gcups_outer, cells / 1.5::DOUBLE / 1e9 gcups_job,
+  cells / 2.5::DOUBLE / 1e9 gcups_batch, size transfer_size_total, round(co / 1e6 - ci / 1e6, 9) time_h2d, bytes / size * 100 transfer_ratio,
+  round(size / (co / 1e6 - ci / 1e6) / 1e6, 6) transfer_bandwidth, round(size / (co / 1e6 - ci / 1e6) / 1e6 / 10, 6) transfer_bandwidth_per_vertex FROM o""")
 def batch_measures(spark, d):
-    o = read(spark, d, "orders").where("o_custkey > 0")
-    cols = mt.batch_record(F.col("o_totalprice"), F.col("o_orderkey"), F.col("o_custkey"), F.col("o_custkey") + F.col("o_orderkey"), 1e6, F.lit(1.0), 10)
-    return o.select("o_orderkey", *cols[:2], cols[2], *cols[3:6])
+    inner, outer = F.col("o_custkey") + 1, F.col("o_custkey") + 1 + F.col("o_orderkey") + 1
+    cols = mt.batch_record(F.col("o_totalprice"), F.col("o_orderkey") + 5, inner, outer, 1e6, F.lit(1.5), 10, F.lit(2.5), 2 * F.col("o_orderkey") + 40)
+    out = read(spark, d, "orders").select("o_orderkey", *cols)
+    for name, digits in (("time_h2d", 9), ("transfer_bandwidth", 6), ("transfer_bandwidth_per_vertex", 6)):
+        out = out.withColumn(name, F.round(name, digits))
+    return out
+
+
+@query("""SELECT sum(length(p_name) * length(p_type))::BIGINT cells, count(*) cmps_processed, count(*) cmps_orig, (ceil(count(*) / 44.0::DOUBLE))::BIGINT batches_processed,
+  (ceil(count(*) / 44.0::DOUBLE))::BIGINT batches_orig, 16::BIGINT measures, count(*) bucket_cmps FROM part""")
+def run_records(spark, d):
+    """A run over two files of part names and types; its log lines, read back."""
+    at = shared_dir(spark)
+    p = read(spark, d, "part").repartitionByRange(2, "p_partkey").sortWithinPartitions("p_partkey")
+    p.select("p_name").write.text(f"{at}/a.txt")
+    p.select("p_type").write.text(f"{at}/b.txt")
+    rn.run_comparison(spark, f"{at}/b.txt", f"{at}/a.txt", SWConfig(), AlgoConfig(tilesUsed=10, maxBatches=5), out=f"{at}/run")
+    logs = src.read_logs(spark, f"{at}/run/log")
+    final = mt.tagged(logs, mt.TAG_RUN, "tag string, cells long, cmps_processed long, cmps_orig long, batches_processed long, batches_orig long").where("tag = 'final_log'")
+    perf = mt.tagged(logs, mt.TAG_RUN, "tag string, " + ", ".join(f"{m} double" for m in mt.BATCH_METRICS)).where("tag = 'batch_perf'")
+    whole = perf.agg(F.sum("cell_count").cast("long").alias("c"), sum((F.count(m) > 0).cast("long") for m in mt.BATCH_METRICS).alias("measures"))
+    buckets = mt.tagged(logs, mt.TAG_RUN, "tag string, cmps long").where("tag = 'buckets'").agg(F.sum("cmps").alias("bucket_cmps"))
+    return final.join(whole, F.col("c") == F.col("cells")).join(buckets).select(
+        "cells", "cmps_processed", "cmps_orig", "batches_processed", "batches_orig", "measures", "bucket_cmps"
+    )
 
 
 # ------------------------------------------------------------------ encoding

@@ -119,7 +119,7 @@ def test_config_and_cli(tmp_path):
     assert c.gapInit == -2 and json.loads(to_json(c))["matchValue"] == 1
     assert AlgoConfig(tilesUsed=2, maxBatches=3, bufsize=9).input_words() == 2 * 3 + 24
     (tmp_path / "c.json").write_text('{"matchValue": 5, "maxAB": 7}')
-    _, sw, algo = parse(["r", "q", "-c", str(tmp_path / "c.json"), "--maxAB", "9"])
+    _, sw, algo, _ = parse(["r", "q", "-c", str(tmp_path / "c.json"), "--maxAB", "9"])
     assert (sw.matchValue, algo.maxAB) == (5, 9)
 
 
