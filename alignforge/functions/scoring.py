@@ -210,6 +210,48 @@ def simple_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1).otherwise(-1)
 
 
+class Matrix:
+    """A dense matrix: bounds-checked cells, its greatest one, copies, flat and printed forms."""
+
+    def __init__(self, rows: int, columns: int, values=None):
+        self.cells = np.zeros((rows, columns), np.int64) if values is None else np.array(values, np.int64).reshape(rows, columns)
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.cells.shape
+
+    def _at(self, i: int, j: int) -> tuple[int, int]:
+        if not (0 <= i < self.shape[0] and 0 <= j < self.shape[1]):
+            raise IndexError(f"({i}, {j}) is outside {self.shape}")
+        return i, j
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        return int(self.cells[self._at(*at)])
+
+    def __setitem__(self, at: tuple[int, int], value: int) -> None:
+        self.cells[self._at(*at)] = value
+
+    def argmax(self) -> tuple[int, int]:
+        return argmax(self.cells)
+
+    def copy(self) -> "Matrix":
+        return Matrix(*self.shape, self.cells)
+
+    def flat(self) -> list[int]:
+        """Row by row."""
+        return self.cells.ravel().tolist()
+
+    def rows(self) -> list[list[int]]:
+        return self.cells.tolist()
+
+    def __str__(self) -> str:
+        return "\n".join(" ".join(str(v) for v in r) for r in self.rows())
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(i, j, value) rows."""
+        return spark.createDataFrame([(i, j, v) for i, r in enumerate(self.rows()) for j, v in enumerate(r)], "i int, j int, value long")
+
+
 def argmax(matrix: np.ndarray) -> tuple[int, int]:
     """Row and column of the first greatest value in row order."""
     return tuple(int(v) for v in np.unravel_index(int(np.argmax(matrix)), matrix.shape))

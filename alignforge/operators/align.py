@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from alignforge.functions.scoring import Scoring
 from alignforge.operators.kernel import align_batch
+from alignforge.operators.pairing import one_against_many
 from alignforge.plans.session import small_batches
 
 FIELDS = {
@@ -75,6 +77,78 @@ def align(
     return src.mapInArrow(run, schema)
 
 
+def align_sql(pairs: DataFrame, scoring: Scoring, a: str = "a", b: str = "b") -> DataFrame:
+    """Score and ends by SQL functions alone, a fold over B: no Python worker. For short sequences; results equal :func:`align`."""
+    n, gi, ge = len(scoring.letters), scoring.gap_init, scoring.gap_extend
+    rest = scoring.letters.index(scoring.unknown) if scoring.unknown else 0
+    known = [c for c in pairs.columns if c not in (a, b)]
+    cells = "array(" + ",".join(str(int(v)) for v in scoring.matrix.ravel()) + ")"
+    place = f"instr('{scoring.letters}', upper(c))"
+    codes = lambda x: f"transform(filter(split({x}, ''), c -> c <> ''), c -> if({place} > 0, {place} - 1, {rest}))"
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    gap_b = f"zip_with(s.e, s.h, (x, y) -> greatest(y + {gi + ge}, x + {ge}))"
+    straight = f"transform(e, (x, j) -> greatest(0, x, if(j = 0, 0, s.h[j - 1]) + __m[__x[j] * {n} + __y[i]]))"
+    row = f"""aggregate(t, named_struct('h', cast(array() AS array<int>), 'm', 0, 'j', 1),
+      (r, x) -> named_struct('h', concat(r.h, array(greatest(x, {gi} + {ge} * r.j + r.m))), 'm', greatest(r.m, x - {ge} * r.j), 'j', r.j + 1), r -> r.h)"""
+    after = """named_struct('h', h, 'e', e, 'best', greatest(s.best, array_max(h)),
+      'ae', if(array_max(h) > s.best, cast(array_position(h, array_max(h)) AS int) - 1, s.ae), 'be', if(array_max(h) > s.best, i, s.be))"""
+    step = let(gap_b, "e", let(straight, "t", let(row, "h", after)))
+    fold = f"""aggregate(sequence(0, size(__y) - 1), named_struct('h', transform(__x, c -> 0), 'e', transform(__x, c -> 0), 'best', 0, 'ae', 0, 'be', 0), (s, i) -> {step})"""
+    out = pairs.select(*known, F.expr(codes(f"`{a}`")).alias("__x"), F.expr(codes(f"`{b}`")).alias("__y"), F.expr(cells).alias("__m"))
+    none = F.col("__x").isNull() | F.col("__y").isNull()
+    empty = (F.size("__x") == 0) | (F.size("__y") == 0)
+    zero = F.expr("named_struct('best', 0, 'ae', 0, 'be', 0)")
+    found = F.when(none, F.lit(None)).when(empty, zero).otherwise(F.expr(f"transform(array({fold}), s -> named_struct('best', s.best, 'ae', s.ae, 'be', s.be))[0]"))
+    return out.select(*known, found.alias("__r")).select(*known, F.col("__r.best").alias("score"), F.col("__r.ae").alias("a_end"), F.col("__r.be").alias("b_end"))
+
+
+class Aligner:
+    """Scoring, outputs and a preset reference, kept together; every method gives a DataFrame."""
+
+    def __init__(self, scoring: Scoring | None = None, outputs: tuple[str, ...] = ("score", "end", "begin"), engine: str = "arrow", **how):
+        self.outputs, self.how = outputs, how
+        if engine not in ("arrow", "sql"):
+            raise ValueError(engine)
+        self.engine, self.reference = engine, None
+        self.rebuild(scoring)
+
+    def rebuild(self, scoring: Scoring | None = None) -> "Aligner":
+        """Another scoring; without one the default base matrix and gaps."""
+        self.scoring = scoring or Scoring.simple_bases()
+        return self
+
+    def set_gap_penalty(self, open_cost: int, extend_cost: int) -> "Aligner":
+        """Costs of a gap's first base and of each further one, as positive numbers."""
+        if open_cost < extend_cost or extend_cost < 0:
+            raise ValueError("a gap's first base costs at least as much as the next ones")
+        self.scoring = replace(self.scoring, gap_init=extend_cost - open_cost, gap_extend=-extend_cost)
+        return self
+
+    def set_reference(self, sequence: str) -> "Aligner":
+        if not sequence:
+            raise ValueError("an empty reference")
+        self.reference = sequence
+        return self
+
+    def clear(self) -> "Aligner":
+        """No scoring of one's own, no reference."""
+        self.reference = None
+        return self.rebuild()
+
+    def align(self, pairs: DataFrame) -> DataFrame:
+        if self.engine == "sql":
+            if not set(self.outputs) <= {"score", "end"}:
+                raise ValueError("the sql engine gives score and end")
+            return align_sql(pairs, self.scoring)
+        return align(pairs, self.scoring, outputs=self.outputs, **self.how)
+
+    def align_to_reference(self, queries: DataFrame, seq: str = "seq") -> DataFrame:
+        """Every query against the preset reference; empty queries are left out."""
+        if self.reference is None:
+            raise ValueError("no reference set")
+        return self.align(one_against_many(self.reference, queries, seq))
+
+
 def cost_balanced(pairs: DataFrame, partitions: int, a: str = "a", b: str = "b", salt: int = 16) -> DataFrame:
     """Deal pairs so that partitions hold like alignment cost: by size class, then by hash within.
 

@@ -30,7 +30,8 @@ def data_bytes(a: str = "a", b: str = "b") -> Column:
 
 
 def gcups(cell_count: Column, seconds: Column) -> Column:
-    return cell_count / seconds / 1e9
+    """Null where no time has passed."""
+    return F.try_divide(cell_count.cast("double"), seconds.cast("double")) / 1e9
 
 
 def batch_record(
@@ -40,13 +41,13 @@ def batch_record(
     """The measures of one batch beside its counts; ``transfer_size``: bytes of its input buffer (default: its data)."""
     inner, outer = cycle_inner / clock_hz, cycle_outer / clock_hz
     h2d, size = outer - inner, data_count if transfer_size is None else transfer_size
-    per = lambda x, y: F.when(y != 0, x / y)
-    rate = per(size, h2d) / 1e6
+    per = F.try_divide
+    rate = per(size.cast("double"), h2d) / 1e6
     return [
         inner.alias("time_inner"), outer.alias("time_outer"), time_job.alias("time_job"), gcups(cell_count, inner).alias("gcups_inner"),
         gcups(cell_count, outer).alias("gcups_outer"), gcups(cell_count, time_job).alias("gcups_job"),
         gcups(cell_count, time_job if time_batch is None else time_batch).alias("gcups_batch"), size.cast("double").alias("transfer_size_total"),
-        h2d.alias("time_h2d"), (per(data_count, size) * 100).alias("transfer_ratio"), rate.alias("transfer_bandwidth"),
+        h2d.alias("time_h2d"), (per(data_count.cast("double"), size) * 100).alias("transfer_ratio"), rate.alias("transfer_bandwidth"),
         (rate / vertices).alias("transfer_bandwidth_per_vertex"),
     ]
 

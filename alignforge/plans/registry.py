@@ -223,6 +223,11 @@ def align_aa_blosum62(spark, d):
     return al.align(part_pairs(spark, d), AA62)
 
 
+@query(sql_align(PART_PAIRS, AA62, begin=False))
+def align_sql_engine(spark, d):
+    return al.Aligner(AA62, outputs=("score", "end"), engine="sql").align(part_pairs(spark, d))
+
+
 @query()
 def align_documents(spark, d):
     """Neighbouring documents, whole; dealt by cost."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: the one bound of an Arrow batch, whatever the operator
-BATCH_ROWS, BATCH_MB = 4000, 8
+BATCH_ROWS, BATCH_MB = 1000, 4
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -136,3 +136,39 @@ def test_distance_gate_and_characters(spark):
     at = {k: {r["pair_id"]: r for r in al.align(df, NA, outputs=how, max_distance=k).collect()} for k in (2, 3)}
     assert at[3][1]["cigar"] == "4=" and at[2][1]["cigar"] is None
     assert [(at[3][i]["a_begin"], at[3][i]["a_end"]) for i in (2, 3)] == [(1, 4), (1, 4)]
+
+
+def test_tracebacks_in_little_memory(monkeypatch):
+    """Rows computed again give the CIGAR of whole tables."""
+    from alignforge.operators import kernel
+
+    rng = random.Random(11)
+    a = ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 140))) for _ in range(40)]
+    b = ["".join(c for c in x if rng.random() > 0.1).replace("AC", "AGC") + "".join(rng.choice("ACGT") for _ in range(20)) for x in a]
+    how = ("score", "end", "begin", "cigar")
+    got = []
+    for cells in (1 << 20, 3000, 0):
+        monkeypatch.setattr(kernel, "TABLE_CELLS", cells)
+        r = align_batch([x.encode() for x in a], [x.encode() for x in b], OPEN3, how)
+        got.append((r["cigar"], r["mismatches"]))
+    assert got[0] == got[1] == got[2] and any("D" in c or "I" in c for c in got[0][0] if c)
+    monkeypatch.setattr(kernel, "TABLE_CELLS", 1 << 20)
+    x = "".join(rng.choice("ACGT") for _ in range(4000))
+    r = align_batch([x.encode()], [(x[:1500] + x[1510:]).encode()], OPEN3, how)
+    assert r["cigar"] == ["1500=10I2490="] or r["score"][0] == 3990 + OPEN3.gap_init + 10 * OPEN3.gap_extend
+
+
+def test_aligner_object(spark):
+    q = spark.createDataFrame([(1, "ACGT"), (2, ""), (3, "TTACGTTT")], "id long, seq string")
+    one = al.Aligner(NA).set_reference("ACGT")
+    assert {r["id"]: r["score"] for r in one.align_to_reference(q).collect()} == {1: 4, 3: 4}
+    assert one.set_gap_penalty(5, 2).scoring.gap_init == -3
+    one.clear()
+    assert one.scoring.name == "bases" and one.reference is None
+    with pytest.raises(ValueError):
+        one.align_to_reference(q)
+    pairs = spark.createDataFrame([(1, "ACGTT", "AACGT"), (2, None, "A"), (3, "", "A"), (4, "AC?T", "ACNT")], "pair_id long, a string, b string")
+    got = [sorted(map(tuple, al.Aligner(OPEN3, ("score", "end"), engine=e).align(pairs).collect())) for e in ("arrow", "sql")]
+    assert got[0] == got[1]
+    with pytest.raises(ValueError):
+        al.Aligner(NA, engine="sql").align(pairs)

@@ -123,6 +123,44 @@ def test_config_and_cli(tmp_path):
     assert (sw.matchValue, algo.maxAB) == (5, 9)
 
 
+def test_matrix_container(spark):
+    from alignforge.functions.scoring import Matrix
+
+    m = Matrix(2, 3, [1, 5, 2, 5, 0, 4])
+    c = m.copy()
+    c[1, 2] = 9
+    assert m.shape == (2, 3) and m[1, 2] == 4 and m.argmax() == (0, 1) and c.argmax() == (1, 2)
+    assert m.flat() == [1, 5, 2, 5, 0, 4] and m.rows() == [[1, 5, 2], [5, 0, 4]] and str(m) == "1 5 2\n5 0 4"
+    with pytest.raises(IndexError):
+        m[2, 0]
+    assert m.frame(spark).agg(F.sum("value")).first()[0] == 17
+
+
+def test_runs(spark, tmp_path):
+    """Command line: batching, packing, copies, records; what does not fit is an error."""
+    from alignforge.plans.cli import main
+    from alignforge.plans.run import run_comparison
+
+    (tmp_path / "a.txt").write_text("".join(f"{'ACGT' * (3 + i % 5)}\n" for i in range(30)))
+    (tmp_path / "b.fa").write_text("".join(f"> {i}\n{'CGTA' * (3 + i % 3)}\n" for i in range(30)))
+    for k, fill in enumerate(("fillFirst", "roundRobin", "greedy")):
+        out = tmp_path / f"out_{k}"
+        assert main([str(tmp_path / "b.fa"), str(tmp_path / "a.txt"), "-o", str(out), "--fillAlgo", fill, "--tilesUsed", "4", "--maxBatches", "3", "--numDevices", "2", "--duplicateDatasets", "true"]) == 0
+        done = spark.read.parquet(str(out / "results"))
+        assert done.count() == 60 and done.where("score <= 0").count() == 0
+        logs = src.read_logs(spark, str(out / "log")).withColumn("file", F.lit("ipu_run_small_set_2_4.log"))
+        row = mt.roll_up_folder(logs, "run").first()
+        assert (row["dataset"], row["numDevices"], row["duplication"], row["fillAlgo"]) == ("small_set", 2, "dup", fill)
+        assert row["final_cmps_processed"] == 60 and row["final_cmps_orig"] == 30 and row["cell_count_sum"] == row["final_cells"]
+        assert row["final_batches_processed"] == 2 * row["final_batches_orig"] and row["final_batches_orig"] == 4
+    with pytest.raises(Exception, match="longer than"):
+        run_comparison(spark, str(tmp_path / "b.fa"), str(tmp_path / "a.txt"), SWConfig(), AlgoConfig(maxAB=8))
+    with pytest.raises(Exception, match="fits no bucket"):
+        run_comparison(spark, str(tmp_path / "b.fa"), str(tmp_path / "a.txt"), SWConfig(), AlgoConfig(bufsize=21, tilesUsed=4, maxBatches=3))
+    got = run_comparison(spark, str(tmp_path / "b.fa"), str(tmp_path / "a.txt"), SWConfig(), AlgoConfig(engine="sql", tilesUsed=4, maxBatches=3))
+    assert got["cmps_processed"] == 30 and got["cells"] * 2 == row["final_cells"]
+
+
 def test_registry_matches_sql(spark):
     """Each query with SQL gives DuckDB's rows on the smallest tables."""
     import os
