@@ -24,6 +24,23 @@ FIELDS = {
 }
 
 
+#: pairs and bytes aligned together: the more, the better pairs of like size fill the kernel's rows
+TOGETHER, TOGETHER_BYTES = 8000, 24 << 20
+
+
+def merged(batches):
+    """Arrow batches put together."""
+    held, size, rows = [], 0, 0
+    for b in batches:
+        held.append(b)
+        size, rows = size + b.nbytes, rows + b.num_rows
+        if rows >= TOGETHER or size > TOGETHER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size, rows = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def one_byte_each(x: bytes | None) -> bytes | None:
     """UTF-8 text with one byte a character, so positions count characters; those past U+00FF become ?."""
     return x if x is None or x.isascii() else x.decode("utf-8", "replace").encode("latin-1", "replace")
@@ -60,7 +77,7 @@ def align(
         return max_distance is None or span <= max_distance
 
     def run(batches):
-        for batch in batches:
+        for batch in merged(batches):
             began = time.perf_counter()
             xa, xb = ([one_byte_each(x) for x in batch.column(len(known) + k).cast(pa.binary()).to_pylist()] for k in (0, 1))
             ready = time.perf_counter()

@@ -69,14 +69,26 @@ def tagged(lines: DataFrame, tag: str, schema: str, line: str = "value") -> Data
 
 def rollup(records: DataFrame, run: str, metrics: list[str]) -> DataFrame:
     """Per run and metric: median, average, max, min, sum, as columns ``metric_stat``."""
-    stats = {"median": lambda c: F.percentile(c, 0.5), "average": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
-    return records.groupBy(run).agg(*[f(F.col(m).cast("double")).alias(f"{m}_{n}") for m in metrics for n, f in stats.items()])
+    return records.groupBy(run).agg(*[f(F.col(m).cast("double")).alias(f"{m}_{n}") for m in metrics for n, f in STATS.items()])
 
 
-def with_setup(rolled: DataFrame, setup: DataFrame, final: DataFrame, run: str) -> DataFrame:
-    """Setup fields and ``final_`` columns by run; runs without a final record go."""
-    f = final.select(run, *[F.col(c).alias(f"final_{c}") for c in final.columns if c != run])
-    return rolled.join(setup, run).join(f, run)
+STATS = {"median": lambda c: F.percentile(c, 0.5), "average": F.avg, "max": F.max, "min": F.min, "sum": F.sum}
+
+
+def with_setup(log: DataFrame, run: str, metrics: list[str], setup: dict, final: list[str]) -> DataFrame:
+    """Per run of parsed log lines (with their ``tag``): statistics of its batch records, setup fields, ``final_`` columns.
+
+    One pass over the lines: each aggregate sees the lines of its tag only. Runs without a final record go.
+    """
+    of = lambda tag, c: F.when(F.col("tag") == tag, c)
+    one = lambda tag, c: F.first(of(tag, c), ignorenulls=True)
+    rolled = log.groupBy(run).agg(
+        *[f(of("batch_perf", F.col(m).cast("double"))).alias(f"{m}_{n}") for m in metrics for n, f in STATS.items()],
+        *[one("run_comparison_setup", c).alias(name) for name, c in setup.items()],
+        *[one("final_log", F.col(c)).alias(f"final_{c}") for c in final],
+        F.sum(of("final_log", F.lit(1))).alias("__final"), F.sum(of("run_comparison_setup", F.lit(1))).alias("__setup"), F.sum(of("batch_perf", F.lit(1))).alias("__batches"),
+    )
+    return rolled.where("__final > 0 and __setup > 0 and __batches > 0").drop("__final", "__setup", "__batches")
 
 
 def roll_up_folder(logs: DataFrame, kind: str) -> DataFrame:
@@ -84,22 +96,21 @@ def roll_up_folder(logs: DataFrame, kind: str) -> DataFrame:
     if kind == "cpu":
         rows = tagged(logs, TAG_CPU, "time_outer_s double, time_inner_s double, gcups_outer double, gcups_inner double, cells double")
         return rows.select("*", *cpu_run_fields(F.col("file")))
-    batch = tagged(logs, TAG_RUN, "tag string, " + ", ".join(f"{m} double" for m in BATCH_METRICS)).where("tag = 'batch_perf'")
-    final = tagged(logs, TAG_RUN, "tag string, cells long, outer_time_s double, outer_gcups double, cmps_processed long, cmps_submitted long, cmps_orig long, batches_processed long, batches_submitted long, batches_orig long").where("tag = 'final_log'")
-    config = "tag string, config struct<numDevices int, numThreads int, duplicateDatasets boolean, algo struct<useRemoteBuffer boolean, fillAlgo string>>"
-    setup = tagged(logs, TAG_RUN, config).where("tag = 'run_comparison_setup'")
-    setup = setup.select("file", *run_fields(F.col("file"), F.col("config")))
-    return with_setup(rollup(batch.drop("tag"), "file", BATCH_METRICS), setup, final.drop("tag"), "file")
+    final = "cells long, outer_time_s double, outer_gcups double, cmps_processed long, cmps_submitted long, cmps_orig long, batches_processed long, batches_submitted long, batches_orig long"
+    config = "config struct<numDevices int, numThreads int, duplicateDatasets boolean, algo struct<useRemoteBuffer boolean, fillAlgo string>>"
+    log = tagged(logs, TAG_RUN, f"tag string, {config}, {final}, " + ", ".join(f"{m} double" for m in BATCH_METRICS))
+    fields = run_fields(F.col("file"), F.col("config"))
+    return with_setup(log, "file", BATCH_METRICS, fields, [f.split()[0] for f in final.split(", ")])
 
 
-def run_fields(name: Column, config: Column) -> list[Column]:
+def run_fields(name: Column, config: Column) -> dict[str, Column]:
     """Data set (the middle of the log's name) and configuration of a run."""
     parts = F.split(name, "_")
-    return [
-        F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 4, F.lit(0))), "_").alias("dataset"), config["numDevices"].alias("numDevices"),
-        config["numThreads"].alias("numThreads"), F.when(config["duplicateDatasets"], "dup").otherwise("nodup").alias("duplication"),
-        F.when(config["algo"]["useRemoteBuffer"], "remote").otherwise("stream").alias("remote"), config["algo"]["fillAlgo"].alias("fillAlgo"),
-    ]
+    return {
+        "dataset": F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 4, F.lit(0))), "_"), "numDevices": config["numDevices"],
+        "numThreads": config["numThreads"], "duplication": F.when(config["duplicateDatasets"], "dup").otherwise("nodup"),
+        "remote": F.when(config["algo"]["useRemoteBuffer"], "remote").otherwise("stream"), "fillAlgo": config["algo"]["fillAlgo"],
+    }
 
 
 def slowest_worker(times: DataFrame, worker: str, seconds: str) -> DataFrame:

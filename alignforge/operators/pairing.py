@@ -50,12 +50,23 @@ def pair_list(sequences: DataFrame, comparisons: DataFrame, seq_id: str = "seq_i
     return comparisons.join(sa, "a_id").join(sb, "b_id")
 
 
-def within_blocks(sequences: DataFrame, block: Column, seq_id: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """All pairs i > j inside each block. Blocks are the caller's bounded units of work."""
-    s = sequences.withColumn("__block", block)
-    x = s.select("__block", F.col(seq_id).alias("a_id"), F.col(seq).alias("a"))
-    y = s.select("__block", F.col(seq_id).alias("b_id"), F.col(seq).alias("b"))
-    return x.join(y, "__block").where("a_id > b_id").withColumnRenamed("__block", "block")
+def within_blocks(sequences: DataFrame, block: Column, seq_id: str = "seq_id", seq: str = "seq", most: int = 512) -> DataFrame:
+    """All pairs i > j inside each block.
+
+    A block of more than ``most`` sequences is cut into pieces by a hash of the id, and every two
+    pieces meet in a unit of their own: no task holds a large block, whatever one key's share is.
+    """
+    s = sequences.select(block.alias("block"), F.col(seq_id).alias("id"), F.col(seq).alias("seq"))
+    pieces = s.groupBy(F.col("block").alias("of")).agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
+    s = s.join(pieces, F.col("block").eqNullSafe(F.col("of"))).select("block", "id", "seq", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("mine"))
+    s = s.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    s = s.select("block", "id", "seq", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    x, y = s.alias("x"), s.alias("y")
+    # the two sides are of different pieces, or the unit is one piece with itself
+    here = F.col("x.block").eqNullSafe(F.col("y.block")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    apart = (F.col("x.p") == F.col("x.q")) | (F.col("x.mine") != F.col("y.mine"))
+    pairs = x.join(y, here & apart & (F.col("x.id") > F.col("y.id")))
+    return pairs.select(F.col("x.block").alias("block"), F.col("x.id").alias("a_id"), F.col("x.seq").alias("a"), F.col("y.id").alias("b_id"), F.col("y.seq").alias("b"))
 
 
 def one_against_many(reference: str, queries: DataFrame, seq: str = "seq") -> DataFrame:

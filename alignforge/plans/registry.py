@@ -650,11 +650,7 @@ SELECT file, {_STATS}, round(avg(time_inner), 6) time_inner_average, round(sum(t
   any_value(user_id % 8) devices, count(*) final_batches_processed FROM r WHERE user_id % 3 <> 0 GROUP BY file""")
 def log_rollup(spark, d):
     log = mt.tagged(run_logs(spark, d), mt.TAG_RUN, _LOG)
-    by = lambda t: log.where(F.col("tag") == t)
-    out = mt.with_setup(
-        mt.rollup(by("batch_perf"), "file", ["time_inner", "cell_count"]), by("run_comparison_setup").select("file", "devices"),
-        by("final_log").select("file", "batches_processed"), "file",
-    )
+    out = mt.with_setup(log, "file", ["time_inner", "cell_count"], {"devices": F.col("devices")}, ["batches_processed"])
     return out.withColumn("time_inner_average", F.round("time_inner_average", 6)).withColumn("time_inner_sum", F.round("time_inner_sum", 4))
 
 
@@ -676,14 +672,13 @@ def cycle_count(spark, d):
 
 
 # ------------------------------------------------------------------ sources
-@query(r"""WITH f AS (SELECT p_brand, string_agg('> ' || p_partkey || ' ' || chr(10) || p_name || chr(10) || p_type, chr(10) ORDER BY p_partkey) t FROM part GROUP BY 1)
-SELECT p_brand, '> ' || p_partkey AS description, regexp_replace(p_name || p_type, '\s', '', 'g') AS sequence FROM part""")
+@query(r"""SELECT p_partkey // 40 AS unit, '> ' || p_partkey AS description, regexp_replace(p_name || p_type, '\s', '', 'g') AS sequence FROM part""")
 def fasta_parse(spark, d):
-    """Part names written as FASTA texts by brand, then parsed back."""
+    """Part names written as FASTA texts of forty records, then parsed back."""
     p = read(spark, d, "part")
     rec = F.concat(F.lit("> "), F.col("p_partkey").cast("string"), F.lit(" \n"), F.col("p_name"), F.lit("\n"), F.col("p_type"))
-    text = p.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(rec)), "\n").alias("t"))
-    return text.select("p_brand", F.explode(src.fasta_records(F.col("t"))).alias("r")).select("p_brand", "r.*")
+    text = p.groupBy(F.floor(F.col("p_partkey") / 40).cast("long").alias("unit")).agg(F.array_join(F.array_sort(F.collect_list(rec)), "\n").alias("t"))
+    return text.select("unit", F.explode(src.fasta_records(F.col("t"))).alias("r")).select("unit", "r.*")
 
 
 @query("SELECT p_partkey seq_id, p_name seq FROM part WHERE p_partkey % 2 = 1")

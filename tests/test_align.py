@@ -158,6 +158,19 @@ def test_tracebacks_in_little_memory(monkeypatch):
     assert r["cigar"] == ["1500=10I2490="] or r["score"][0] == 3990 + OPEN3.gap_init + 10 * OPEN3.gap_extend
 
 
+def test_blocks_are_cut(spark):
+    """Pairs of a large block come once each, through many units."""
+    rows = [(i, "x" if i % 3 else "y" if i % 2 else None, f"s{i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "seq_id long, k string, seq string")
+    from pyspark.sql import functions as F
+
+    want = sorted((i, j) for i, k, _ in rows for j, m, _ in rows if i > j and k == m)
+    for most in (512, 7, 1):
+        got = pr.within_blocks(df, F.col("k"), most=most).collect()
+        assert sorted((r["a_id"], r["b_id"]) for r in got) == want
+        assert all(r["a"] == f"s{r['a_id']}" and r["b"] == f"s{r['b_id']}" for r in got)
+
+
 def test_aligner_object(spark):
     q = spark.createDataFrame([(1, "ACGT"), (2, ""), (3, "TTACGTTT")], "id long, seq string")
     one = al.Aligner(NA).set_reference("ACGT")
