@@ -41,6 +41,10 @@ d3 AS (SELECT domain, (k + st * p) / (n + st) m FROM d2),
 h1 AS (SELECT host, n, k, m AS p FROM hosts JOIN d3 USING (domain)),
 h2 AS (SELECT *, {_strength('h1')} AS st FROM h1),
 h3 AS (SELECT host, n, k, st, (k + st * p) / (n + st) m FROM h2),
+h4 AS (SELECT *, 1 / (9 * m * (n + st)) u, 1 / (9 * (1 - m) * (n + st)) v FROM h3),
+h5 AS (SELECT *, u * (1 - v) * (1 - v) + v * (1 - u) * (1 - u) - u * v * 2.326 * 2.326 spread, (1 - v) * (1 - v) - v * 2.326 * 2.326 below FROM h4),
+h6 AS (SELECT *, greatest(((1 - u) * (1 - v) + 2.326 * sqrt(greatest(spread, 0))) / below, 0) root FROM h5),
+h7 AS (SELECT *, CASE WHEN below > 0 AND v < 1 AND spread >= 0 THEN root * root * root * m / (root * root * root * m + 1 - m) ELSE 1 END AS upper_bound FROM h6),
 rules(action, rule, rhost, rpath) AS (VALUES ('allow','com/','com','/'), ('block','example.com/en/','example.com','/en/'),
   ('allow','www.example.com/en/','www.example.com','/en/'), ('block','net/es/','net','/es/'), ('block','net/fr/','net','/fr/')),
 best AS (
@@ -49,9 +53,9 @@ best AS (
   JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY ALL)
 SELECT p.page_id, p.host, p.path, best.rule,
-  coalesce(best.action, CASE WHEN least(1.0, m + 2.326 * sqrt(m * (1 - m) / (n + st + 1))) < 0.7 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(best.action, CASE WHEN upper_bound < 0.7 THEN 'block' ELSE 'allow' END) AS verdict,
   n::BIGINT AS host_outcomes, k::BIGINT AS host_good, round(m, 6) AS host_mean
-FROM p JOIN h3 USING (host) LEFT JOIN best ON best.page_id = p.page_id AND best.host = p.host AND best.path = p.path
+FROM p JOIN h7 USING (host) LEFT JOIN best ON best.page_id = p.page_id AND best.host = p.host AND best.path = p.path
 """
 
 

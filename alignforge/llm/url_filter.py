@@ -4,8 +4,9 @@ Reputation: labelled page outcomes (good or not) are counted by host. A beta-bin
 runs down host <- registered domain <- suffix <- all pages: each level's expected rate is
 its parent's posterior mean, and its prior strength comes from how much more than binomially
 the children of that level differ (method of moments). A host is blocked when the upper
-bound of its posterior rate of good pages lies under ``min_good``; a host without outcomes
-has its domain's expectation, and so on up.
+bound of its posterior rate of good pages, the 99 % quantile of its beta distribution, lies under
+``min_good``; a host without outcomes has its domain's expectation, and so on up. Quantiles are
+Wilson and Hilferty's: cube roots of the two gamma variates are taken as normal.
 
 DataFrame operations only. Counts are aggregated before they are shuffled; the page-to-host
 join is a plain equi-join, so a host with a third of all pages is split by skew handling.
@@ -68,6 +69,17 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, action
 
 
+def beta_quantile(a: Column, b: Column, z: float) -> Column:
+    """Quantile of Beta(a, b) at the normal deviate ``z``; where b (or a) is too small for one, the end of the range."""
+    p, q = 1 / (9 * a), 1 / (9 * b)
+    spread = p * (1 - q) * (1 - q) + q * (1 - p) * (1 - p) - p * q * z * z
+    below = (1 - q) * (1 - q) - q * z * z
+    root = F.greatest(((1 - p) * (1 - q) + z * F.sqrt(F.greatest(spread, F.lit(0.0)))) / below, F.lit(0.0))
+    ratio = root * root * root * a
+    ok = (below > 0) & (q < 1) & (spread >= 0)
+    return F.when(ok, ratio / (ratio + b)).otherwise(F.lit(1.0 if z > 0 else 0.0))
+
+
 def _strength(children: DataFrame) -> float:
     """Prior strength of a level from (n, k, p): counts of each child, expected rate."""
     pq = F.col("p") * (1 - F.col("p"))
@@ -111,12 +123,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     hosts = hosts.join(domains.select("domain", F.col("m").alias("p")), "domain")
     s = _strength(hosts)
     hosts = expect(hosts, s)
-    sd = F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("n") + s + 1))
-    return hosts.select(
-        "host", "n", "k", F.col("m").alias("mean"),
-        F.greatest(F.lit(0.0), F.col("m") - z * sd).alias("lower"),
-        F.least(F.lit(1.0), F.col("m") + z * sd).alias("upper"),
-    )
+    a, b = F.col("m") * (F.col("n") + s), (1 - F.col("m")) * (F.col("n") + s)
+    return hosts.select("host", "n", "k", F.col("m").alias("mean"), beta_quantile(a, b, -z).alias("lower"), beta_quantile(a, b, z).alias("upper"))
 
 
 def judge(

@@ -45,6 +45,24 @@ def test_reputation_shrinks(spark):
     assert url_filter.judge(p.limit(0), g, RULES).count() == 0
 
 
+def test_beta_quantiles(spark):
+    rng = np.random.default_rng(6)
+    cases = [(2.0, 3.0), (40.0, 5.0), (300.0, 700.0), (1.5, 20.0), (9.0, 2.0), (0.5, 0.05)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    got = df.select("a", "b", url_filter.beta_quantile(F.col("a"), F.col("b"), 2.326).alias("up"), url_filter.beta_quantile(F.col("a"), F.col("b"), -2.326).alias("low")).collect()
+    for r in got[:-1]:
+        x = rng.beta(r["a"], r["b"], 400_000)
+        assert abs(np.mean(x < r["up"]) - 0.99) < 0.004 and abs(np.mean(x < r["low"]) - 0.01) < 0.008, r
+    assert got[-1]["up"] == 1.0
+
+
+def test_long_urls_and_none(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a" * 100_000 + ".com/x"), (2, "http://b.com/" + "p/" * 200_000 + "?q"), (None, "http://c.com")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, good int")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, none, RULES).collect()}
+    assert len(got[1]["host"]) == 100_004 and len(got[2]["path"]) == 400_001 and got[None]["verdict"] == "allow" and got[1]["rule"] == "com/"
+
+
 def brute_top(rows, k):
     rows = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
