@@ -105,8 +105,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
-    got = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), path), path)
+    got = sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), back=True)
     return got.select(
         F.col("id").alias("doc_id"),
         "n_ids",

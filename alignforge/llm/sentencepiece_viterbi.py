@@ -354,8 +354,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, n_ids, ids_crc32 of the little-endian int32 ids, text_crc32)."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+    """(id, ids array<int>, n_ids, ids_crc32 of the little-endian int32 ids, text_crc32).
+
+    ``back``: also decoded, the bytes that the ids decode to, in the same pass and worker.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -366,14 +369,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             crc = [zlib.crc32(flat[x:y].tobytes()) for x, y in zip(rows[:-1], rows[1:])]
             ids = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(flat.astype(np.int32)))
             text_crc = [zlib.crc32(raw[x:y]) for x, y in zip(at[:-1], at[1:])]
-            yield pa.record_batch(
-                [b.column(0), ids, pa.array(np.diff(rows)), pa.array(crc, pa.int64()), pa.array(text_crc, pa.int64())],
-                ["id", "ids", "n_ids", "ids_crc32", "text_crc32"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, ids array<int>, n_ids long, ids_crc32 long, text_crc32 long"
-    )
+            cols = [b.column(0), ids, pa.array(np.diff(rows)), pa.array(crc, pa.int64()), pa.array(text_crc, pa.int64())]
+            if back:
+                cols.append(pa.array(decode_ids(enc.v, flat.astype(np.int64), rows), pa.binary()))
+            yield pa.record_batch(cols, names)
+
+    schema = "id long, ids array<int>, n_ids long, ids_crc32 long, text_crc32 long" + (", decoded binary" if back else "")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns they were given. ``run`` writes each stage's rows as Parquet into the shared folder
-and rereads them, so a lost executor never costs more than one stage.
+and rereads them, so a lost executor never costs more than one stage; a stage's rows are removed
+once the next one's are written, save the last, which the result reads.
+
+Defined cases: documents without a letter (null, empty or blank text among them) are in no
+language and go with the first stage; a null id never teaches and is judged by its text; rows of
+one id are judged apart by their texts, of fully repeated rows one stays; ties go to the smallest
+id; other columns pass untouched whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignforge.llm import decontaminate, langid, minhash, sentencepiece_viterbi, toxicity
-from alignforge.llm.common import fold, saved, table
+from alignforge.llm.common import discard, fold, saved, table
 from alignforge.llm.queries import tokenizer_path
 
 
@@ -39,8 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip: whether the ids decode to the document's text)."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    out = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, path), path)
+    out = sentencepiece_viterbi.encode(docs, tokenizer_path("piece_bpe_32k.model"), back=True)
     same = F.crc32("decoded") == F.col("text_crc32")
     return out.select(F.col("id").alias("doc_id"), "ids", F.col("n_ids").alias("n_tokens"), same.alias("round_trip"))
 
@@ -59,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, saved(stage(spark, docs, sf_dir))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
