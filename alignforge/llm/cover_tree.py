@@ -474,7 +474,9 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 20, data_block: int = DA
     data = data.where("id is not null and v is not null").select("id", "v", F.size("v").alias("dim"))
     queries = queries.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     dim, centres = pivots(data, -(-data.count() // data_block))
-    placed = saved(in_cells(data, dim, centres))
+    placed = in_cells(data, dim, centres)
+    if len(centres):
+        placed = saved(placed)
     blocks = saved(in_blocks(placed, data_block, k))
     asked = in_blocks(in_cells(queries, dim, centres), query_block, None)
     asked = saved(asked.select("dim", F.col("cell").alias("qcell"), F.col("salt").alias("qsalt"), "points"))
@@ -483,14 +485,18 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 20, data_block: int = DA
     near = asked.select("dim", F.col("qcell").alias("cell"), F.lit(0).alias("salt"), "qcell", "qsalt", "points", none)
     near = near.join(blocks.select("dim", "cell", "salt"), ["dim", "cell", "salt"], "left_semi")
     first = saved(search(blocks, near, k))
+    if blocks.limit(2).count() < 2:  # nothing is left to search
+        return _ranked(first, k)
     known = saved(_floors(asked, first, k))
     radius = np.full(len(centres), -1.0)
     for r in placed.where(F.col("dim") == dim).groupBy("cell").agg(F.max("far").alias("far")).collect() if len(centres) else []:
         radius[r["cell"]] = r["far"]
     rest = _reachable(known, dim, centres, radius).join(blocks.select("dim", "cell", "salt"), ["dim", "cell"])
     rest = rest.where("cell <> qcell or salt <> 0").join(known, ["dim", "qcell", "qsalt"])
-    found = first.union(search(blocks, rest, k))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     discard(placed)
-    return out
+    return _ranked(first.union(search(blocks, rest, k)), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
