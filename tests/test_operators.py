@@ -123,6 +123,16 @@ def test_config_and_cli(tmp_path):
     assert (sw.matchValue, algo.maxAB) == (5, 9)
 
 
+def test_small_measures(spark):
+    times = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 2.5)], "worker int, s double")
+    assert mt.slowest_worker(times, "worker", "s").first()[0] == 3.0
+    placed = spark.createDataFrame([(7, 2, 1, 30, 40)], "pair_id long, bucket int, slot int, size_a int, size_b int")
+    assert pk.describe(placed).first()["text"] == "cmp 7 -> bucket 2 slot 1 (30 + 40)"
+    row = pk.fill_ratios(placed.withColumn("unit", F.lit(1)), "unit", 4, 2, 100).first()
+    assert (row["empty"], row["cmps"], row["bytes"], row["cmp_fill"], row["byte_fill"]) == (3, 1, 70, 0.125, 0.175)
+    assert spark.range(1).select(mt.gcups(F.lit(10**9), F.lit(0.0)), mt.gcups(F.lit(10**9), F.lit(2.0))).first() == (None, 0.5)
+
+
 def test_matrix_container(spark):
     from alignforge.functions.scoring import Matrix
 
