@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,6 +28,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _number(setting: str) -> int:
+    """A count or size of the session's settings: 10000, 64m, 67108864b."""
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)b?\s*", setting.lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 0
+
+
 def small_batches(spark: SparkSession) -> None:
     """Before Python work: ship the package, and bound an Arrow batch by rows and bytes.
 
@@ -35,7 +42,7 @@ def small_batches(spark: SparkSession) -> None:
     """
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_MB << 20)):
-        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        now = _number(str(spark.conf.get(key)))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 

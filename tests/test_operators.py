@@ -130,6 +130,9 @@ def test_small_measures(spark):
     assert pk.describe(placed).first()["text"] == "cmp 7 -> bucket 2 slot 1 (30 + 40)"
     row = pk.fill_ratios(placed.withColumn("unit", F.lit(1)), "unit", 4, 2, 100).first()
     assert (row["empty"], row["cmps"], row["bytes"], row["cmp_fill"], row["byte_fill"]) == (3, 1, 70, 0.125, 0.175)
+    from alignforge.plans.session import _number
+
+    assert [_number(x) for x in ("64m", "67108864b", "10000", "-1", "2gb")] == [64 << 20, 64 << 20, 10000, -1, 2 << 30]
     assert spark.range(1).select(mt.gcups(F.lit(10**9), F.lit(0.0)), mt.gcups(F.lit(10**9), F.lit(2.0))).first() == (None, 0.5)
 
 
