@@ -458,16 +458,36 @@ def _sweep_part(row, tail: tuple, s: Shared, st: State, sweep: int, kept: int, s
     return _row(row[0], 0, sweep, u, facts.reshape(2, -1), ctx, ref.astype(np.uint32), names, c, np.vstack([keep, drawn[None, :].astype(np.int32)]))
 
 
-def _tail_rows(batches):
-    """(p, w, numbers ...) rows packed into a row a part and batch."""
-    for b in batches:
-        p = b.column(0).to_numpy()
-        cols = [c.to_numpy() for c in b.columns[1:]]
-        o = np.argsort(p, kind="stable")
-        cut = np.flatnonzero(np.diff(p[o], prepend=-1))
-        rows = [_row(int(p[o[x]]), 9, 0, cols[0][o[x:z]], np.stack([c[o[x:z]] for c in cols[1:]])) for x, z in zip(cut, np.append(cut[1:], len(p)))]
-        if rows:
-            yield _batch(rows)
+#: kind of a part's tail numbers in a sweep: after its state
+TOLD = 9
+#: words of a row of tail numbers
+TAIL_WORDS = 1 << 16
+
+
+def _told(words: DataFrame, parts: int, kind: int) -> DataFrame:
+    """(p, w, numbers ...) dealt by part, then packed: the rows are as many as the words of all parts ask for."""
+
+    def run(batches):
+        held, size, key = [], 0, None
+        for b in batches:
+            p = b.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(p, prepend=-1))
+            for x, z in zip(cut, np.append(cut[1:], len(p))):
+                if p[x] != key or size >= TAIL_WORDS:
+                    if held:
+                        yield packed(held, key)
+                    held, size, key = [], 0, p[x]
+                held.append(b.slice(x, z - x))
+                size += z - x
+        if held:
+            yield packed(held, key)
+
+    def packed(held: list, key: int) -> pa.RecordBatch:
+        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(1, held[0].num_columns)]
+        o = np.argsort(cols[0])
+        return _batch([_row(int(key), kind, 0, cols[0][o], np.stack([c[o] for c in cols[1:]]))])
+
+    return words.repartition(_tasks(parts), "p").sortWithinPartitions("p").mapInArrow(run, PACKED)
 
 
 def _by_word(rows: list, columns: int) -> tuple:
@@ -481,9 +501,14 @@ def _by_word(rows: list, columns: int) -> tuple:
     return (words[o], *numbers[:, o].astype(np.float64))
 
 
+def _tasks(parts: int) -> int:
+    """A task takes a few parts, one after the other."""
+    return min(max(parts // 4, min(parts, 32)), 20_000)
+
+
 def _deal(rows: DataFrame, parts: int) -> DataFrame:
-    """A part's rows together and in order; a task takes a few parts, one after the other."""
-    return rows.repartition(min(max(parts // 4, min(parts, 32)), 20_000), "p").sortWithinPartitions("p", "kind", "block")
+    """A part's rows together and in order."""
+    return rows.repartition(_tasks(parts), "p").sortWithinPartitions("p", "kind", "block")
 
 
 def _moved(moves: DataFrame, s: Shared, d: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
@@ -684,7 +709,7 @@ def score(
     resting_tables = resting.agg(zero(F.sum("t0"))).first()[0]
     moving = tails.where("k2 > 0").select("w", "c", "k1", "k", "t0")
     moving = saved(draw_tail(moving, first, 0))
-    movers = saved(asked.where("k2 > 0").join(moving.select("w"), "w", "left_semi").select("p", "w"))
+    movers = saved(asked.where("k2 > 0").select("p", "w"))
 
     def begin(batches):
         for row in _rows(batches):
@@ -697,7 +722,7 @@ def score(
     words_kept: list[DataFrame] = []
     for sweep in range(burn_in + kept + 1):
         if sweep:
-            told = movers.join(moving.select("w", "k", "t0"), "w").select("p", "w", "k", "t0").mapInArrow(_tail_rows, PACKED)
+            told = _told(movers.join(moving.select("w", "k", "t0"), "w").select("p", "w", "k", "t0"), s.parts, TOLD)
             before, now = moves, send(at)
 
             def run(batches, now=now, sweep=sweep):
@@ -732,10 +757,11 @@ def score(
     for i, t in enumerate(words_kept):
         moved = moved.join(t.select("w", F.col("k").alias(f"k{i}"), F.col("t0").alias(f"t{i}")), "w")
     told = asked.select("p", "w").join(still.union(moved.select("w", "c", *names)), "w").select("p", "w", "c", *names)
-    packed = told.mapInArrow(_tail_rows, PACKED).withColumn("kind", F.lit(WORDS))
-    rows = state.where(F.col("kind") != DOCS).union(packed).union(moves.withColumn("kind", F.lit(MOVED)))
+    told = saved(_told(told, s.parts, WORDS))
+    discard(*words_kept, resting, movers, asked, tails, words)
+    rows = state.where(F.col("kind") != DOCS).union(told).union(moves.withColumn("kind", F.lit(MOVED)))
     replies = saved(answers(_deal(rows, s.parts), shared, send(states)))
-    discard(*words_kept, resting, moves, movers, asked, tails, words)
+    discard(told, moves)
     block_count = max(1, -(-total // PART_TOKENS))
     sums = document_sums(state.where(F.col("kind") == DOCS).union(replies), min(block_count, 4096))
     norm = float(np.log10(s.n + 0.1 * (s.v + 1)))

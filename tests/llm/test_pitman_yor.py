@@ -46,6 +46,27 @@ def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
     assert same(*got) and len(got[0]) == df.count()
 
 
+def test_tail_numbers_are_a_row_a_part(spark, docs, monkeypatch):
+    """What parts are told of their tail words is packed by part, not by batch and part."""
+    monkeypatch.setattr(pitman_yor, "HEAD", 100)
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 1000)
+    deal, told = pitman_yor._deal, []
+
+    def watched(rows, parts):
+        kinds = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+        told.append((parts, kinds.get(9, 0) + kinds.get(pitman_yor.WORDS, 0)))
+        return deal(rows, parts)
+
+    monkeypatch.setattr(pitman_yor, "_deal", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert len(scores(docs.select("doc_id", "text"))) == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    told = told[1:]  # the first deal is of blocks
+    assert told and all(0 < n <= parts for parts, n in told), told
+
+
 class Plain:
     """Gibbs over single customers with every table kept: the model as it is written in books."""
 
