@@ -13,7 +13,8 @@ Data flow. One pass counts words (sums before the shuffle). A second turns block
 into a row of distinct (context, word) with counts for every part of the contexts, and one row of
 which of them each document holds, how often. A part (PART_TOKENS tokens, so their number grows
 with the corpus) counts its restaurants once and for all; sweeps then move only the tables of
-those with two customers or more, and one sum a word. At the end a part tells each block the
+those with two customers or more, and one sum a word; a word whose only customer stays alone in the
+parent has one table and nothing to draw. At the end a part tells each block the
 probabilities of what it asked for, once each, and the block adds them up by document. So a pair
 of words that fills a third of the corpus is one entry a block.
 
@@ -45,7 +46,7 @@ HEAD = 1 << 17
 PART_TOKENS = 1 << 19
 #: tail words drawn together in the parent
 WORD_BUCKET = 1 << 19
-BURN_IN, KEPT = 1, 2
+BURN_IN, KEPT = 2, 4
 END, START = U64(0x9D39247E33776D41), U64(0x2AF7398005AAA5C7)
 #: word references of a row: a head word's number, or RARE + place among the row's names
 RARE = 1 << 31
@@ -283,20 +284,33 @@ def counted(rows: DataFrame, shared) -> DataFrame:
                 odd = ref >= RARE
                 w = np.empty(len(ref), U64)
                 w[~odd], w[odd] = s.words[ref[~odd]], names[ref[odd] - RARE]
-                asks.append((r[2], np.repeat(u, n), w, c))
+                asks.append((r[2], u, n, w, c))
             if asks:
                 yield from _types(p, asks, s)
 
     return rows.mapInArrow(run, PACKED)
 
 
+def _order(ctx: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Places by (context number under ``n``, word), equal ones in any order: one sort by the leading bits of both."""
+    bits = U64(max(n - 1, 1).bit_length())
+    key = (ctx.astype(U64) << (U64(64) - bits)) | (w >> bits)
+    o = np.argsort(key)
+    same = key[o][1:] == key[o][:-1]
+    if (w[o][1:] != w[o][:-1])[same].any():  # two words with the same leading bits
+        return np.lexsort((w, ctx))
+    return o
+
+
 def _types(p: int, asks: list, s: Shared):
     """The part's types by (context, word): contexts and run lengths, word references, names, customers."""
-    u, w, c = (np.concatenate([a[i] for a in asks]) for i in (1, 2, 3))
-    size = [len(a[1]) for a in asks]
-    o = np.lexsort((w, u))
+    u, n, w, c = (np.concatenate([a[i] for a in asks]) for i in (1, 2, 3, 4))
+    size = [len(a[3]) for a in asks]
+    label, ctx = np.unique(u, return_inverse=True)
+    u, ctx = np.repeat(u, n), np.repeat(ctx, n)
+    o = _order(ctx, w, len(label))
     new = np.ones(len(o), bool)
-    new[1:] = (u[o][1:] != u[o][:-1]) | (w[o][1:] != w[o][:-1])
+    new[1:] = (ctx[o][1:] != ctx[o][:-1]) | (w[o][1:] != w[o][:-1])
     of = np.empty(len(o), np.int64)
     of[o] = np.cumsum(new) - 1
     lead = o[new]
@@ -382,7 +396,7 @@ def _draw_parent(k: np.ndarray, t0: np.ndarray, st: State, rng, stirling) -> np.
 
 
 def draw_tail(words: DataFrame, st: State, sweep: int) -> DataFrame:
-    """(w, c, k1, ks, t0s) with this sweep's customers (column k) and drawn tables put at the end of ks and t0s.
+    """(w, c, k1, k, t0) with the tables drawn for this sweep's customers (column k).
 
     Words are dealt by a hash into buckets of bounded size and sorted, so the random numbers follow from the words.
     """
@@ -493,12 +507,12 @@ def _told(words: DataFrame, parts: int, kind: int) -> DataFrame:
 def _by_word(rows: list, columns: int) -> tuple:
     """All tail rows of a part as arrays sorted by word."""
     if not rows:
-        return (np.zeros(0, U64), *(np.zeros(0) for _ in range(columns)))
+        return (np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(columns)))
     got = [_arrays(r, U64, np.int64) for r in rows]
     words = np.concatenate([g[0] for g in got])
     numbers = np.concatenate([g[1].reshape(columns, -1) for g in got], axis=1)
     o = np.argsort(words)
-    return (words[o], *numbers[:, o].astype(np.float64))
+    return (words[o], *numbers[:, o])
 
 
 def _tasks(parts: int) -> int:
@@ -516,11 +530,11 @@ def _moved(moves: DataFrame, s: Shared, d: float) -> tuple[np.ndarray, np.ndarra
     n, hot_n, hot = len(s.words), len(s.hot), s.hot_place
 
     def make(row):
-        u, facts, ctx, ref, names, c, t = _arrays(row, *_MOVES)
+        facts, ctx, ref, t = (_array(row[3 + i], _MOVES[i]) for i in (1, 2, 3, 6))
         ones, customers = facts.reshape(2, -1)
-        now = t.reshape(-1, len(c))[-1] if len(c) else np.zeros(0)
+        now = t.reshape(-1, len(ref))[-1] if len(ref) else np.zeros(0)
         tables = ones + np.bincount(ctx, now, len(ones))
-        at = hot(u)
+        at = hot(_array(row[3], U64)) if hot_n else np.full(len(ones), -1)
         whole = at < 0
         return _head_sum(ref, now, n), np.bincount(at[~whole], tables[~whole], hot_n), tables.sum(), rs.theta_likelihood(tables[whole], customers[whole], d)
 
@@ -533,10 +547,11 @@ def _word_messages(moves: DataFrame) -> DataFrame:
 
     def run(batches):
         for row in _rows(batches):
-            u, facts, ctx, ref, names, c, t = _arrays(row, *_MOVES)
+            names = _array(row[7], U64)
             if len(names):
+                ref, t = _array(row[6], np.uint32), _array(row[9], np.int32)
                 at = ref >= RARE
-                sums = np.bincount(ref[at].astype(np.int64) - RARE, t.reshape(-1, len(c))[-1][at], len(names)).astype(np.int64)
+                sums = np.bincount(ref[at].astype(np.int64) - RARE, t.reshape(-1, len(ref))[-1][at], len(names)).astype(np.int64)
                 yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(sums)], ["w", "t"])
 
     return moves.mapInArrow(run, "w long, t long")
@@ -595,7 +610,7 @@ def _log_probability(types, moves, tail_rows: list, s: Shared, states: list[Stat
     ref = ref.astype(np.int64)
     odd = ref >= RARE
     kept = len(states)
-    tail = _by_word(tail_rows, 1 + 2 * kept)
+    tail = _by_word(tail_rows, 1 + kept)
     place = np.searchsorted(tail[0], names)[ref[odd] - RARE] if odd.any() else np.zeros(0, np.int64)
     _, facts, mctx, _, _, mc, mt = _arrays(moves, *_MOVES)
     ones, customers = facts.reshape(2, -1).astype(np.float64)
@@ -612,7 +627,7 @@ def _log_probability(types, moves, tail_rows: list, s: Shared, states: list[Stat
         tables[split] = st.hot[hot[split]]
         k, t0 = np.empty(len(ref)), np.empty(len(ref))
         k[~odd], t0[~odd] = st.k[ref[~odd]], st.t0[ref[~odd]]
-        k[odd], t0[odd] = tail[2 + i][place], tail[2 + kept + i][place]
+        k[odd], t0[odd] = tail[2 + i][place] >> 32, tail[2 + i][place] & 0xFFFFFFFF
         prob += predictive(c, t, customers[ctx], tables[ctx], st.parent(k, t0).probability(), st.theta, st.d)
     rare = np.full(len(ref), -1, np.int64)
     rare[odd] = tail[1][place].astype(np.int64)
@@ -705,10 +720,9 @@ def score(
     # the parent at the start: a table of every (context, word), a table of every word
     customers, tables = float(k_all + head_k.sum()), float(k_some + (head_k > 0).sum())
     first = State(head_k, np.minimum(head_k, 1), customers, tables, 1.0, 1.0, np.zeros(len(s.hot)), fixed)
-    resting = saved(draw_tail(tails.where("k2 = 0"), first, 0))
+    resting = tails.where("k <= 1 and k2 = 0")  # one customer for good, so one table; or none
     resting_tables = resting.agg(zero(F.sum("t0"))).first()[0]
-    moving = tails.where("k2 > 0").select("w", "c", "k1", "k", "t0")
-    moving = saved(draw_tail(moving, first, 0))
+    moving = saved(draw_tail(tails.where("k > 1 or k2 > 0").select("w", "c", "k1", "k", "t0"), first, 0))
     movers = saved(asked.where("k2 > 0").select("p", "w"))
 
     def begin(batches):
@@ -737,7 +751,7 @@ def score(
         k = head1 + head
         if sweep:
             got = _word_messages(moves).groupBy("w").agg(F.sum("t").alias("t"))
-            again = moving.join(got, "w").select("w", "c", "k1", (F.col("k1") + F.col("t")).alias("k"), "t0")
+            again = moving.join(got, "w", "left").select("w", "c", "k1", (F.col("k1") + zero(F.col("t"))).alias("k"), "t0")
             old, moving = moving, saved(draw_tail(again, at, sweep))
             if old not in words_kept:
                 discard(old)
@@ -751,14 +765,15 @@ def score(
             words_kept.append(moving)
 
     # what every part needs to know of its tail words: counts, and the parent's state in the sweeps kept
-    names = [f"{x}{i}" for x in ("k", "t") for i in range(kept)]
-    still = resting.select("w", "c", *[F.col("k" if x[0] == "k" else "t0").alias(x) for x in names])
+    names = [f"kt{i}" for i in range(kept)]
+    both = F.shiftleft(F.col("k"), 32) + F.col("t0")  # a tail word has under 2^32 contexts
+    still = resting.select("w", "c", *[both.alias(x) for x in names])
     moved = words_kept[-1].select("w", "c")
-    for i, t in enumerate(words_kept):
-        moved = moved.join(t.select("w", F.col("k").alias(f"k{i}"), F.col("t0").alias(f"t{i}")), "w")
+    for x, t in zip(names, words_kept):
+        moved = moved.join(t.select("w", both.alias(x)), "w")
     told = asked.select("p", "w").join(still.union(moved.select("w", "c", *names)), "w").select("p", "w", "c", *names)
     told = saved(_told(told, s.parts, WORDS))
-    discard(*words_kept, resting, movers, asked, tails, words)
+    discard(*words_kept, movers, asked, tails, words)
     rows = state.where(F.col("kind") != DOCS).union(told).union(moves.withColumn("kind", F.lit(MOVED)))
     replies = saved(answers(_deal(rows, s.parts), shared, send(states)))
     discard(told, moves)

@@ -50,6 +50,10 @@ class Parent:
         k = np.maximum(self.k[at] - own, 0)
         return Parent(k, np.clip(self.t0[at], 1, np.maximum(k, 1)), self.d0, self.spread, self.norm)
 
+    def only(self, at) -> "Parent":
+        """The same for the dishes at these places."""
+        return Parent(self.k[at], self.t0[at], self.d0, self.spread, self.norm)
+
     def nth(self, at, i) -> np.ndarray:
         """P_i: after i more customers of the dish."""
         k = self.k[at] + i
@@ -67,6 +71,9 @@ class Base:
     def __init__(self, p: float):
         self.p = p
 
+    def only(self, at) -> "Base":
+        return self
+
     def nth(self, at, i) -> np.ndarray:
         return self.p + 0.0 * i
 
@@ -97,11 +104,11 @@ def draw(c: np.ndarray, mass: np.ndarray, d: float, parent, rng, stirling: np.nd
     big = order[int(np.searchsorted(c[order], top, "right")) :][::-1]
     for a in range(0, len(big), 1000):
         at = big[a : a + 1000]
-        t[at] = _seated(c[at], mass[at], d, parent, at, rng)
+        t[at] = _seated(c[at], mass[at], d, parent.only(at), rng)
     return np.minimum(t, c)
 
 
-def _seated(c, mass, d, parent, at, rng) -> np.ndarray:
+def _seated(c, mass, d, parent, rng) -> np.ndarray:
     """The same for many customers, most first, seated in runs.
 
     Opening a table weighs b(t) exp(look) against k - d t, with look the gain in log weight of all seats
@@ -116,11 +123,12 @@ def _seated(c, mass, d, parent, at, rng) -> np.ndarray:
     j = len(starts)
     size = np.maximum(np.minimum(np.diff(np.append(starts, most))[:, None], c[None, :] - np.array(starts)[:, None]), 0)
     mid = np.array(starts)[:, None] + (size - 1) / 2
-    look = np.zeros((j, n))
+    all_ = slice(None)
+    weight = np.ones((j, n))
     mean, p = np.ones((j, n)), np.zeros((j, n))
 
     def chance(r, t):
-        new = (mass + d * t) * parent.nth(at, t) * np.exp(look[r])
+        new = (mass + d * t) * parent.nth(all_, t) * weight[r]
         return new / (new + np.maximum(mid[r] - d * t, 1e-9))
 
     for _ in range(6):
@@ -131,10 +139,10 @@ def _seated(c, mass, d, parent, at, rng) -> np.ndarray:
             p[r] = chance(r, mean[r])
             t = t + size[r] * p[r]
         stay = -d / np.maximum(mid - d * mean, 1e-2)
-        opened = d / (mass + d * mean) + parent.growth(at, mean)
+        opened = d / (mass + d * mean) + parent.growth(all_, mean)
         gain = size * ((1 - p) * stay + p * opened)
         after = np.cumsum(gain[::-1], axis=0)[::-1]
-        look = np.clip(after - gain / 2, -50, 50)
+        weight = np.exp(np.clip(after - gain / 2, -50, 50))
     t = np.ones(n)
     for r in range(j):
         half = t + size[r] * chance(r, t) / 2
@@ -157,10 +165,10 @@ def theta_likelihood(tables: np.ndarray, customers: np.ndarray, d: float) -> np.
     some = customers > 0
     if not some.any():
         return np.zeros(len(GRID))
-    pair, n = np.unique(np.stack([tables[some], customers[some]], 1), axis=0, return_counts=True)
-    t, c = pair[:, 0][:, None], pair[:, 1][:, None]
+    (t, n_t), (c, n_c) = (np.unique(x[some], return_counts=True) for x in (tables, customers))
     th = GRID[None, :]
-    return (n[:, None] * (log_gamma(th / d + t) - log_gamma(th / d + 1) - log_gamma(th + c) + log_gamma(th + 1))).sum(0)
+    of_tables = n_t @ (log_gamma(th / d + t[:, None]) - log_gamma(th / d + 1))
+    return of_tables - n_c @ (log_gamma(th + c[:, None]) - log_gamma(th + 1))
 
 
 def draw_theta(likelihood: np.ndarray, rng) -> float:

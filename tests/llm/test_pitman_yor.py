@@ -1,7 +1,9 @@
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,42 @@ def test_tail_numbers_are_a_row_a_part(spark, docs, monkeypatch):
     assert told and all(0 < n <= parts for parts, n in told), told
 
 
+def test_every_sweep_draws_every_word(spark, docs, monkeypatch):
+    """Words that no context holds twice have tables to draw as well, in every sweep."""
+    monkeypatch.setattr(pitman_yor, "HEAD", 20)
+    draw, drawn = pitman_yor.draw_tail, {}
+
+    def watched(words, st, sweep):
+        drawn.setdefault(sweep, set()).update(r["w"] for r in words.where("k > 1").collect())
+        return draw(words, st, sweep)
+
+    monkeypatch.setattr(pitman_yor, "draw_tail", watched)
+    texts = docs.select("doc_id", "text").union(spark.createDataFrame([(1000, "qqone twin qqtwo"), (1001, "qqthree twin qqfour")], "doc_id long, text string"))
+    scores(texts)
+    twin = int(pitman_yor.tokens(pa.array(["twin"]))[0][:1].view(np.int64)[0])
+    assert sorted(drawn) == list(range(7))  # two sweeps of burn-in and four kept, after the start
+    assert all(twin in words and drawn[0] - words == set() for words in drawn.values())
+
+
+def test_one_sort_orders_contexts_and_words():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 300):
+        ctx = rng.integers(0, n, 5000)
+        for w in (rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), rng.integers(0, 9, 5000).astype(np.uint64)):
+            a, b = pitman_yor._order(ctx, w, n), np.lexsort((w, ctx))
+            assert (ctx[a] == ctx[b]).all() and (w[a] == w[b]).all()
+
+
+def test_likelihood_of_theta_adds_up_over_restaurants():
+    tables, customers, d = np.array([1.0, 3.0, 3.0, 0.0]), np.array([4.0, 5.0, 9.0, 0.0]), 0.4
+    got = restaurants.theta_likelihood(tables, customers, d)
+    want = [
+        sum(sum(math.log(th / d + i) for i in range(1, int(t))) - sum(math.log(th + i) for i in range(1, int(c))) for t, c in zip(tables, customers) if c)
+        for th in restaurants.GRID
+    ]
+    assert np.allclose(got - got[0], np.array(want) - want[0])
+
+
 class Plain:
     """Gibbs over single customers with every table kept: the model as it is written in books."""
 
