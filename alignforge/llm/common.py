@@ -6,6 +6,8 @@ per token is a few numpy passes and not a Python object.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers stay for later tasks, and would hold it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def fold(column, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``; null ids fall in fold 0."""
     return F.coalesce(F.crc32(column.cast("string")) % modulus, F.lit(0))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import restaurants as rs
-from .common import U64, discard, mix, saved, small_batches, token_hashes
+from .common import U64, discard, give_back, mix, saved, small_batches, token_hashes
 from .hashtable import SortedHash
 
 #: words whose sums every task holds (a few MB, whatever the corpus)
@@ -135,6 +135,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 parts, size = [], 0
         if parts:
             yield summed(parts)
+            del parts
+        give_back()
 
     def summed(parts):
         w, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -179,9 +181,21 @@ class Shared:
         return np.where(self.hot[at] == context, at, -1)
 
 
-def _contexts(s: Shared, w, uw, inv, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, which of them each element is, in four bytes)."""
+    o = np.argsort(x)
+    x = x[o]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int32)
+    place[o] = np.cumsum(new, dtype=np.int32)
+    place -= 1
+    return x[new], place
+
+
+def _contexts(s: Shared, uw, inv, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label of each token's context, context hash and part of each label); a split context has a label a piece."""
-    before = np.empty(len(w), np.int64)
+    before = np.empty(len(inv), np.int32)
     before[1:] = inv[:-1]
     before[first] = len(uw)
     name = np.append(uw, START)
@@ -191,12 +205,17 @@ def _contexts(s: Shared, w, uw, inv, first) -> tuple[np.ndarray, np.ndarray, np.
     label_u = np.repeat(name, pieces)
     piece = np.arange(len(label_u)) - np.repeat(start, pieces)
     part = ((mix(label_u ^ U64(0x5851F42D4C957F2D)) % U64(s.parts)).astype(np.int64) + piece) % s.parts
-    return start[before] + (mix(w ^ _SPREAD) % pieces[before].astype(U64)).astype(np.int64), label_u, part
+    label = start.astype(np.int32)[before]
+    at = np.flatnonzero((pieces > 1)[before])
+    label[at] += (mix(uw ^ _SPREAD)[inv[at]] % pieces[before[at]].astype(U64)).astype(np.int32)
+    return label, label_u, part
 
 
 ASK, DOCS, TYPES, PLACES = 1, 0, 2, 3
 #: a block: documents until they have so many bytes or rows
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 4000
+#: documents of a block that are cut into words together
+BLOCK_CUT = 250
 
 
 def _merged(batches):
@@ -206,10 +225,13 @@ def _merged(batches):
         held.append(b)
         size, rows = size + b.nbytes, rows + b.num_rows
         if size > BLOCK_BYTES or rows >= BLOCK_ROWS:
-            yield _one(held)
-            held, size, rows = [], 0, 0
+            one, held, size, rows = _one(held), [], 0, 0
+            del b
+            yield one
+            del one
     if rows:
-        yield _one(held)
+        one, held = _one(held), []
+        yield one
 
 
 def _one(batches: list) -> pa.RecordBatch:
@@ -228,34 +250,67 @@ def blocks(docs: DataFrame, shared) -> DataFrame:
             if b.num_rows:
                 for row in _block(b, base + seq, s):
                     yield _batch([row])
+            del b
+            give_back()
 
     return docs.mapInArrow(run, PACKED)
 
 
+def _words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words of a block, which of them each token is, tokens of each document); some documents are cut at a time."""
+    got, size = [], []
+    for i in range(0, len(texts), BLOCK_CUT):
+        w, _, first = tokens(texts.slice(i, BLOCK_CUT))
+        got.append(w)
+        size.append(np.diff(first, append=len(w)))
+    w, size = np.concatenate(got), np.concatenate(size)
+    del got
+    return *_distinct(w), size
+
+
 def _block(b: pa.RecordBatch, block: int, s: Shared):
+    """A block's rows. What has an element a token is kept in four bytes, and no longer than it is read."""
     ids, held = b.column(0), np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
-    w, doc, first = tokens(b.column(1))
-    n_docs = len(first)
-    uw, inv = np.unique(w, return_inverse=True)
-    label, label_u, label_part = _contexts(s, w, uw, inv, first)
+    uw, inv, size = _words(b.column(1))
+    n_docs, width = len(size), len(uw)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), size)
+    # sums over known words
+    head = s.table.find(uw).astype(np.int64)
+    c = np.where(head >= 0, s.counts[head], 0) if len(s.counts) else np.zeros(width, np.int64)
+    at = np.flatnonzero((head >= 0)[inv])
+    base = np.bincount(doc[at], np.log10(c + 0.1)[inv[at]], n_docs)
+    n_known = np.bincount(doc[at], (c > 0)[inv[at]], n_docs).astype(np.int64)
+    del at
+    label, label_u, label_part = _contexts(s, uw, inv, np.cumsum(size) - size)
     by = np.argsort(label_part, kind="stable")
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     # types in the order of their part, and which of them each token is
-    key, token = np.unique(rank[label] * len(uw) + inv, return_inverse=True)
-    ctx, word = by[key // len(uw)], key % len(uw)
+    key = rank[label]
+    del label
+    key *= width
+    key += inv
+    del inv
+    key, token = _distinct(key)
+    ctx, word = by[key // width], key % width
     count = np.bincount(token, ~held[doc], len(key)).astype(np.int64)
-    head = s.table.find(uw).astype(np.int64)
-    known = head[inv] >= 0
-    c = s.counts[head[inv[known]]]
-    base = np.bincount(doc[known], np.log10(c + 0.1), n_docs)
-    entry, times = np.unique(doc * len(key) + token, return_counts=True)
+    entry = doc.astype(np.int64)
+    del doc
+    entry *= len(key)
+    entry += token
+    del token
+    entry.sort()
+    lead = np.flatnonzero(np.diff(entry, prepend=-1))
+    times = np.diff(lead, append=len(entry)).astype(np.uint32)
+    entry = entry[lead]
+    del lead
     null = ids.is_null().to_numpy(zero_copy_only=False)
-    facts = np.stack([ids.fill_null(0).to_numpy(), null, held, np.bincount(doc, minlength=n_docs), np.bincount(doc[known], c > 0, n_docs).astype(np.int64)])
+    facts = np.stack([ids.fill_null(0).to_numpy(), null, held, size, n_known])
     yield _row(
         block % s.parts, DOCS, block, facts.astype(np.int64), base, np.bincount(entry // len(key), minlength=n_docs).astype(np.uint32),
-        _gaps(entry % len(key)), times.astype(np.uint32), np.packbits(head[word] < 0),
+        _gaps(entry % len(key)), times, np.packbits(head[word] < 0),
     )
+    del entry, times
     cut = np.searchsorted(label_part[ctx], np.arange(s.parts + 1))
     for p in np.flatnonzero(np.diff(cut)):
         at = slice(cut[p], cut[p + 1])
@@ -287,6 +342,8 @@ def counted(rows: DataFrame, shared) -> DataFrame:
                 asks.append((r[2], u, n, w, c))
             if asks:
                 yield from _types(p, asks, s)
+        asks = []
+        give_back()
 
     return rows.mapInArrow(run, PACKED)
 
@@ -416,6 +473,8 @@ def draw_tail(words: DataFrame, st: State, sweep: int) -> DataFrame:
                 held.append(b.slice(x, z - x))
         if held:
             yield done(pa.Table.from_batches(held), key, stirling)
+            del held
+        give_back()
 
     def done(t: pa.Table, key: int, stirling) -> pa.RecordBatch:
         k = t["k"].to_numpy()
@@ -595,6 +654,7 @@ def answers(rows: DataFrame, shared, history) -> DataFrame:
                     at = _places(_array(r[3], np.int32))
                     mine = rare[at]
                     yield _batch([_row(r[0], ASK, r[2], logp[at], mine[mine >= 0].astype(np.uint32))])
+        give_back()
 
     return rows.mapInArrow(run, PACKED)
 

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alignforge.llm import pitman_yor, restaurants
 from alignforge.llm.common import fold
+from alignforge.llm.hashtable import SortedHash
 
 
 def scores(df, **how):
@@ -86,6 +88,49 @@ def test_every_sweep_draws_every_word(spark, docs, monkeypatch):
     assert all(twin in words and drawn[0] - words == set() for words in drawn.values())
 
 
+def block_of(n_docs=2500, n_words=6000, length=150):
+    """A block, and what its tasks know: half of the words are head words, the most frequent is a split context."""
+    rng = np.random.default_rng(6)
+    names = np.array([f"w{k}" for k in range(n_words)])
+    texts = [" ".join(names[(n_words * rng.random(rng.integers(0, 2 * length)) ** 3).astype(int)]) for _ in range(n_docs)]
+    ids = np.arange(n_docs)
+    b = pa.record_batch([pa.array(ids), pa.array([None if i == 9 else t for i, t in enumerate(texts)]), pa.array(ids % 10 == 0)], ["id", "text", "held"])
+    w, c = np.unique(pitman_yor.tokens(b.column(1))[0], return_counts=True)
+    top = np.argsort(-c)[: n_words // 2]
+    s = pitman_yor.Shared(w[top], c[top], c[top] * 40, int(c.sum()), len(w), n_docs, n_docs * 40, int(c.sum()) * 40)
+    s.table = SortedHash(s.words)
+    assert s.parts > 1 and len(s.hot)
+    return b, s
+
+
+def test_a_block_takes_few_bytes_a_token():
+    """Two such tasks stand beside an executor's heap."""
+    b, s = block_of()
+    n = len(pitman_yor.tokens(b.column(1))[0])
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in pitman_yor._block(b, 0, s)) > s.parts // 2
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 85 * n, most / n
+
+
+def test_block_rows_hold_all_tokens(monkeypatch):
+    """However many documents are cut together: every token is in its document's entries, training ones in the customers."""
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 4000)
+    b, s = block_of(300, 500, 60)
+    rows = list(pitman_yor._block(b, 0, s))
+    monkeypatch.setattr(pitman_yor, "BLOCK_CUT", 7)
+    assert rows == list(pitman_yor._block(b, 0, s))
+    w, doc, _ = pitman_yor.tokens(b.column(1))
+    facts, _, n, _, times, _ = pitman_yor._arrays(rows[0], np.int64, np.float64, np.uint32, np.int32, np.uint32, np.uint8)
+    known = np.isin(w, s.words)
+    assert (facts.reshape(5, -1)[3] == np.bincount(doc)).all() and (facts.reshape(5, -1)[4] == np.bincount(doc, known)).all()
+    assert (np.add.reduceat(times, np.cumsum(n.astype(np.int64)) - n.astype(np.int64)) == np.bincount(doc)).all()
+    assert sum(int(pitman_yor._array(r[7], np.uint32).sum()) for r in rows[1:]) == int((doc % 10 != 0).sum())
+
+
 def test_one_sort_orders_contexts_and_words():
     rng = np.random.default_rng(3)
     for n in (1, 2, 300):
