@@ -19,15 +19,20 @@ from pyspark.sql import types as T
 from alignforge.plans.session import small_batches
 
 LANES = 6
+#: a data limit from here on is none
+NO_LIMIT = 1 << 62
 
 
 class OutOfBuckets(ValueError):
     """The buckets cannot hold all comparisons."""
 
 
-def batches(size: list[int], cmp_limit: int, data_limit: int) -> list[int]:
-    """Batch of each pair: one joins while its batch has under cmp_limit - 1 pairs and stays under data_limit."""
-    out, batch, n, total = [], 0, 0, 0
+def batches(size: list[int], cmp_limit: int, data_limit: int, held: int = 0, total: int = 0) -> list[int]:
+    """Batch of each pair: one joins while its batch has under cmp_limit - 1 pairs and stays under data_limit.
+
+    ``held``, ``total``: pairs and bytes of a batch 0 that is open already.
+    """
+    out, batch, n = [], 0, held
     for s in size:
         if n and not (n + 1 < cmp_limit and total + s < data_limit):
             batch, n, total = batch + 1, 0, 0
@@ -36,6 +41,26 @@ def batches(size: list[int], cmp_limit: int, data_limit: int) -> list[int]:
     return out
 
 
+def open_batches(size: np.ndarray, cmp_limit: int, data_limit: int, held: int, total: int) -> tuple[int, int, int]:
+    """The fold of :func:`batches` over one block, a batch a step: (batches begun in it, pairs and bytes of the one left open).
+
+    ``held``, ``total``: pairs and bytes of the batch that was open before the block.
+    """
+    ends, begun, i = np.cumsum(size, dtype=np.int64), 0, 0
+    while True:
+        before = int(ends[i - 1]) if i else 0
+        # the first pair that the open batch turns away; its first one always has room
+        full = max(i + cmp_limit - 1 - held, i + (not held))
+        heavy = max(int(np.searchsorted(ends, data_limit - total + before, "left")), i + (not held))
+        j = min(full, heavy, len(size))
+        if j > i:
+            begun += not held
+            held, total = held + j - i, total + int(ends[j - 1]) - before
+        if j == len(size):
+            return begun, held, total
+        i, held, total = j, 0, 0
+
+
 class _Buckets:
     """Room by comparisons and bytes; with ids, a sequence a bucket holds already takes no room."""
 
@@ -118,6 +143,47 @@ def assign_batches(pairs: DataFrame, cmp_limit: int, data_limit: int, group: str
     return src.groupBy(group).applyInPandas(run, schema)
 
 
+def assign_run_batches(pairs: DataFrame, cmp_limit: int, data_limit: int, block_pairs: int, order: str = "pair_id") -> DataFrame:
+    """(order, size_a, size_b) -> with batch, one fold over all pairs; ``order`` counts them from 0. Read twice.
+
+    Without a limit on bytes a batch is a division. With one, blocks of ``block_pairs`` pairs are
+    folded side by side, each from the batch that is open where it begins. Only that carry is serial:
+    one task runs over the blocks' packed sizes, one block in memory at a time, a step a batch.
+    """
+    src = pairs.select(order, "size_a", "size_b")
+    if data_limit >= NO_LIMIT:
+        return src.withColumn("batch", F.floor(F.col(order) / F.lit(max(cmp_limit - 1, 1))).cast("long"))
+    small_batches(pairs.sparkSession)
+    src = src.select(F.floor(F.col(order) / block_pairs).cast("long").alias("block"), "*")
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf.sort_values(order)[["size_a", "size_b"]].sum(axis=1)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sizes": [size.to_numpy("<i8").tobytes()]})
+
+    def carried(frames):
+        first, held, total = 0, 0, 0
+        for pdf in frames:
+            rows = []
+            for block, sizes in zip(pdf["block"], pdf["sizes"]):
+                rows.append((block, first, held, total))
+                begun, held, total = open_batches(np.frombuffer(sizes, "<i8"), cmp_limit, data_limit, held, total)
+                first += begun
+            yield pd.DataFrame(rows, columns=["block", "first", "held", "total"])
+
+    blocks = src.groupBy("block").applyInPandas(packed, "block long, sizes binary")
+    carry = blocks.repartition(1).sortWithinPartitions("block").mapInPandas(carried, "block long, first long, held long, total long")
+    schema = T.StructType([*src.drop("block").schema, T.StructField("batch", T.LongType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        first, held, total = (int(pdf[c].iloc[0]) for c in ("first", "held", "total"))
+        got = np.array(batches((pdf["size_a"] + pdf["size_b"]).tolist(), cmp_limit, data_limit, held, total), np.int64)
+        pdf["batch"] = first - (held > 0) + got
+        return pdf[schema.names]
+
+    return src.join(F.broadcast(carry), "block").groupBy("block").applyInPandas(run, schema)
+
+
 def assign_buckets(
     pairs: DataFrame, algorithm: str, buckets: int, max_cmps: int, capacity: int, group: str, order: str = "pair_id", dedup: bool = False
 ) -> DataFrame:

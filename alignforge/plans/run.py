@@ -1,8 +1,8 @@
 """A whole run: load, batch, pack, align, and leave results and log records.
 
-Pairs are numbered by position; batches and buckets are folds on ids and lengths within blocks of
-BLOCK_PAIRS pairs, so they run side by side whatever the input's size (a batch never spans two
-blocks). A batch is a unit of work: its pairs are dealt together and aligned in one task.
+Pairs are numbered by position. Batches are one fold on lengths over all pairs, done in blocks of
+BLOCK_PAIRS pairs side by side, each from the batch left open before it; buckets are folds within a
+batch. A batch is a unit of work: its pairs are dealt together and aligned in one task.
 """
 
 from __future__ import annotations
@@ -38,11 +38,8 @@ def checked(pairs: DataFrame, algo: AlgoConfig, check_b: bool = True) -> DataFra
 
 def planned(pairs: DataFrame, algo: AlgoConfig) -> DataFrame:
     """(batch, bucket, slot, pair_id, size_a, size_b) of every pair."""
-    sizes = pairs.select(
-        F.floor(F.col("pair_id") / BLOCK_PAIRS).cast("long").alias("block"), "pair_id", F.length("a").alias("size_a"), F.length("b").alias("size_b")
-    )
-    batches = pk.assign_batches(sizes, *algo.batch_limits(), "block")
-    batches = batches.withColumn("batch", F.format_string("%d-%d", "block", "batch_id"))
+    sizes = pairs.select("pair_id", F.length("a").alias("size_a"), F.length("b").alias("size_b"))
+    batches = pk.assign_run_batches(sizes, *algo.batch_limits(), BLOCK_PAIRS).withColumn("batch", F.col("batch").cast("string"))
     return pk.assign_buckets(batches, FILL[algo.fillAlgo], algo.tilesUsed, algo.maxBatches, algo.bufsize, "batch")
 
 

@@ -174,6 +174,23 @@ def test_runs(spark, tmp_path):
     assert got["cmps_processed"] == 30 and got["cells"] * 2 == row["final_cells"]
 
 
+def test_batches_span_blocks(spark, monkeypatch):
+    """A run's batches are one fold over all pairs, wherever blocks are cut."""
+    from alignforge.plans import run
+
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 60, 400).tolist()
+    rows = [(i, "A" * n, "") for i, n in enumerate(size)]
+    pairs = spark.createDataFrame(rows, "pair_id long, a string, b string").repartition(5)
+    monkeypatch.setattr(run, "BLOCK_PAIRS", 100)
+    plan = run.planned(pairs, AlgoConfig(tilesUsed=10, maxBatches=5)).collect()
+    assert {r["pair_id"]: int(r["batch"]) for r in plan} == {i: i // 44 for i in range(400)}
+    sizes = pairs.select("pair_id", F.length("a").alias("size_a"), F.length("b").alias("size_b"))
+    for cmps, data, block in ((45, 500, 100), (45, 500, 7), (1, 500, 9), (0, 1, 50), (400, 3000, 20), (45, 1, 13), (9, 10**6, 3)):
+        got = {r["pair_id"]: r["batch"] for r in pk.assign_run_batches(sizes, cmps, data, block).collect()}
+        assert [got[i] for i in range(400)] == pk.batches(size, cmps, data), (cmps, data, block)
+
+
 def test_registry_matches_sql(spark):
     """Each query with SQL gives DuckDB's rows on the smallest tables."""
     import os
