@@ -49,6 +49,7 @@ def one_byte_each(x: bytes | None) -> bytes | None:
 def align(
     pairs: DataFrame, scoring: Scoring, a: str = "a", b: str = "b", outputs: tuple[str, ...] = ("score", "end", "begin"),
     mask_length: int = 15, min_score: int = 0, max_distance: int | None = None, max_length: int | None = None, keep_sequences: bool = False,
+    deal: bool = True,
 ) -> DataFrame:
     """``pairs`` with the asked outputs added: score, end, begin, second (best), cigar, and time (the
     pair's share, by cells, of its Arrow batch's seconds in the kernel and in all).
@@ -56,7 +57,9 @@ def align(
     Only what is asked for is computed (the reverse pass, the traceback). ``min_score`` and
     ``max_distance`` (of the aligned span of A and B) gate the CIGAR as a projection; rows
     always stay. ``max_length`` makes a longer A an error. A null side gives null outputs; an
-    empty one scores 0 at position 0. A, then B inner and outer: of equal scores the smallest
+    empty one scores 0 at position 0. ``deal``: pairs are dealt over all tasks by their letters first
+    (tables of pairs are small, so scans and joins leave them in a task or two), and pairs that are
+    alike meet, to be aligned once. A, then B inner and outer: of equal scores the smallest
     end on B, then on A, counts.
     """
     small_batches(pairs.sparkSession)
@@ -67,6 +70,8 @@ def align(
         src = src.withColumn(
             "__a", F.when(F.length("__a") > max_length, F.raise_error(F.lit(f"sequence longer than {max_length}"))).otherwise(F.col("__a"))
         )
+    if deal:
+        src = src.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("__a", "__b"))
     schema = ", ".join([f"`{n}` {src.schema[n].dataType.simpleString()}" for n in known] + [f"{n} {t}" for n, t in fields])
     types = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 

@@ -232,7 +232,7 @@ def align_sql_engine(spark, d):
 def align_documents(spark, d):
     """Neighbouring documents, whole; dealt by cost."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return al.align(al.cost_balanced(document_pairs(spark, d), n), NA, outputs=("score", "end"))
+    return al.align(al.cost_balanced(document_pairs(spark, d), n), NA, outputs=("score", "end"), deal=False)
 
 
 @query(sql_align("""pairs AS (SELECT x.p_partkey pair_id, x.p_name a, y.p_name b FROM part x JOIN part y ON y.p_partkey = x.p_partkey // 2)""", AA62))

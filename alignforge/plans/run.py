@@ -63,7 +63,7 @@ def run_comparison(
     if algo.engine == "sql":  # no begins, and no seconds of its own: the batch records have none either
         aligned = align_sql(work, sw.scoring()).withColumn("kernel_s", F.lit(0.0)).withColumn("task_s", F.lit(0.0))
     else:
-        aligned = align(work, sw.scoring(), outputs=outputs)
+        aligned = align(work, sw.scoring(), outputs=outputs, deal=False)
     write_results(aligned, f"{out}/results")
     seconds = time.perf_counter() - began
     done = spark.read.parquet(f"{out}/results")

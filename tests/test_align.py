@@ -158,6 +158,30 @@ def test_tracebacks_in_little_memory(monkeypatch):
     assert r["cigar"] == ["1500=10I2490="] or r["score"][0] == 3990 + OPEN3.gap_init + 10 * OPEN3.gap_extend
 
 
+def test_tracebacks_go_together(spark, monkeypatch):
+    """Pairs of a group are walked back together, as one at a time; pairs of the same letters once; rows leave their task."""
+    from alignforge.operators import kernel
+
+    rng = random.Random(13)
+    a = ["".join(rng.choice("ARNDWC") for _ in range(rng.randint(0, 50))) for _ in range(60)]
+    b = ["".join(rng.choice("WC") + c if rng.random() < 0.1 else c for c in x if rng.random() > 0.15) for x in a]
+    a, b = [x.encode() for x in a] + [None, b"", a[1].lower().encode()], [x.encode() for x in b] + [b"A", b"A", b[1].encode()]
+    s, how = Scoring.open_extend("blosum62", 3, 1), ("score", "end", "begin", "cigar")
+    alone = []
+    with monkeypatch.context() as m:
+        m.setattr(kernel, "TABLE_CELLS", 0)  # each pair by itself
+        alone = align_batch(a, b, s, how)
+    walks = []
+    monkeypatch.setattr(kernel, "traceback", lambda *x: walks.append(1))
+    assert align_batch(a, b, s, how) == alone and not walks
+    sizes = []
+    monkeypatch.setattr(kernel, "groups", lambda la, lb, f=kernel.groups: sizes.append(len(la)) or f(la, lb))
+    got = align_batch([b"ACGT", b"acgt", b"AC?T"] * 50, [b"ACGT"] * 150, NA, ("score", "end"))
+    assert sizes == [2] and got["score"] == [4, 4, 2] * 50 and got["a_end"] == [3, 3, 1] * 50
+    one = spark.createDataFrame([(i, "ACGT" * (i % 9), "CGTA") for i in range(90)], "pair_id long, a string, b string").coalesce(1)
+    assert al.align(one, NA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_blocks_are_cut(spark):
     """Pairs of a large block come once each, through many units."""
     rows = [(i, "x" if i % 3 else "y" if i % 2 else None, f"s{i}") for i in range(90)]
