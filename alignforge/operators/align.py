@@ -5,13 +5,15 @@ from __future__ import annotations
 import time
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alignforge.functions.scoring import Scoring
 from alignforge.operators.kernel import align_batch
-from alignforge.operators.pairing import one_against_many
+from alignforge.operators.pairing import one_against_many, units_of_blocks
 from alignforge.plans.session import small_batches
 
 FIELDS = {
@@ -99,6 +101,60 @@ def align(
     return src.mapInArrow(run, schema)
 
 
+def align_within_blocks(
+    sequences: DataFrame, block: Column, scoring: Scoring, seq_id: str = "seq_id", seq: str = "seq", outputs: tuple[str, ...] = ("score", "end", "begin"),
+    most: int = 256, mask_length: int = 15,
+) -> DataFrame:
+    """:func:`align` of all pairs i > j inside each block: (block, a_id, b_id) and the outputs.
+
+    Only sequences go to the workers, which make the pairs of a unit (two pieces of a block, see
+    :func:`units_of_blocks`) themselves, and align sequences of the same letters once. So a task holds
+    two pieces, and the pairs of those two, whatever the block's size.
+    """
+    if "time" in outputs:
+        raise ValueError("pairs of a block have no seconds of their own")
+    spark = sequences.sparkSession
+    small_batches(spark)
+    units = units_of_blocks(sequences, block, seq_id, seq, most).where("id is not null")
+    # by number: what is dealt is small, and would be put into a few tasks
+    keys = ["block", "p", "q"]
+    units = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    fields = [f for k in FIELDS if k in outputs for f in FIELDS[k]]
+    kind = units.schema["id"].dataType.simpleString()
+    schema = f"block {units.schema['block'].dataType.simpleString()}, a_id {kind}, b_id {kind}, " + ", ".join(f"{n} {t}" for n, t in fields)
+    types = {"int": pa.int32(), "string": pa.string()}
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, rank = table["id"].combine_chunks(), pc.rank(table["id"], tiebreaker="min").to_numpy().astype(np.int64)
+        mine, apart = table["mine"].to_numpy(), table["p"][0].as_py() != table["q"][0].as_py()
+        texts, letters = {}, []
+        for x in table["seq"].cast(pa.binary()).to_pylist():
+            letters.append(texts.setdefault(one_byte_each(x), len(texts)))
+        letters, texts, n = np.array(letters), list(texts), len(texts)
+        whole = rank[:, None] > rank[None, :]
+        if apart:
+            whole &= mine[:, None] != mine[None, :]
+        a, b = (x.astype(np.int32) for x in np.nonzero(whole))
+        pair = letters[a] * n + letters[b]
+        asked = np.zeros(n * n, bool)
+        asked[pair] = True
+        asked = np.flatnonzero(asked)
+        found = []
+        for k in range(0, len(asked), TOGETHER):
+            xa, xb = ([texts[i] for i in side] for side in np.divmod(asked[k : k + TOGETHER], n))
+            r = align_batch(xa, xb, scoring, outputs, mask_length)
+            null = [x is None or y is None for x, y in zip(xa, xb)]
+            found.append([pa.array([None if z else v for z, v in zip(null, r[f])], types[t]) for f, t in fields])
+        place = np.zeros(n * n, np.int64)
+        place[asked] = np.arange(len(asked))
+        at = pa.array(place[pair])
+        cols = [pa.chunked_array([c[i] for c in found], types[t]).combine_chunks().take(at) for i, (_, t) in enumerate(fields)]
+        of = table["block"].combine_chunks().take(pa.array(np.zeros(len(a), np.int64)))
+        return pa.table([of, ids.take(pa.array(a)), ids.take(pa.array(b)), *cols], ["block", "a_id", "b_id", *(f for f, _ in fields)])
+
+    return units.groupBy(*keys).applyInArrow(run, schema)
+
+
 def align_sql(pairs: DataFrame, scoring: Scoring, a: str = "a", b: str = "b") -> DataFrame:
     """Score and ends by SQL functions alone, a fold over B: no Python worker. For short sequences; results equal :func:`align`."""
     n, gi, ge = len(scoring.letters), scoring.gap_init, scoring.gap_extend

@@ -50,8 +50,8 @@ def pair_list(sequences: DataFrame, comparisons: DataFrame, seq_id: str = "seq_i
     return comparisons.join(sa, "a_id").join(sb, "b_id")
 
 
-def within_blocks(sequences: DataFrame, block: Column, seq_id: str = "seq_id", seq: str = "seq", most: int = 512) -> DataFrame:
-    """All pairs i > j inside each block.
+def units_of_blocks(sequences: DataFrame, block: Column, seq_id: str = "seq_id", seq: str = "seq", most: int = 512) -> DataFrame:
+    """(block, id, seq, mine, p, q): sequences by the units (block, p, q) they meet others in.
 
     A block of more than ``most`` sequences is cut into pieces by a hash of the id, and every two
     pieces meet in a unit of their own: no task holds a large block, whatever one key's share is.
@@ -60,7 +60,12 @@ def within_blocks(sequences: DataFrame, block: Column, seq_id: str = "seq_id", s
     pieces = s.groupBy(F.col("block").alias("of")).agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
     s = s.join(pieces, F.col("block").eqNullSafe(F.col("of"))).select("block", "id", "seq", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("mine"))
     s = s.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    s = s.select("block", "id", "seq", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    return s.select("block", "id", "seq", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+
+
+def within_blocks(sequences: DataFrame, block: Column, seq_id: str = "seq_id", seq: str = "seq", most: int = 512) -> DataFrame:
+    """All pairs i > j inside each block, made in the units of :func:`units_of_blocks`."""
+    s = units_of_blocks(sequences, block, seq_id, seq, most)
     x, y = s.alias("x"), s.alias("y")
     # the two sides are of different pieces, or the unit is one piece with itself
     here = F.col("x.block").eqNullSafe(F.col("y.block")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))

@@ -245,9 +245,9 @@ def align_pair_list(spark, d):
 @query(sql_align("""pairs AS (SELECT x.s_suppkey * 1000000 + y.s_suppkey pair_id, x.s_name a, y.s_name b FROM supplier x
   JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey > y.s_suppkey)""", AA62, begin=False))
 def align_all_vs_all(spark, d):
-    s = read(spark, d, "supplier")
-    pairs = pr.within_blocks(s, F.col("s_nationkey"), "s_suppkey", "s_name")
-    return al.align(pairs.select((F.col("a_id") * 1000000 + F.col("b_id")).alias("pair_id"), "a", "b"), AA62, outputs=("score", "end"))
+    s = read(spark, d, "supplier").where("s_nationkey is not null")  # as in SQL, a supplier of no nation meets none
+    pairs = al.align_within_blocks(s, F.col("s_nationkey"), AA62, "s_suppkey", "s_name", outputs=("score", "end"))
+    return pairs.select((F.col("a_id") * 1000000 + F.col("b_id")).alias("pair_id"), "score", "a_end", "b_end")
 
 
 @query(sql_align("pairs AS (SELECT p_partkey pair_id, p_name a, 'small hot widget gear' b FROM part)", AA62, begin=False))

@@ -195,6 +195,23 @@ def test_blocks_are_cut(spark):
         assert all(r["a"] == f"s{r['a_id']}" and r["b"] == f"s{r['b_id']}" for r in got)
 
 
+def test_blocks_are_aligned_in_place(spark):
+    """Pairs made beside the kernel are those of the join, with the same results, whatever the pieces."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("ACGTacgt?") for _ in range(rng.randint(0, 12)))
+    rows = [(i, None if i % 7 == 0 else i % 3, None if i % 11 == 0 else word()) for i in range(70)] + [(None, 1, "ACGT"), (5, 2, "ACGT"), (900, 77, "A")]
+    df = spark.createDataFrame(rows, "seq_id long, k int, seq string")
+    for key, how, kinds in ((F.col("seq_id"), ("score", "end"), (256, 5, 1)), (F.concat(F.lit("s"), F.col("seq_id")), ("score", "end", "begin", "second", "cigar"), (5,))):
+        s = df.withColumn("seq_id", key)
+        want = al.align(pr.within_blocks(s, F.col("k")), OPEN3, outputs=how)
+        for most in kinds:
+            got = al.align_within_blocks(s, F.col("k"), OPEN3, outputs=how, most=most)
+            assert got.columns == want.columns and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_aligner_object(spark):
     q = spark.createDataFrame([(1, "ACGT"), (2, ""), (3, "TTACGTTT")], "id long, seq string")
     one = al.Aligner(NA).set_reference("ACGT")
