@@ -32,6 +32,7 @@ token has the base probability.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -64,8 +65,18 @@ _COLUMNS = ["p", "kind", "block", *BLOB]
 def _row(p: int, kind: int, block: int, *arrays) -> tuple:
     """Arrays are packed byte plane by byte plane: small numbers have planes of zeros."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    planes = (np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T for x in arrays)
-    return (p, kind, block, *(pack(x.tobytes()) for x in planes), *[None] * (len(BLOB) - len(arrays)))
+    return (p, kind, block, *(pack(_planes(x)) for x in arrays), *[None] * (len(BLOB) - len(arrays)))
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The byte planes of an array; those above its greatest number are not looked at."""
+    x = np.ascontiguousarray(x).reshape(-1)
+    size = x.dtype.itemsize
+    used = -(-int(x.view(f"u{size}").max(initial=0)).bit_length() // 8)
+    each, out = x.view(np.uint8).reshape(-1, size), np.zeros((size, len(x)), np.uint8)
+    for k in range(used):
+        out[k] = each[:, k]
+    return out
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -76,7 +87,11 @@ def _batch(rows: list) -> pa.RecordBatch:
 def _array(blob: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    for k in range(size):
+        if planes[k].any():
+            out[:, k] = planes[k]
+    return out.reshape(-1).view(kind)
 
 
 def _gaps(x: np.ndarray) -> np.ndarray:
@@ -127,7 +142,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             held = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
             for k, keep in ((1, ~held), (0, held)):
-                w, n = np.unique(tokens(b.column(1).filter(pa.array(keep)))[0], return_counts=True)
+                w, at = _distinct(tokens(b.column(1).filter(pa.array(keep)))[0])
+                n = np.bincount(at, minlength=len(w))
                 parts.append((w, n * k, n))
                 size += len(w)
             if size > 4_000_000:
@@ -139,7 +155,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         give_back()
 
     def summed(parts):
-        w, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        w, inv = _distinct(np.concatenate([p[0] for p in parts]))
         c, a = (np.bincount(inv, np.concatenate([p[i] for p in parts]), len(w)).astype(np.int64) for i in (1, 2))
         return pa.record_batch([pa.array(w.view(np.int64)), pa.array(c), pa.array(a)], ["w", "c", "a"])
 
@@ -182,15 +198,12 @@ class Shared:
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values, which of them each element is, in four bytes)."""
-    o = np.argsort(x)
-    x = x[o]
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
-    place = np.empty(len(x), np.int32)
-    place[o] = np.cumsum(new, dtype=np.int32)
-    place -= 1
-    return x[new], place
+    """(distinct values in order, which of them each element is, in four bytes); only distinct ones are sorted."""
+    place, values = pd.factorize(x)
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    return values[order], rank[place]
 
 
 def _contexts(s: Shared, uw, inv, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,8 +329,8 @@ def _block(b: pa.RecordBatch, block: int, s: Shared):
         at = slice(cut[p], cut[p + 1])
         starts = np.flatnonzero(np.diff(ctx[at], prepend=-1))
         ref, odd = head[word[at]], head[word[at]] < 0
-        names, place = np.unique(word[at][odd], return_inverse=True)
-        ref[odd] = RARE + place
+        names, place = _distinct(word[at][odd])
+        ref[odd] = RARE + place.astype(np.int64)
         yield _row(
             int(p), ASK, block, label_u[ctx[at][starts]], np.diff(np.append(starts, len(ref))).astype(np.uint32),
             ref.astype(np.uint32), uw[names], count[at].astype(np.uint32),
@@ -363,7 +376,7 @@ def _types(p: int, asks: list, s: Shared):
     """The part's types by (context, word): contexts and run lengths, word references, names, customers."""
     u, n, w, c = (np.concatenate([a[i] for a in asks]) for i in (1, 2, 3, 4))
     size = [len(a[3]) for a in asks]
-    label, ctx = np.unique(u, return_inverse=True)
+    label, ctx = _distinct(u)
     u, ctx = np.repeat(u, n), np.repeat(ctx, n)
     o = _order(ctx, w, len(label))
     new = np.ones(len(o), bool)
@@ -373,8 +386,8 @@ def _types(p: int, asks: list, s: Shared):
     lead = o[new]
     starts = np.flatnonzero(np.concatenate([[True], u[lead][1:] != u[lead][:-1]]))
     ref = s.table.find(w[lead]).astype(np.int64)
-    names, place = np.unique(w[lead][ref < 0], return_inverse=True)
-    ref[ref < 0] = RARE + place
+    names, place = _distinct(w[lead][ref < 0])
+    ref[ref < 0] = RARE + place.astype(np.int64)
     yield _batch([_row(
         p, TYPES, -1, u[lead][starts], np.diff(np.append(starts, len(lead))).astype(np.uint32), ref.astype(np.uint32), names,
         np.bincount(of, c, len(lead)).astype(np.int64),
@@ -496,9 +509,9 @@ def _dynamic(row) -> tuple:
     many = c >= 2
     ones = np.bincount(ctx, c == 1, len(n)).astype(np.int64)
     ref = ref.astype(np.int64)
-    tail, place = np.unique(ref[many & (ref >= RARE)], return_inverse=True)
+    tail, place = _distinct(ref[many & (ref >= RARE)])
     at = ref[many]
-    at[at >= RARE] = RARE + place
+    at[at >= RARE] = RARE + place.astype(np.int64)
     return _row(
         row[0], 0, 0, u, np.stack([ones, np.bincount(ctx, c, len(n)).astype(np.int64)]), ctx[many].astype(np.uint32), at.astype(np.uint32),
         names[tail - RARE], c[many], np.ones(int(many.sum()), np.int32),

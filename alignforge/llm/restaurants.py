@@ -60,6 +60,11 @@ class Parent:
         return (np.maximum(k - self.d0 * self.t0[at], 0) * (k > 0) + self.spread) / self.norm
 
 
+    def path(self):
+        """:meth:`nth` of all dishes as a function of i > 0."""
+        served = self.d0 * self.t0
+        return lambda i: (np.maximum(self.k + i - served, 0) + self.spread) / self.norm
+
     def growth(self, at, i) -> np.ndarray:
         """d/di of log P_i."""
         return 1 / (np.maximum(self.k[at] + i - self.d0 * self.t0[at], 0) + self.spread)
@@ -77,6 +82,9 @@ class Base:
     def nth(self, at, i) -> np.ndarray:
         return self.p + 0.0 * i
 
+    def path(self):
+        return lambda i: self.p
+
     def growth(self, at, i) -> np.ndarray:
         return 0.0 * i
 
@@ -127,9 +135,12 @@ def _seated(c, mass, d, parent, rng) -> np.ndarray:
     weight = np.ones((j, n))
     mean, p = np.ones((j, n)), np.zeros((j, n))
 
+    following = parent.path()
+
     def chance(r, t):
-        new = (mass + d * t) * parent.nth(all_, t) * weight[r]
-        return new / (new + np.maximum(mid[r] - d * t, 1e-9))
+        opened = d * t
+        new = (mass + opened) * following(t) * weight[r]
+        return new / (new + np.maximum(mid[r] - opened, 1e-9))
 
     for _ in range(6):
         t = np.ones(n)

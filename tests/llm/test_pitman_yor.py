@@ -285,3 +285,22 @@ def test_probabilities_of_a_context_sum_to_one():
     t = np.minimum(c, 2)
     p = pitman_yor.predictive(c, t, c.sum(), t.sum(), parent, st.theta, st.d)
     assert abs(parent.sum() - 1) < 1e-9 and abs(p.sum() - 1) < 1e-9
+
+
+def test_planes_and_distinct():
+    """Byte planes are those of the plain transposition and come back; distinct values and places are numpy's."""
+    import numpy as np
+
+    from alignforge.llm import pitman_yor as py
+
+    rng = np.random.default_rng(8)
+    arrays = [
+        rng.integers(0, 1 << 63, 700).astype(np.uint64), rng.integers(-5, 300, 500), rng.integers(0, 90, 400).astype(np.uint32), np.zeros(9, np.int64),
+        rng.random(60).astype(np.float32), rng.random((3, 20)), np.zeros(0, np.uint64), np.arange(7, dtype=np.uint8), np.array([-1, 1 << 31], np.int64),
+    ]
+    for x in arrays:
+        assert py._planes(x).tobytes() == x.reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+        assert (py._array(py._row(0, 0, 0, x)[3], x.dtype) == x.reshape(-1)).all()
+    for x in (arrays[0] % 50, arrays[1], arrays[6], arrays[0] | np.uint64(1 << 63)):
+        (value, place), want = py._distinct(x), np.unique(x, return_inverse=True)
+        assert (value == want[0]).all() and (place == want[1]).all() and value.dtype == x.dtype and place.dtype == np.int32
