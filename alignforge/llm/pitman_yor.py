@@ -19,8 +19,10 @@ probabilities of what it asked for, once each, and the block adds them up by doc
 of words that fills a third of the corpus is one entry a block.
 
 A context over half a part is split by the following word, and its tables are summed over its
-pieces in every sweep. Sums of the HEAD most frequent words travel as arrays of fixed length,
-those of all others by joins; HEAD and the parts decide how numbers travel and never what they
+pieces in every sweep. Sums of the HEAD most frequent words travel as arrays of fixed length.
+All others (tail words) are kept in buckets of WORD_BUCKET words, a packed row each: tasks of parts
+send a bucket their sums, it draws its tables and tells groups of parts what they ask for, all as
+packed arrays. HEAD, buckets and the parts decide how numbers travel and never what they
 are: table counts are integers, parts and their random numbers follow from the corpus alone, so
 the scores do not depend on partitions, batches or executors.
 
@@ -134,32 +136,64 @@ def tokens(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), counts + 1), first
 
 
+#: bits of a word that tell the row its counts are kept in
+SLOT_BITS = 8
+#: training counts up to which words are told apart to find the most frequent
+COUNT_TOP = 1 << 16
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(w, c, a): each word's training and all tokens of (id, text, held); summed in tasks first."""
+    """Each word's training and all tokens of (id, text, held), summed in tasks first: a packed row (words, training, all) a slot."""
 
     def run(batches):
         parts, size = [], 0
         for b in batches:
-            held = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
-            for k, keep in ((1, ~held), (0, held)):
-                w, at = _distinct(tokens(b.column(1).filter(pa.array(keep)))[0])
-                n = np.bincount(at, minlength=len(w))
-                parts.append((w, n * k, n))
-                size += len(w)
+            train = ~np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
+            w, row, _ = tokens(b.column(1))
+            w, at = _distinct(w)
+            parts.append((w, np.bincount(at, train[row], len(w)).astype(np.int64), np.bincount(at, minlength=len(w))))
+            size += len(w)
             if size > 4_000_000:
-                yield summed(parts)
+                yield from done(parts)
                 parts, size = [], 0
         if parts:
-            yield summed(parts)
+            yield from done(parts)
             del parts
         give_back()
 
-    def summed(parts):
-        w, inv = _distinct(np.concatenate([p[0] for p in parts]))
-        c, a = (np.bincount(inv, np.concatenate([p[i] for p in parts]), len(w)).astype(np.int64) for i in (1, 2))
-        return pa.record_batch([pa.array(w.view(np.int64)), pa.array(c), pa.array(a)], ["w", "c", "a"])
+    def done(parts):
+        columns = _word_sums(parts)
+        cut = np.searchsorted(columns[0] >> U64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=U64))
+        for p in np.flatnonzero(np.diff(cut)):
+            yield _batch([_row(int(p), 0, 0, *(x[cut[p] : cut[p + 1]] for x in columns))])
+
+    def merged(batches):
+        for p, slot in _runs(_rows(batches), lambda r: r[0]):
+            yield _batch([_row(p, 0, 0, *_word_sums([_arrays(r, U64, np.int64, np.int64) for r in slot]))])
+        give_back()
+
+    return docs.mapInArrow(run, PACKED).repartition("p").sortWithinPartitions("p").mapInArrow(merged, PACKED)
+
+
+def _word_sums(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in order, and the sums of their two counts."""
+    w, at = _distinct(np.concatenate([p[0] for p in parts]), True)
+    return w, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(w)).astype(np.int64) for i in (1, 2))
+
+
+def most_frequent(words: DataFrame, by_count: np.ndarray) -> pa.Table:
+    """(w, c, a) of the HEAD words with most training tokens; ``by_count``: how many words have each training count."""
+    enough = np.flatnonzero(np.cumsum(by_count[::-1])[::-1] >= HEAD)
+    least = int(enough[-1]) if len(enough) else 0
+
+    def run(batches):
+        for row in _rows(batches):
+            w, c, a = _arrays(row, np.int64, np.int64, np.int64)
+            at = c >= least
+            if at.any():
+                yield pa.record_batch([pa.array(x[at]) for x in (w, c, a)], ["w", "c", "a"])
 
-    return docs.mapInArrow(run, "w long, c long, a long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+    return words.mapInArrow(run, "w long, c long, a long").orderBy(F.desc("c"), F.desc("a"), "w").limit(HEAD).toArrow()
 
 
 class Shared:
@@ -197,8 +231,17 @@ class Shared:
         return np.where(self.hot[at] == context, at, -1)
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values in order, which of them each element is, in four bytes); only distinct ones are sorted."""
+def _distinct(x: np.ndarray, most: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, which of them each element is, in four bytes); only distinct ones are sorted, unless ``most`` elements are."""
+    if most:
+        order = np.argsort(x)
+        values = x[order]
+        new = np.ones(len(x), bool)
+        np.not_equal(values[1:], values[:-1], out=new[1:])
+        rank = np.empty(len(x), np.int32)
+        values = values[new]
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
+        return values, rank
     place, values = pd.factorize(x)
     order = np.argsort(values)
     rank = np.empty(len(values), np.int32)
@@ -304,7 +347,7 @@ def _block(b: pa.RecordBatch, block: int, s: Shared):
     key *= width
     key += inv
     del inv
-    key, token = _distinct(key)
+    key, token = _distinct(key, True)
     ctx, word = by[key // width], key % width
     count = np.bincount(token, ~held[doc], len(key)).astype(np.int64)
     entry = doc.astype(np.int64)
@@ -376,7 +419,7 @@ def _types(p: int, asks: list, s: Shared):
     """The part's types by (context, word): contexts and run lengths, word references, names, customers."""
     u, n, w, c = (np.concatenate([a[i] for a in asks]) for i in (1, 2, 3, 4))
     size = [len(a[3]) for a in asks]
-    label, ctx = _distinct(u)
+    label, ctx = _distinct(u, True)
     u, ctx = np.repeat(u, n), np.repeat(ctx, n)
     o = _order(ctx, w, len(label))
     new = np.ones(len(o), bool)
@@ -465,12 +508,162 @@ def _draw_parent(k: np.ndarray, t0: np.ndarray, st: State, rng, stirling) -> np.
     return rs.draw(k.astype(np.int64), mass - st.d0 * t0, st.d0, base, rng, stirling)
 
 
+def _bucket(w: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod(xxhash64(w), buckets) of SQL, for words as 64-bit numbers."""
+    one, two, three, four, five = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
+    h = (five + U64(50)) ^ (turn(w.view(U64) * two, 31) * one)
+    h = turn(h, 27) * one + four
+    h = (h ^ (h >> U64(33))) * two
+    h = (h ^ (h >> U64(29))) * three
+    return (h ^ (h >> U64(32))).view(np.int64) % buckets
+
+
+def _buckets(v: int) -> int:
+    return max(1, -(-v // WORD_BUCKET))
+
+
+#: kinds of the rows of a bucket of tail words, in the order its task reads them: all words and who asks for
+#: them (ALL), those whose tables are drawn (MOVING), these by sweep (DRAWN), words' counts, parts' sums, and
+#: what parts are told (TOLD, by group of parts)
+ALL, MOVING, DRAWN, COUNTS, SUMS, TELL = 20, 21, 22, 23, 24, 25
+#: numbers that a task packs together
+PACK = 1 << 20
+#: parts that are told together
+GROUP = 4
+
+
+def _packs(key: np.ndarray, kind: int, block: int, columns: list):
+    """Rows of the columns dealt by ``key``."""
+    o = np.argsort(key, kind="stable")
+    cut = np.flatnonzero(np.diff(key[o], prepend=-1))
+    columns = [x[o] for x in columns]
+    for a, z in zip(cut, np.append(cut[1:], len(o))):
+        yield _row(int(key[o[a]]), kind, block, *(x[a:z] for x in columns))
+
+
+def _packed(rows: DataFrame, make, kind: int, of) -> DataFrame:
+    """Rows of the columns that ``make(row)`` gives, first of them words, dealt by ``of(words)``; a task's are packed together."""
+
+    def run(batches):
+        held, size = [], 0
+        for row in _rows(batches):
+            got = make(row)
+            held.append(got)
+            size += len(got[0])
+            if size >= PACK:
+                yield from done(held)
+                held, size = [], 0
+        if size:
+            yield from done(held)
+        del held
+        give_back()
+
+    def done(held: list):
+        columns = [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
+        for row in _packs(of(columns[0]), kind, 0, columns):
+            yield _batch([row])
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """A bucket's rows together and in order."""
+    return rows.repartition(min(buckets, 4096), "p").sortWithinPartitions("p", "kind", "block")
+
+
+def asked(types: DataFrame, v: int) -> DataFrame:
+    """Per bucket: tail words of parts, with their contexts of one customer and of more there (SUMS)."""
+    buckets = _buckets(v)
+
+    def make(row):
+        _, _, ref, names, c = _types_of(row)
+        at = ref >= RARE
+        place = ref[at].astype(np.int64) - RARE
+        one, more = (np.bincount(place, x[at], len(names)).astype(np.uint32) for x in (c == 1, c >= 2))
+        return names, np.full(len(names), row[0], np.uint32), one, more
+
+    return _packed(types, make, SUMS, lambda w: _bucket(w, buckets))
+
+
+def tail_counts(words: DataFrame, shared, v: int) -> DataFrame:
+    """Per bucket: training tokens of the tail words (COUNTS)."""
+    buckets = _buckets(v)
+
+    def make(row):
+        w, c = _array(row[3], U64), _array(row[4], np.int64)
+        at = shared.value.table.find(w) < 0
+        return w[at], c[at]
+
+    return _packed(words, make, COUNTS, lambda w: _bucket(w, buckets))
+
+
+def tails(rows: DataFrame, v: int) -> DataFrame:
+    """Buckets of words in order: ALL has words, counts, contexts of one customer and of more, places of what parts ask for, and the
+    parts; MOVING has words with anything to draw, contexts of one customer, customers, and the parts that draw tables of theirs."""
+
+    def run(batches):
+        for p, bucket in _runs(_rows(batches), lambda r: r[0]):
+            counts, sums = [], []
+            for r in bucket:
+                if r[1] == COUNTS:
+                    counts.append(_arrays(r, np.int64, np.int64))
+                else:
+                    sums.append(_arrays(r, np.int64, np.uint32, np.uint32, np.uint32))
+            w, c = (np.concatenate([x[i] for x in counts]) for i in (0, 1))
+            o = np.argsort(w)
+            w, c = w[o], c[o]
+            place = [np.searchsorted(w, x[0]).astype(np.uint32) for x in sums]
+            place, part, one, more = np.concatenate(place), *(np.concatenate([x[i] for x in sums]) for i in (1, 2, 3))
+            del counts, sums, o
+            k1, k2 = (np.bincount(place, x, len(w)).astype(np.int64) for x in (one, more))
+            del one
+            o = np.argsort(part, kind="stable")
+            yield _batch([_row(p, ALL, 0, w, c, k1, k2, place[o], part[o])])
+            some = (k1 + k2 > 1) | (k2 > 0)
+            o = np.flatnonzero(more)
+            o = o[np.argsort(place[o], kind="stable")]
+            n = np.bincount(place[o], minlength=len(w))[some]
+            yield _batch([_row(p, MOVING, 0, w[some], k1[some], (k1 + k2)[some], n.astype(np.uint32), part[o])])
+            del o, place, part, more
+        give_back()
+
+    return _dealt(rows, _buckets(v)).mapInArrow(run, PACKED)
+
+
+def tail_words(rows: DataFrame, v: int) -> DataFrame:
+    """(bucket, w, k, t0, asks) of the words with anything to draw: customers now, tables before, the parts (four bytes each) that
+    need them; a bucket's words together and in order. Without sums of parts (SUMS), customers and tables are those of the start."""
+
+    def run(batches):
+        for p, bucket in _runs(_rows(batches), lambda r: r[0]):
+            w = t0 = None
+            for r in bucket:  # MOVING, DRAWN, SUMS
+                if r[1] == MOVING:
+                    w, k1, k, n, part = _arrays(r, np.int64, np.int64, np.int64, np.uint32, np.uint32)
+                    t0 = np.minimum(k, 1)
+                elif r[1] == DRAWN:
+                    t0, k = _array(r[4], np.int64), k1.copy()
+                else:
+                    at, t = _arrays(r, np.int64, np.int64)
+                    k += np.bincount(np.searchsorted(w, at), t, len(w)).astype(np.int64)
+            ends = np.append(0, np.cumsum(n, dtype=np.int64)) * 4
+            for a in range(0, len(w), 1 << 16):
+                z = min(a + (1 << 16), len(w))
+                edge = ends[a : z + 1]
+                asks = pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer((edge - edge[0]).astype(np.int32)), pa.py_buffer(part[edge[0] // 4 : edge[-1] // 4].copy())])
+                yield pa.record_batch([pa.array(np.full(z - a, p, np.int64)), pa.array(w[a:z]), pa.array(k[a:z]), pa.array(t0[a:z]), asks], ["bucket", "w", "k", "t0", "asks"])
+        give_back()
+
+    return _dealt(rows, _buckets(v)).mapInArrow(run, "bucket long, w long, k long, t0 long, asks binary")
+
+
 def draw_tail(words: DataFrame, st: State, sweep: int) -> DataFrame:
-    """(w, c, k1, k, t0) with the tables drawn for this sweep's customers (column k).
+    """Tables drawn for this sweep's customers (column k) of :func:`tail_words`: customers and tables of each bucket (DRAWN), and what
+    groups of parts are told of them (TELL).
 
-    Words are dealt by a hash into buckets of bounded size and sorted, so the random numbers follow from the words.
+    Buckets are of bounded size and in order, so the random numbers follow from the words.
     """
-    buckets = max(1, -(-st.v // WORD_BUCKET))
 
     def run(batches):
         stirling = rs.log_stirling(st.d0)
@@ -481,24 +674,57 @@ def draw_tail(words: DataFrame, st: State, sweep: int) -> DataFrame:
             for x, z in zip(cut, np.append(cut[1:], len(bucket))):
                 if bucket[x] != key:
                     if held:
-                        yield done(pa.Table.from_batches(held), key, stirling)
+                        yield from done(pa.Table.from_batches(held), key, stirling)
                     held, key = [], bucket[x]
                 held.append(b.slice(x, z - x))
         if held:
-            yield done(pa.Table.from_batches(held), key, stirling)
+            yield from done(pa.Table.from_batches(held), key, stirling)
             del held
         give_back()
 
-    def done(t: pa.Table, key: int, stirling) -> pa.RecordBatch:
-        k = t["k"].to_numpy()
-        old = t["t0"].to_numpy()
+    def done(t: pa.Table, key: int, stirling):
+        w, k, old = (t[n].to_numpy() for n in ("w", "k", "t0"))
         drawn = _draw_parent(k, np.minimum(old, k), st, np.random.default_rng([int(key), sweep, 78]), stirling)
-        t = t.combine_chunks()
-        return pa.record_batch([*(t[n].chunk(0) if t[n].num_chunks else pa.array([], t[n].type) for n in ("w", "c", "k1")), pa.array(k), pa.array(drawn)], ["w", "c", "k1", "k", "t0"])
+        yield _batch([_row(int(key), DRAWN, sweep, k, drawn)])
+        part = np.concatenate([np.frombuffer(x.buffers()[2] or b"", np.uint32)[_offsets(x)[0] // 4 : _offsets(x)[-1] // 4] for x in t["asks"].chunks])
+        at = np.repeat(np.arange(len(w)), np.concatenate([np.diff(_offsets(x)) for x in t["asks"].chunks]) // 4)
+        for row in _packs(part.astype(np.int64) // GROUP, TELL, int(key), [part, w[at], k[at], drawn[at]]):
+            yield _batch([row])
+
+    return words.mapInArrow(run, PACKED)
+
+
+def _offsets(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, x.offset * 4)
+
 
-    dealt = words.select(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("bucket"), "w", "c", "k1", "k", "t0")
-    dealt = dealt.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket", "w")
-    return dealt.mapInArrow(run, "w long, c long, k1 long, k long, t0 long")
+def last_words(rows: DataFrame, v: int, kept: int) -> DataFrame:
+    """What groups of parts are told of all tail words at the end (TELL): training tokens, and for each kept sweep customers and tables."""
+
+    def run(batches):
+        for p, bucket in _runs(_rows(batches), lambda r: r[0]):
+            drawn = []
+            for r in bucket:  # ALL, DRAWN by sweep
+                if r[1] == ALL:
+                    w, c, k1, k2, place, part = _arrays(r, np.int64, np.int64, np.int64, np.int64, np.uint32, np.uint32)
+                else:
+                    k, t0 = _arrays(r, np.int64, np.int64)
+                    drawn.append((k << 32) + t0)  # a tail word has under 2^32 contexts
+            k = k1 + k2
+            some = (k > 1) | (k2 > 0)
+            rest = (k << 32) + np.minimum(k, 1)
+            numbers = []
+            for x in drawn or [rest[some]] * kept:  # no row where a bucket has nothing to draw
+                numbers.append(rest.copy())
+                numbers[-1][some] = x
+            group = part // GROUP
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
+            for a, z in zip(cut, np.append(cut[1:], len(group))):
+                at = place[a:z]
+                yield _batch([_row(int(group[a]), TELL, p, part[a:z], w[at], c[at], *(x[at] for x in numbers))])
+        give_back()
+
+    return _dealt(rows, _buckets(v)).mapInArrow(run, PACKED)
 
 
 # ------------------------------------------------------------------ sweeps
@@ -521,8 +747,28 @@ def _dynamic(row) -> tuple:
 _MOVES = (U64, np.int64, np.uint32, np.uint32, U64, np.int64, np.int32)
 
 
+#: parts whose tables are drawn together
+TOGETHER = 4
+
+
+def _sweep_parts(parts, s: Shared, st: State, sweep: int, kept: int, stirling):
+    """Rows of parts, each (row, tail), with one more drawn column of tables; the last ``kept`` stay."""
+    held = []
+    for row, tail in parts:
+        held.append(_prepared(row, tail, s, st, sweep))
+        if len(held) == TOGETHER:
+            yield from _drawn(held, sweep, kept, st, stirling)
+            held = []
+    if held:
+        yield from _drawn(held, sweep, kept, st, stirling)
+
+
 def _sweep_part(row, tail: tuple, s: Shared, st: State, sweep: int, kept: int, stirling):
-    """The part's row with one more drawn column of tables; the last ``kept`` stay."""
+    return next(_sweep_parts([(row, tail)], s, st, sweep, kept, stirling))
+
+
+def _prepared(row, tail: tuple, s: Shared, st: State, sweep: int) -> tuple:
+    """(row, history of tables, what is drawn from)."""
     u, facts, ctx, ref, names, c, t = _arrays(row, *_MOVES)
     ones = facts.reshape(2, -1)[0]
     history = t.reshape(-1, len(c)) if len(c) else np.zeros((sweep, 0), np.int32)
@@ -539,9 +785,14 @@ def _sweep_part(row, tail: tuple, s: Shared, st: State, sweep: int, kept: int, s
         k[~head], t0[~head] = tail[1][at], tail[2][at]
     parent = st.parent(k, t0).without(now)
     mass = st.theta + st.d * np.maximum(tables[ctx] - now, 0)
-    drawn = rs.draw(c, mass, st.d, parent, np.random.default_rng([int(row[0]), sweep, 77]), stirling)
-    keep = history[max(len(history) - kept + 1, 0) :]
-    return _row(row[0], 0, sweep, u, facts.reshape(2, -1), ctx, ref.astype(np.uint32), names, c, np.vstack([keep, drawn[None, :].astype(np.int32)]))
+    return row, history, (c, mass, parent, np.random.default_rng([int(row[0]), sweep, 77]))
+
+
+def _drawn(held: list, sweep: int, kept: int, st: State, stirling):
+    for (row, history, _), drawn in zip(held, rs.draws([h[2] for h in held], st.d, stirling)):
+        keep = history[max(len(history) - kept + 1, 0) :]
+        tables = _row(0, 0, 0, np.vstack([keep, drawn[None, :].astype(np.int32)]))[3]
+        yield (row[0], 0, sweep, *row[3:9], tables, *row[10:])  # all but the tables are as they were
 
 
 #: kind of a part's tail numbers in a sweep: after its state
@@ -550,30 +801,23 @@ TOLD = 9
 TAIL_WORDS = 1 << 16
 
 
-def _told(words: DataFrame, parts: int, kind: int) -> DataFrame:
-    """(p, w, numbers ...) dealt by part, then packed: the rows are as many as the words of all parts ask for."""
+def _told(rows: DataFrame, parts: int, kind: int) -> DataFrame:
+    """What groups of parts are told, dealt by group, then packed by part: the rows are as many as the words of all parts ask for."""
 
     def run(batches):
-        held, size, key = [], 0, None
-        for b in batches:
-            p = b.column(0).to_numpy()
-            cut = np.flatnonzero(np.diff(p, prepend=-1))
-            for x, z in zip(cut, np.append(cut[1:], len(p))):
-                if p[x] != key or size >= TAIL_WORDS:
-                    if held:
-                        yield packed(held, key)
-                    held, size, key = [], 0, p[x]
-                held.append(b.slice(x, z - x))
-                size += z - x
-        if held:
-            yield packed(held, key)
-
-    def packed(held: list, key: int) -> pa.RecordBatch:
-        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(1, held[0].num_columns)]
-        o = np.argsort(cols[0])
-        return _batch([_row(int(key), kind, 0, cols[0][o], np.stack([c[o] for c in cols[1:]]))])
+        for _, group in _runs(_rows(batches), lambda r: r[0]):
+            got = [[_array(x, np.uint32 if i == 0 else U64 if i == 1 else np.int64) for i, x in enumerate(r[3:]) if x is not None] for r in group]
+            part, w, *numbers = (np.concatenate([g[i] for g in got]) for i in range(len(got[0])))
+            del got
+            for p in np.unique(part):
+                o = np.flatnonzero(part == p)
+                o = o[np.argsort(w[o])]
+                for i in range(0, len(o), TAIL_WORDS):
+                    at = o[i : i + TAIL_WORDS]
+                    yield _batch([_row(int(p), kind, 0, w[at], np.stack([x[at] for x in numbers]))])
+        give_back()
 
-    return words.repartition(_tasks(parts), "p").sortWithinPartitions("p").mapInArrow(run, PACKED)
+    return rows.repartition(_tasks(parts), "p").sortWithinPartitions("p").mapInArrow(run, PACKED)
 
 
 def _by_word(rows: list, columns: int) -> tuple:
@@ -581,6 +825,8 @@ def _by_word(rows: list, columns: int) -> tuple:
     if not rows:
         return (np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(columns)))
     got = [_arrays(r, U64, np.int64) for r in rows]
+    if len(got) == 1:
+        return (got[0][0], *got[0][1].reshape(columns, -1))
     words = np.concatenate([g[0] for g in got])
     numbers = np.concatenate([g[1].reshape(columns, -1) for g in got], axis=1)
     o = np.argsort(words)
@@ -614,36 +860,17 @@ def _moved(moves: DataFrame, s: Shared, d: float) -> tuple[np.ndarray, np.ndarra
     return a, b, float(c[0]), e
 
 
-def _word_messages(moves: DataFrame) -> DataFrame:
-    """(w, t): tables of the tail words, by part."""
-
-    def run(batches):
-        for row in _rows(batches):
-            names = _array(row[7], U64)
-            if len(names):
-                ref, t = _array(row[6], np.uint32), _array(row[9], np.int32)
-                at = ref >= RARE
-                sums = np.bincount(ref[at].astype(np.int64) - RARE, t.reshape(-1, len(ref))[-1][at], len(names)).astype(np.int64)
-                yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(sums)], ["w", "t"])
-
-    return moves.mapInArrow(run, "w long, t long")
-
+def _word_messages(moves: DataFrame, v: int) -> DataFrame:
+    """Per bucket: tables of the tail words in parts (SUMS)."""
+    buckets = _buckets(v)
 
-def _words_of_parts(types: DataFrame) -> DataFrame:
-    """(p, w, k1, k2, moves): tail words of each part, with their contexts of one customer and of more."""
-
-    def run(batches):
-        for row in _rows(batches):
-            u, n, ref, names, c = _types_of(row)
-            if len(names):
-                at = ref >= RARE
-                place = ref[at].astype(np.int64) - RARE
-                one, more = (np.bincount(place, x[at], len(names)).astype(np.int64) for x in (c == 1, c >= 2))
-                yield pa.record_batch(
-                    [pa.array(np.full(len(names), row[0], np.int64)), pa.array(names.view(np.int64)), pa.array(one), pa.array(more)], ["p", "w", "k1", "k2"]
-                )
+    def make(row):
+        names, ref, t = _array(row[7], U64), _array(row[6], np.uint32), _array(row[9], np.int32)
+        at = ref >= RARE
+        now = t.reshape(-1, len(ref))[-1][at] if len(ref) else np.zeros(0)
+        return names, np.bincount(ref[at].astype(np.int64) - RARE, now, len(names)).astype(np.int64)
 
-    return types.mapInArrow(run, "p long, w long, k1 long, k2 long")
+    return _packed(moves, make, SUMS, lambda w: _bucket(w, buckets))
 
 
 # ------------------------------------------------------------------ scoring
@@ -761,12 +988,15 @@ def score(
     send = spark.sparkContext.broadcast
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.coalesce(held_out, F.lit(True)) | F.col(id_col).isNull()).alias("held"))
     words = saved(word_counts(d))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    end = F.col("w") == int(np.array([END]).view(np.int64)[0])  # the end token's counts are the documents
-    n, v, total, train_docs, all_docs = words.agg(
-        zero(F.sum("c")), zero(F.sum((F.col("c") > 0).cast("long"))), zero(F.sum("a")), zero(F.sum(F.when(end, F.col("c")))), zero(F.sum(F.when(end, F.col("a"))))
-    ).first()
-    top = words.orderBy(F.desc("c"), F.desc("a"), "w").limit(HEAD).toArrow()
+
+    def totals(row):  # the end token's counts are the documents
+        w, c, a = _arrays(row, U64, np.int64, np.int64)
+        end = w == END
+        return np.array([c.sum(), (c > 0).sum(), a.sum(), c[end].sum(), a[end].sum()]), np.bincount(np.minimum(c, COUNT_TOP), minlength=COUNT_TOP + 1)
+
+    facts, by_count = dense(words, totals, [5, COUNT_TOP + 1])
+    n, v, total, train_docs, all_docs = (int(x) for x in facts)
+    top = most_frequent(words, by_count)
     s = Shared(top["w"].to_numpy().view(U64), top["c"].to_numpy(), top["a"].to_numpy(), n, v, train_docs, all_docs, total)
     s.table = SortedHash(s.words)
     shared = send(s)
@@ -782,10 +1012,21 @@ def score(
         return _head_sum(ref, c == 1, m), _head_sum(ref, c >= 2, m), np.array([(c == 1).sum(), (c == 2).sum()])
 
     head1, head2, twos = dense(types, statics, [m, m, 2])
-    asked = saved(_words_of_parts(types))
-    tails = asked.groupBy("w").agg(F.sum("k1").alias("k1"), F.sum("k2").alias("k2")).join(words.select("w", "c"), "w")
-    tails = saved(tails.select("w", "c", "k1", "k2", (F.col("k1") + F.col("k2")).alias("k"), F.least(F.col("k1") + F.col("k2"), F.lit(1)).alias("t0")))
-    k_ones, k_twos, k_all, k_some = tails.agg(*(zero(F.sum(x.cast("long"))) for x in (F.col("k") == 1, F.col("k") == 2, F.col("k"), F.col("k") > 0))).first()
+    def written(rows: DataFrame) -> DataFrame:
+        got = saved(rows, ["kind"])
+        out = got.select(*_COLUMNS)
+        out._saved_path = got._saved_path
+        return out
+
+    tail = written(tails(asked(types, v).union(tail_counts(words, shared, v)), v))
+    every, moving = tail.where(F.col("kind") == ALL), tail.where(F.col("kind") == MOVING)
+
+    def of_tails(row):
+        k1, k2 = (_array(row[i], np.int64) for i in (5, 6))
+        k = k1 + k2
+        return (np.array([(k == 1).sum(), (k == 2).sum(), k.sum(), (k > 0).sum(), ((k == 1) & (k2 == 0)).sum()]),)
+
+    k_ones, k_twos, k_all, k_some, resting_tables = dense(every, of_tails, [5])[0]  # one customer for good, so one table
     head_k = head1 + head2
     fixed = Fixed(rs.discount(*twos), rs.discount(k_ones + (head_k == 1).sum(), k_twos + (head_k == 2).sum()), v)
     stirling0 = rs.log_stirling(fixed.d0)
@@ -793,10 +1034,9 @@ def score(
     # the parent at the start: a table of every (context, word), a table of every word
     customers, tables = float(k_all + head_k.sum()), float(k_some + (head_k > 0).sum())
     first = State(head_k, np.minimum(head_k, 1), customers, tables, 1.0, 1.0, np.zeros(len(s.hot)), fixed)
-    resting = tails.where("k <= 1 and k2 = 0")  # one customer for good, so one table; or none
-    resting_tables = resting.agg(zero(F.sum("t0"))).first()[0]
-    moving = saved(draw_tail(tails.where("k > 1 or k2 > 0").select("w", "c", "k1", "k", "t0"), first, 0))
-    movers = saved(asked.where("k2 > 0").select("p", "w"))
+
+    def tables_of(row):
+        return (np.array([_array(row[4], np.int64).sum()]),)
 
     def begin(batches):
         for row in _rows(batches):
@@ -806,47 +1046,43 @@ def score(
     rng = np.random.default_rng([int(n) & 0xFFFFFFFF, 79])
     states: list[State] = []
     at = first
+    drawn = written(draw_tail(tail_words(moving, v), first, 0))
     words_kept: list[DataFrame] = []
     for sweep in range(burn_in + kept + 1):
         if sweep:
-            told = _told(movers.join(moving.select("w", "k", "t0"), "w").select("p", "w", "k", "t0"), s.parts, TOLD)
+            told = _told(drawn.where(F.col("kind") == TELL), s.parts, TOLD)
             before, now = moves, send(at)
 
             def run(batches, now=now, sweep=sweep):
                 st, stirling, held = now.value, rs.log_stirling(now.value.d), shared.value
-                for _, part in _runs(_rows(batches), lambda r: r[0]):
-                    own = next(part)
-                    yield _batch([_sweep_part(own, _by_word(list(part), 2), held, st, sweep, kept, stirling)])
+                parts = ((next(part), _by_word(list(part), 2)) for _, part in _runs(_rows(batches), lambda r: r[0]))
+                for row in _sweep_parts(parts, held, st, sweep, kept, stirling):
+                    yield _batch([row])
 
             moves = saved(_deal(before.union(told), s.parts).mapInArrow(run, PACKED))
             discard(before)
         head, hot, all_tables, likelihood = _moved(moves, s, fixed.d)
         k = head1 + head
         if sweep:
-            got = _word_messages(moves).groupBy("w").agg(F.sum("t").alias("t"))
-            again = moving.join(got, "w", "left").select("w", "c", "k1", (F.col("k1") + zero(F.col("t"))).alias("k"), "t0")
-            old, moving = moving, saved(draw_tail(again, at, sweep))
+            rows = moving.union(drawn.where(F.col("kind") == DRAWN)).union(_word_messages(moves, v))
+            old, drawn = drawn, written(draw_tail(tail_words(rows, v), at, sweep))
             if old not in words_kept:
                 discard(old)
         t0 = _draw_parent(k, np.minimum(at.t0, k), at, np.random.default_rng([sweep, 80]), stirling0).astype(np.float64)
-        tables = float(t0.sum() + resting_tables + moving.agg(zero(F.sum("t0"))).first()[0])
+        tables = float(t0.sum() + resting_tables + dense(drawn.where(F.col("kind") == DRAWN), tables_of, [1])[0][0])
         theta = rs.draw_theta(likelihood + _hot_likelihood(s, hot, fixed.d), rng)
         theta0 = rs.draw_theta(rs.theta_likelihood(np.array([tables]), np.array([all_tables]), fixed.d0), rng)
         at = State(k, t0, all_tables, tables, theta, theta0, hot, fixed)
         if sweep > burn_in:
             states.append(at)
-            words_kept.append(moving)
+            words_kept.append(drawn)
 
     # what every part needs to know of its tail words: counts, and the parent's state in the sweeps kept
-    names = [f"kt{i}" for i in range(kept)]
-    both = F.shiftleft(F.col("k"), 32) + F.col("t0")  # a tail word has under 2^32 contexts
-    still = resting.select("w", "c", *[both.alias(x) for x in names])
-    moved = words_kept[-1].select("w", "c")
-    for x, t in zip(names, words_kept):
-        moved = moved.join(t.select("w", both.alias(x)), "w")
-    told = asked.select("p", "w").join(still.union(moved.select("w", "c", *names)), "w").select("p", "w", "c", *names)
-    told = saved(_told(told, s.parts, WORDS))
-    discard(*words_kept, movers, asked, tails, words)
+    rows = every
+    for x in words_kept:
+        rows = rows.union(x.where(F.col("kind") == DRAWN))
+    told = saved(_told(last_words(rows, v, kept), s.parts, WORDS))
+    discard(*words_kept, tail, words)
     rows = state.where(F.col("kind") != DOCS).union(told).union(moves.withColumn("kind", F.lit(MOVED)))
     replies = saved(answers(_deal(rows, s.parts), shared, send(states)))
     discard(told, moves)

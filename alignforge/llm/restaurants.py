@@ -89,19 +89,51 @@ class Base:
         return 0.0 * i
 
 
+#: customers up to which weights are multiplied as they are, not as logs
+PLAIN = 16
+
+
 def draw(c: np.ndarray, mass: np.ndarray, d: float, parent, rng, stirling: np.ndarray) -> np.ndarray:
     """Tables of dishes with ``c`` customers; ``mass``: theta + d * tables of the other dishes."""
+    return draws([(c, mass, parent, rng)], d, stirling)[0]
+
+
+def draws(jobs: list, d: float, stirling: np.ndarray) -> list[np.ndarray]:
+    """:func:`draw` of several (c, mass, parent, rng), each with its own random numbers; the large dishes of all are seated together."""
+    out, large = [], []
+    for c, mass, parent, rng in jobs:
+        t, big = _enumerated(c, mass, d, parent, rng, stirling)
+        out.append(t)
+        large += [(len(out) - 1, big[a : a + 1000]) for a in range(0, len(big), 1000)]
+    while large:
+        size, some = 0, []
+        while large and (not some or size + len(large[0][1]) <= 1000):
+            size += len(large[0][1])
+            some.append(large.pop(0))
+        c, mass = (np.concatenate([jobs[i][x][at] for i, at in some]) for x in (0, 1))
+        seated = _seated(c, mass, d, [jobs[i][2].only(at) for i, at in some], [jobs[i][3] for i, _ in some], [len(at) for _, at in some])
+        for (i, at), t in zip(some, np.split(seated, np.cumsum([len(at) for _, at in some])[:-1])):
+            out[i][at] = t
+    return [np.minimum(t, c) for t, (c, *_) in zip(out, jobs)]
+
+
+def _enumerated(c, mass, d, parent, rng, stirling) -> tuple[np.ndarray, np.ndarray]:
+    """(tables of the dishes that the Stirling numbers reach, places of the others, most customers first)."""
     t = np.minimum(c, 1).astype(np.int64)
     top = len(stirling) - 1
     order = np.argsort(c, kind="stable")
-    value, first = np.unique(c[order], return_index=True)
-    for n, lo, hi in zip(value, first, np.append(first[1:], len(c))):
+    by = c[order]
+    first = np.flatnonzero(np.diff(by, prepend=-1))
+    for n, lo, hi in zip(by[first], first, np.append(first[1:], len(c))):
         if n < 2 or n > top:
             continue
         i = np.arange(int(n), dtype=np.float64)[None, :]
         step = max(1, 500_000 // int(n))
         for a in range(lo, hi, step):
             at = order[a : min(a + step, hi)]
+            if n <= PLAIN:
+                t[at] = _few(int(n), mass[at], d, parent.only(at), rng.random(len(at)), np.exp(stirling[n, 1 : n + 1]))
+                continue
             w = np.log((mass[at][:, None] + d * i) * parent.nth(at[:, None], i))
             np.cumsum(w, axis=1, out=w)
             w += stirling[n, 1 : n + 1]
@@ -109,21 +141,41 @@ def draw(c: np.ndarray, mass: np.ndarray, d: float, parent, rng, stirling: np.nd
             np.exp(w, out=w)
             np.cumsum(w, axis=1, out=w)
             t[at] = 1 + (w < (rng.random(len(at)) * w[:, -1])[:, None]).sum(1)
-    big = order[int(np.searchsorted(c[order], top, "right")) :][::-1]
-    for a in range(0, len(big), 1000):
-        at = big[a : a + 1000]
-        t[at] = _seated(c[at], mass[at], d, parent.only(at), rng)
-    return np.minimum(t, c)
+    return t, order[int(np.searchsorted(by, top, "right")) :][::-1]
+
+
+def _few(n: int, mass, d, parent, u, ways) -> np.ndarray:
+    """Tables of dishes with ``n`` customers: weights over that of one table, added up until they pass ``u`` of all."""
+    following, product, total = parent.path(), 1.0, np.full(len(u), ways[0])
+    sums = [total]
+    for i in range(1, n):
+        product = (mass + d * i) * following(float(i)) * product
+        total = total + ways[i] * product
+        sums.append(total)
+    u = u * total
+    t = np.ones(len(u), np.int64)
+    for x in sums[:-1]:
+        t += x < u
+    return t
+
+
+def together(parents: list):
+    """One parent of dishes that stand one after the other; norm and base are those of the first."""
+    if len(parents) == 1 or isinstance(parents[0], Base):
+        return parents[0]
+    one = parents[0]
+    return Parent(np.concatenate([p.k for p in parents]), np.concatenate([p.t0 for p in parents]), one.d0, one.spread, one.norm)
 
 
-def _seated(c, mass, d, parent, rng) -> np.ndarray:
-    """The same for many customers, most first, seated in runs.
+def _seated(c, mass, d, parents: list, rngs: list, sizes: list[int]) -> np.ndarray:
+    """Tables of dishes with many customers, seated in runs; ``sizes`` dishes for each parent and its random numbers.
 
     Opening a table weighs b(t) exp(look) against k - d t, with look the gain in log weight of all seats
     still to come, had the dish one table more. Along the expected path that gain adds up, from the last
     customer back, d/dt of the logs of the two choices; path and gain are settled in a few rounds.
     """
-    n, most = len(c), int(c[0])
+    parent = together(parents)
+    n, most = len(c), int(c.max())
     starts, k = [], 1
     while k < most:
         starts.append(k)
@@ -139,8 +191,14 @@ def _seated(c, mass, d, parent, rng) -> np.ndarray:
 
     def chance(r, t):
         opened = d * t
-        new = (mass + opened) * following(t) * weight[r]
-        return new / (new + np.maximum(mid[r] - opened, 1e-9))
+        new = following(t)
+        new = (mass + opened) * new
+        new *= weight[r]
+        stay = mid[r] - opened
+        np.maximum(stay, 1e-9, out=stay)
+        stay += new
+        new /= stay
+        return new
 
     for _ in range(6):
         t = np.ones(n)
@@ -154,10 +212,15 @@ def _seated(c, mass, d, parent, rng) -> np.ndarray:
         gain = size * ((1 - p) * stay + p * opened)
         after = np.cumsum(gain[::-1], axis=0)[::-1]
         weight = np.exp(np.clip(after - gain / 2, -50, 50))
-    t = np.ones(n)
+    t, cut = np.ones(n), np.cumsum([0, *sizes])
+    size_of = size.astype(np.int64)
+    last = np.maximum.reduceat(c, cut[:-1]) if n else cut[:-1]
     for r in range(j):
         half = t + size[r] * chance(r, t) / 2
-        t = t + rng.binomial(size[r].astype(np.int64), np.clip(chance(r, half), 0, 1))
+        open_ = np.clip(chance(r, half), 0, 1)
+        for rng, a, z, most_here in zip(rngs, cut, cut[1:], last):
+            if most_here > starts[r]:
+                t[a:z] += rng.binomial(size_of[r, a:z], open_[a:z])
     return t.astype(np.int64)
 
 

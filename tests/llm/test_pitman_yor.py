@@ -304,3 +304,49 @@ def test_planes_and_distinct():
     for x in (arrays[0] % 50, arrays[1], arrays[6], arrays[0] | np.uint64(1 << 63)):
         (value, place), want = py._distinct(x), np.unique(x, return_inverse=True)
         assert (value == want[0]).all() and (place == want[1]).all() and value.dtype == x.dtype and place.dtype == np.int32
+
+
+def test_no_table_has_a_row_a_word(spark, docs, monkeypatch):
+    """Words and their numbers travel packed: what is written between the steps has rows by slots, buckets, parts and blocks."""
+    monkeypatch.setattr(pitman_yor, "HEAD", 100)
+    rows, save = [], pitman_yor.saved
+
+    def counting(df, *how):
+        out = save(df, *how)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "saved", counting)
+    few = docs.select("doc_id", "text")
+    distinct = len({w for r in few.collect() for w in (r["text"] or "").lower().split()})
+    assert len(scores(few)) == docs.count()
+    assert distinct > 1000 and 0 < max(rows) <= 256, (distinct, rows)
+
+
+def test_buckets_are_those_of_sql(spark):
+    x = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 200)
+    rows = spark.createDataFrame([(int(a),) for a in x], "w long")
+    for n in (1, 7, 430):
+        assert [r[0] for r in rows.select(F.pmod(F.xxhash64("w"), F.lit(n))).collect()] == pitman_yor._bucket(x, n).tolist()
+
+
+def test_parts_drawn_together_are_drawn_alike():
+    """Parts keep their own random numbers; few customers are drawn by the products that the logs stand for."""
+    d, stirling, rng = 0.6, restaurants.log_stirling(0.6), np.random.default_rng(4)
+
+    def jobs():
+        for seed, n in ((1, 900), (2, 40), (3, 0), (4, 1500)):
+            r = np.random.default_rng([seed, 1])
+            c, k = r.geometric(0.004, n) * r.integers(0, 4, n), r.integers(0, 30, n).astype(float)
+            yield c, r.random(n) * 500 + 1, restaurants.Parent(k, np.minimum(k, 2), 0.5, 0.4, 9000.0), np.random.default_rng(seed)
+
+    together, alone = restaurants.draws(list(jobs()), d, stirling), [restaurants.draw(*x[:2], d, *x[2:], stirling) for x in jobs()]
+    assert sum(int((x[0] > 256).sum()) for x in jobs()) > 1000
+    assert all((a == b).all() for a, b in zip(together, alone, strict=True))
+    for n in (2, 5, 16):
+        mass, u, k = rng.random(300) * 90 + 1, rng.random(300), rng.integers(0, 9, 300).astype(float)
+        parent = restaurants.Parent(k, np.minimum(k, 1), 0.5, 0.4, 900.0)
+        w = np.log((mass[:, None] + d * np.arange(n)) * parent.nth(np.arange(300)[:, None], np.arange(n)[None, :]))
+        w = np.cumsum(np.exp(np.cumsum(w, axis=1) + stirling[n, 1 : n + 1]), axis=1)
+        want = 1 + (w < (u * w[:, -1])[:, None]).sum(1)
+        assert (restaurants._few(n, mass, d, parent, u, np.exp(stirling[n, 1 : n + 1])) == want).all()
